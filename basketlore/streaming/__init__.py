@@ -1,0 +1 @@
+"""No streaming operators: every input is a finished table."""
