@@ -10,6 +10,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_document(df: DataFrame, path: str) -> None:
+    """Write a one-row frame as a folder with one JSON file."""
+    write_json(df.coalesce(1), path)
+
+
 def write_csv(df: DataFrame, path: str) -> bool:
     """Write with a header. Nothing is written, and False returned, if there are no rows."""
     if df.isEmpty():
