@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from basketlore.workspace import Table, broadcast_within
 
-# Itemsets of one prefix that one task pairs up before the prefix is salted.
+# Itemsets with one prefix that are paired up under one key; larger classes are salted.
 CLASS_SIZE = 4096
 # Estimated width of a level row, without its arrays and with them.
 NARROW_ROW_BYTES = 64
@@ -29,34 +29,45 @@ def level_row_bytes(length: int) -> int:
     return NARROW_ROW_BYTES + ITEM_BYTES * length
 
 
+def _salted(level: Table) -> DataFrame:
+    """``level`` with the number of salts of each itemset's prefix class."""
+    if level.rows <= CLASS_SIZE:
+        return level.df.withColumn("salts", F.lit(1))
+    sizes = level.df.groupBy("chunk", "pid").agg(
+        F.ceil(F.count(F.lit(1)) / CLASS_SIZE).cast("int").alias("salts")
+    )
+    return level.df.join(sizes, ["chunk", "pid"])
+
+
 def candidates(level: Table, length: int) -> DataFrame:
     """Itemsets of ``length`` items whose every subset one shorter is in ``level``.
 
-    Two itemsets meet when they share all but their last item. A common prefix
-    is salted once the level is large, so no task pairs up a whole level.
+    Two itemsets meet when they share all but their last item. A prefix that
+    very many itemsets share is salted, so its pairs are spread over tasks.
     ``min_support`` is the smallest support among the subsets: the candidate
     also stands at any higher minimum count up to it.
     """
-    salts = max(1, -(-level.rows // CLASS_SIZE))
-    left = level.df.select(
+    salted = _salted(level)
+    left = salted.select(
         "chunk",
         "pid",
-        F.pmod(F.xxhash64("code"), F.lit(salts)).alias("salt"),
+        F.pmod(F.xxhash64("code"), F.col("salts")).cast("int").alias("salt"),
         F.col("id").alias("left_id"),
         F.col("code").alias("left_code"),
         F.col("codes").alias("left_codes"),
         F.col("items").alias("left_items"),
         F.col("support").alias("left_support"),
     )
-    right = level.df.select(
+    right = salted.select(
         "chunk",
         "pid",
-        F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         "code",
         "item",
         "support",
     )
-    right = broadcast_within(right, level.rows * salts, NARROW_ROW_BYTES)
+    if level.rows <= CLASS_SIZE:
+        right = F.broadcast(right)
     joined = left.join(right, ["chunk", "pid", "salt"]).where("left_code < code")
     found = joined.select(
         "chunk",

@@ -316,6 +316,7 @@ def mine_levels(
             Level(length, candidate_count, level, time.monotonic() - started, wanted)
         )
         length += 1
+    work.remove("projection")
     return run
 
 

@@ -94,7 +94,9 @@ def explode_baskets(df: DataFrame, items_col: str = "items", basket_col: str | N
     """Long form of a table with one item array per row.
 
     A row with an empty array stays as one line without an item, because it
-    counts as a basket. A row with no array at all is not a basket.
+    counts as a basket. A row with no array at all is not a basket. Without
+    ``basket_col`` rows are numbered by their place in the input, which is only
+    fixed for a table read from files.
     """
     key = F.col(basket_col) if basket_col else F.monotonically_increasing_id()
     return (

@@ -140,6 +140,7 @@ def son(
     counted = stack(_count_candidates(work, run, tables, measures))
     final = work.write(counted.where(F.col("support") >= F.lit(least)), "itemsets")
     run.baskets.unpersist()
+    work.remove("counting")
     phase2 = time.monotonic() - phase2_started
 
     local = stack(

@@ -48,6 +48,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -57,8 +58,16 @@ class Workspace:
         path = self.path(name)
         # The count sits on the final stage, whose tasks are counted once each.
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        self.names.append(name)
         return Table(self.spark.read.schema(df.schema).parquet(path), seen.get["rows"])
 
+    def remove(self, prefix: str) -> None:
+        """Delete the tables of that prefix, which nothing reads any more."""
+        for name in [n for n in self.names if n.startswith(prefix)]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.remove(name)
+
 
 def broadcast_within(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark ``df`` for broadcast if ``rows`` rows of that width are known to fit."""
