@@ -68,28 +68,24 @@ def candidates(level: Table, length: int) -> DataFrame:
     )
     if level.rows <= CLASS_SIZE:
         right = F.broadcast(right)
-    joined = left.join(right, ["chunk", "pid", "salt"]).where("left_code < code")
-    found = joined.select(
+    found = left.join(right, ["chunk", "pid", "salt"]).where("left_code < code")
+    found = found.select(
         "chunk",
         F.col("left_id").alias("id"),
         "code",
+        "item",
         F.concat("left_codes", F.array("code")).alias("codes"),
         F.array_sort(F.concat("left_items", F.array("item"))).alias("items"),
         F.least("left_support", "support").alias("min_support"),
     )
     # The two subsets that dropped one of the last two items are the joined pair.
-    for dropped in range(length - 2):
-        subset = level.df.select(
-            "chunk", F.col("codes").alias("subset"), F.col("support").alias("subset_support")
-        )
-        subset = broadcast_within(subset, level.rows, level_row_bytes(length))
-        rest = F.concat(
-            F.slice("codes", 1, dropped), F.slice("codes", dropped + 2, length - dropped - 1)
-        )
-        found = (
-            found.withColumn("subset", rest)
-            .join(subset, ["chunk", "subset"])
-            .withColumn("min_support", F.least("min_support", "subset_support"))
-            .drop("subset", "subset_support")
-        )
-    return found
+    others = broadcast_within(
+        level.df.select("chunk", "codes", "support"), level.rows, level_row_bytes(length)
+    )
+    for n in range(length - 2):
+        rest = f"concat(slice(codes, 1, {n}), slice(codes, {n + 2}, {length - n - 1}))"
+        subset = others.toDF(f"chunk{n}", f"subset{n}", f"support{n}")
+        found = found.join(subset, F.expr(f"chunk = chunk{n} AND {rest} = subset{n}"))
+    supports = ", ".join(["min_support", *(f"support{n}" for n in range(length - 2))])
+    least = f"least({supports}) AS min_support" if length > 2 else "min_support"
+    return found.selectExpr("chunk", "id", "code", "item", "codes", "items", least)

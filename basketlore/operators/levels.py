@@ -57,31 +57,47 @@ class Level:
     candidates: Table | None = None
 
 
+def measure_columns(measures: bool) -> list[str]:
+    return ["total_log_qty", "max_qty"] if measures else []
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Baskets and minimum count of every chunk, by chunk number."""
+
+    baskets: list[int]
+    min_counts: list[float]
+
+    @property
+    def total(self) -> int:
+        return sum(self.baskets)
+
+    def reached(self) -> Column:
+        """True for rows whose support reaches the minimum count of their chunk."""
+        if len(self.min_counts) == 1:
+            return F.col("support") >= F.lit(self.min_counts[0])
+        return F.col("support") >= F.get(F.lit(self.min_counts), F.col("chunk"))
+
+
 @dataclass
 class LevelRun:
     """All levels of a run, with what the caller needs to go on."""
 
-    limits: Table
+    limits: Limits
     item_counts: Table
     dictionary: Table
     baskets: DataFrame
     levels: list[Level] = field(default_factory=list)
 
 
-def measure_columns(measures: bool) -> list[str]:
-    return ["total_log_qty", "max_qty"] if measures else []
-
-
-def chunk_limits(work: Workspace, items: DataFrame, ratio: float, mode: str) -> Table:
-    """Baskets and minimum count per chunk."""
+def chunk_limits(items: DataFrame, ratio: float, mode: str, chunks: int) -> Limits:
+    """One row per chunk comes to the driver; the caller chose their number."""
     sizes = items.groupBy("chunk").agg(F.count_distinct("basket_id").alias("baskets"))
-    limits = sizes.withColumn("min_count", min_count(F.col("baskets"), ratio, mode))
-    return work.write(limits, "limits")
-
-
-def _over_limit(counts: DataFrame, limits: Table) -> DataFrame:
-    chunks = broadcast_within(limits.df.select("chunk", "min_count"), limits.rows, NARROW_ROW_BYTES)
-    return counts.join(chunks, "chunk").where("support >= min_count").drop("min_count")
+    rows = sizes.select("chunk", "baskets", min_count(F.col("baskets"), ratio, mode).alias("least")).collect()
+    baskets, least = [0] * chunks, [1.0] * chunks
+    for row in rows:
+        baskets[row["chunk"]], least[row["chunk"]] = row["baskets"], row["least"]
+    return Limits(baskets, least)
 
 
 def count_items(work: Workspace, items: DataFrame, measures: bool) -> Table:
@@ -188,14 +204,9 @@ def project_items(baskets: DataFrame, measures: bool) -> DataFrame:
     )
 
 
-def project_next(
-    projection: DataFrame, level: Table, wanted: Table, measures: bool
-) -> DataFrame:
-    """Lengthen every projected itemset by one item, to those of ``level`` with candidates."""
-    steps = (
-        level.df.select("chunk", F.col("id").alias("next_id"), F.col("pid").alias("id"), "code")
-        .join(wanted.df.select("chunk", F.col("id").alias("next_id")), ["chunk", "next_id"], "left_semi")
-    )
+def project_next(projection: DataFrame, level: Table, measures: bool) -> DataFrame:
+    """Lengthen every projected itemset by one item, to those of ``level``."""
+    steps = level.df.select("chunk", F.col("id").alias("next_id"), F.col("pid").alias("id"), "code")
     steps = broadcast_within(steps, level.rows, NARROW_ROW_BYTES)
     volume = ["volume"] if measures else []
     heads = projection.select(
@@ -243,30 +254,40 @@ def cut(work: Workspace, projection: DataFrame, length: int, name: str) -> DataF
     return projection
 
 
-def _next_level(
-    counts: DataFrame, level: Table, dictionary: Table, length: int, measures: bool
-) -> DataFrame:
-    parents = level.df.select("chunk", "id", F.col("codes").alias("head_codes"), F.col("items").alias("head_items"))
-    parents = broadcast_within(parents, level.rows, level_row_bytes(length))
-    words = broadcast_within(dictionary.df, dictionary.rows, level_row_bytes(1))
+def _pair_level(counts: DataFrame, level: Table, measures: bool) -> DataFrame:
+    """Level 2 from counts of pairs: the texts come from level 1, joined twice."""
+    words = broadcast_within(level.df.select("chunk", "code", "item"), level.rows, level_row_bytes(1))
+    heads = words.toDF("chunk", "id", "head_item")
     return (
-        counts.join(parents, ["chunk", "id"])
-        .join(words, "code")
+        counts.join(heads, ["chunk", "id"])
+        .join(words, ["chunk", "code"])
         .select(
             "chunk",
-            F.monotonically_increasing_id().alias("new_id"),
-            F.col("id").alias("pid"),
+            "id",
             "code",
             "item",
-            F.concat("head_codes", F.array("code")).alias("codes"),
-            F.array_sort(F.concat("head_items", F.array("item"))).alias("items"),
+            F.array("id", "code").alias("codes"),
+            F.array_sort(F.array("head_item", "item")).alias("items"),
             "support",
             *measure_columns(measures),
         )
-        .withColumnRenamed("new_id", "id")
     )
 
 
+def _longer_level(counts: DataFrame, wanted: Table, length: int, measures: bool) -> DataFrame:
+    """Level ``length`` from its counts and candidates."""
+    names = wanted.df.select("chunk", "id", "code", "item", "codes", "items")
+    names = broadcast_within(names, wanted.rows, level_row_bytes(length))
+    return counts.join(names, ["chunk", "id", "code"]).select(
+        "chunk", "id", "code", "item", "codes", "items", "support", *measure_columns(measures)
+    )
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """The parent becomes ``pid``; every itemset gets an ``id``, fixed by writing it."""
+    return found.withColumnRenamed("id", "pid").withColumn("id", F.monotonically_increasing_id())
+
+
 def _pair_count(level: Table, chunks: int) -> int:
     """Candidates of length 2: every pair of frequent items of a chunk."""
     if chunks == 1:
@@ -283,9 +304,9 @@ def mine_levels(
     A level is run, and reported, while it has candidates.
     """
     started = time.monotonic()
-    limits = chunk_limits(work, items, ratio, mode)
+    limits = chunk_limits(items, ratio, mode, chunks)
     item_counts = count_items(work, items, measures)
-    frequent = _over_limit(item_counts.df, limits)
+    frequent = item_counts.df.where(limits.reached())
     dictionary, level = first_level(work, frequent, chunks, measures)
     baskets = encode_baskets(items, dictionary, measures).persist(StorageLevel.MEMORY_AND_DISK)
     run = LevelRun(limits, item_counts, dictionary, baskets)
@@ -300,18 +321,19 @@ def mine_levels(
             # Every pair of frequent items is a candidate: no need to list them.
             candidate_count = _pair_count(level, chunks)
         else:
-            found = candidates(level, length).select("chunk", "id", "code", "min_support")
-            wanted = work.write(found, f"candidates{length}")
+            wanted = work.write(candidates(level, length), f"candidates{length}")
             candidate_count = wanted.rows
         if candidate_count == 0:
             break
         if wanted is not None:
-            projection = project_next(projection, level, wanted, measures)
+            projection = project_next(projection, level, measures)
             projection = cut(work, projection, length, "projection")
-        counts = _over_limit(count_extensions(projection, wanted, measures), limits)
-        level = work.write(
-            _next_level(counts, level, dictionary, length - 1, measures), f"level{length}"
-        )
+        counts = count_extensions(projection, wanted, measures).where(limits.reached())
+        if wanted is None:
+            found = _pair_level(counts, level, measures)
+        else:
+            found = _longer_level(counts, wanted, length, measures)
+        level = work.write(_numbered(found), f"level{length}")
         run.levels.append(
             Level(length, candidate_count, level, time.monotonic() - started, wanted)
         )

@@ -98,7 +98,7 @@ def _count_candidates(
             table.df.select("chunk", F.col("pid").alias("id"), "code"), table.rows
         )
         if length > 2:
-            projection = project_next(projection, tables[length - 2], wanted, measures)
+            projection = project_next(projection, tables[length - 2], measures)
             projection = cut(work, projection, length, "counting")
         names = table.df.select("chunk", F.col("pid").alias("id"), "code", "items")
         names = broadcast_within(names, table.rows, 64 * (length + 1))
@@ -135,10 +135,9 @@ def son(
     phase1 = time.monotonic() - started
 
     phase2_started = time.monotonic()
-    total = run.limits.df.agg(F.sum("baskets").alias("baskets"))
-    least = total.select(min_count(F.coalesce("baskets", F.lit(0)), min_support, support_mode)).first()[0]
+    least = min_count(F.lit(run.limits.total), min_support, support_mode)
     counted = stack(_count_candidates(work, run, tables, measures))
-    final = work.write(counted.where(F.col("support") >= F.lit(least)), "itemsets")
+    final = work.write(counted.where(F.col("support") >= least), "itemsets")
     run.baskets.unpersist()
     work.remove("counting")
     phase2 = time.monotonic() - phase2_started

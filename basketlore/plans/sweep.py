@@ -53,10 +53,9 @@ def support_sweep(
     """
     mined = apriori(items, min(supports), support_mode, measures)
     spark = items.sparkSession
-    baskets = mined.run.limits.df.agg(F.coalesce(F.sum("baskets"), F.lit(0)).alias("n")).first()["n"]
 
     def at_each(df: DataFrame, reached: str) -> DataFrame:
-        return _at_each(df, F.lit(baskets), supports, support_mode, reached)
+        return _at_each(df, F.lit(mined.run.limits.total), supports, support_mode, reached)
 
     itemsets = at_each(mined.itemsets, "support")
     frequent = itemsets.groupBy("min_support", F.col("length").alias("level")).agg(
