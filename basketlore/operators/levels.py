@@ -7,7 +7,8 @@ the tail of items that may still extend it:
     chunk, id    the itemset
     weight       number of identical baskets the row stands for
     volume       smallest quantity of the itemset's items (quantity-aware runs)
-    tail         the items after the last one, as structs of code (and qty)
+    tail, pos    an item array, of structs of code (and qty); the itemset may be
+                 extended by the items behind position pos
 
 Counting a level explodes the tails, drops what is no candidate and feeds a
 partial aggregate, all in one stage: the shuffle carries at most one row per
@@ -188,20 +189,25 @@ def split_wide(baskets: DataFrame, item_count: int) -> DataFrame:
     return narrow.unionByName(wide.repartition("basket", "part"))
 
 
-def project_items(baskets: DataFrame, measures: bool) -> DataFrame:
-    """Projection of every item of every basket, from ``split_wide`` rows."""
+def _fits(wanted: Table | None) -> bool:
+    return wanted is not None and wanted.rows * NARROW_ROW_BYTES <= BROADCAST_LIMIT_BYTES
+
+
+def project_items(baskets: DataFrame, wanted: Table | None, measures: bool) -> DataFrame:
+    """Projection of every item of every basket, from ``split_wide`` rows.
+
+    With candidates at hand only their first items start an itemset.
+    """
     volume = ["head.qty AS volume"] if measures else []
-    return (
+    projection = (
         baskets.select("chunk", "weight", "basket", "parts", "part", F.posexplode("basket").alias("pos", "head"))
         .where("pos + 1 < size(basket) AND pos % parts = part")
-        .selectExpr(
-            "chunk",
-            "head.code AS id",
-            "weight",
-            *volume,
-            "slice(basket, pos + 2, size(basket)) AS tail",
-        )
+        .selectExpr("chunk", "head.code AS id", "weight", *volume, "basket AS tail", "pos")
     )
+    if _fits(wanted):
+        first = wanted.df.select("chunk", F.get("codes", F.lit(0)).alias("id"))
+        projection = projection.join(F.broadcast(first), ["chunk", "id"], "left_semi")
+    return projection
 
 
 def project_next(projection: DataFrame, level: Table, measures: bool) -> DataFrame:
@@ -210,15 +216,13 @@ def project_next(projection: DataFrame, level: Table, measures: bool) -> DataFra
     steps = broadcast_within(steps, level.rows, NARROW_ROW_BYTES)
     volume = ["volume"] if measures else []
     heads = projection.select(
-        "chunk", "id", "weight", *volume, "tail", F.posexplode("tail").alias("pos", "head")
-    ).where("pos + 1 < size(tail)")
+        "chunk", "id", "weight", *volume, "tail", "pos", F.posexplode("tail").alias("at", "head")
+    ).where("at > pos AND at + 1 < size(tail)")
     volume = ["least(volume, head.qty) AS volume"] if measures else []
     return (
         heads.withColumn("code", F.col("head.code"))
         .join(steps, ["chunk", "id", "code"])
-        .selectExpr(
-            "chunk", "next_id AS id", "weight", *volume, "slice(tail, pos + 2, size(tail)) AS tail"
-        )
+        .selectExpr("chunk", "next_id AS id", "weight", *volume, "tail", "at AS pos")
     )
 
 
@@ -238,20 +242,42 @@ def count_extensions(projection: DataFrame, wanted: Table | None, measures: bool
             F.sum(F.log1p(joint)).alias("total_log_qty"),
             F.max(joint).alias("max_qty"),
         ]
-    longer = projection.select(
-        "chunk", "id", "weight", *volume, F.inline("tail")
+    longer = (
+        projection.select("chunk", "id", "weight", *volume, "pos", F.posexplode("tail").alias("at", "next"))
+        .where("at > pos")
+        .select("chunk", "id", "weight", *volume, "next.*")
     )
-    if wanted is not None and wanted.rows * NARROW_ROW_BYTES <= BROADCAST_LIMIT_BYTES:
+    if _fits(wanted):
         keys = ["chunk", "id", "code"]
         longer = longer.join(F.broadcast(wanted.df.select(*keys)), keys, "left_semi")
     return longer.groupBy("chunk", "id", "code").agg(*found)
 
 
-def cut(work: Workspace, projection: DataFrame, length: int, name: str) -> DataFrame:
-    """Write the projection that counts ``length`` if it is due."""
-    if length > CUT_EVERY and length % CUT_EVERY == 1:
-        return work.write(projection, f"{name}{length}").df
-    return projection
+class Projections:
+    """The projection that counts a length, streamed from as late a point as there is."""
+
+    def __init__(self, work: Workspace, baskets: DataFrame, name: str, measures: bool):
+        self.work, self.baskets, self.name, self.measures = work, baskets, name, measures
+        self.written: DataFrame | None = None
+        self.depth = 1
+
+    def counting(self, length: int, levels: list[Table], wanted: Table | None) -> DataFrame:
+        """Itemsets one shorter than ``length`` with their tails; ``levels`` are the shorter ones."""
+        if self.written is None:
+            projection = project_items(self.baskets, wanted, self.measures)
+        else:
+            projection = self.written
+        for level in levels[self.depth : length - 1]:
+            projection = project_next(projection, level, self.measures)
+        if length > CUT_EVERY and length % CUT_EVERY == 1:
+            tail = F.expr("slice(tail, pos + 2, size(tail))")
+            rest = projection.withColumns({"tail": tail, "pos": F.lit(-1)})
+            projection = self.work.write(rest, f"{self.name}{length}").df
+            self.written, self.depth = projection, length - 1
+        return projection
+
+    def close(self) -> None:
+        self.work.remove(self.name)
 
 
 def _pair_level(counts: DataFrame, level: Table, measures: bool) -> DataFrame:
@@ -312,7 +338,7 @@ def mine_levels(
     run = LevelRun(limits, item_counts, dictionary, baskets)
     run.levels.append(Level(1, item_counts.rows, level, time.monotonic() - started))
 
-    projection = project_items(split_wide(baskets, dictionary.rows), measures)
+    projections = Projections(work, split_wide(baskets, dictionary.rows), "projection", measures)
     length = 2
     while level.rows > 1:
         started = time.monotonic()
@@ -325,9 +351,7 @@ def mine_levels(
             candidate_count = wanted.rows
         if candidate_count == 0:
             break
-        if wanted is not None:
-            projection = project_next(projection, level, measures)
-            projection = cut(work, projection, length, "projection")
+        projection = projections.counting(length, [v.frequent for v in run.levels], wanted)
         counts = count_extensions(projection, wanted, measures).where(limits.reached())
         if wanted is None:
             found = _pair_level(counts, level, measures)
@@ -338,7 +362,7 @@ def mine_levels(
             Level(length, candidate_count, level, time.monotonic() - started, wanted)
         )
         length += 1
-    work.remove("projection")
+    projections.close()
     return run
 
 

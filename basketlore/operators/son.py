@@ -12,12 +12,10 @@ from basketlore.functions.support import min_count
 from basketlore.operators.apriori import held, stack
 from basketlore.operators.levels import (
     LevelRun,
+    Projections,
     count_extensions,
-    cut,
     measure_columns,
     mine_levels,
-    project_items,
-    project_next,
     split_wide,
     with_chunk,
 )
@@ -78,7 +76,7 @@ def distinct_candidates(work: Workspace, run: LevelRun) -> list[Table]:
 
 
 def _count_candidates(
-    work: Workspace, run: LevelRun, tables: list[Table], measures: bool
+    run: LevelRun, tables: list[Table], projections: Projections, measures: bool
 ) -> list[DataFrame]:
     """Support of every candidate over all baskets, one frame per length."""
     columns = measure_columns(measures)
@@ -91,15 +89,11 @@ def _count_candidates(
             F.array("item").alias("items"), F.lit(1).alias("length"), "support", *columns
         )
     ]
-    baskets = split_wide(run.baskets.withColumn("chunk", F.lit(0)), run.dictionary.rows)
-    projection = project_items(baskets, measures)
     for length, table in enumerate(tables[1:], start=2):
         wanted = Table(
-            table.df.select("chunk", F.col("pid").alias("id"), "code"), table.rows
+            table.df.select("chunk", F.col("pid").alias("id"), "code", "codes"), table.rows
         )
-        if length > 2:
-            projection = project_next(projection, tables[length - 2], measures)
-            projection = cut(work, projection, length, "counting")
+        projection = projections.counting(length, tables, wanted)
         names = table.df.select("chunk", F.col("pid").alias("id"), "code", "items")
         names = broadcast_within(names, table.rows, 64 * (length + 1))
         counted.append(
@@ -136,10 +130,12 @@ def son(
 
     phase2_started = time.monotonic()
     least = min_count(F.lit(run.limits.total), min_support, support_mode)
-    counted = stack(_count_candidates(work, run, tables, measures))
+    baskets = split_wide(run.baskets.withColumn("chunk", F.lit(0)), run.dictionary.rows)
+    projections = Projections(work, baskets, "counting", measures)
+    counted = stack(_count_candidates(run, tables, projections, measures))
     final = work.write(counted.where(F.col("support") >= least), "itemsets")
     run.baskets.unpersist()
-    work.remove("counting")
+    projections.close()
     phase2 = time.monotonic() - phase2_started
 
     local = stack(
