@@ -220,12 +220,10 @@ def _pruning() -> str:
 
 
 HISTOGRAM = """, ends AS (SELECT min(Max_Qty) AS low, max(Max_Qty) AS high FROM patterns),
-grid AS (SELECT CAST(bin AS INTEGER) AS bin, low, (high - low) / 30 AS width FROM range(30) r(bin), ends),
-placed AS (SELECT least(CAST(floor((Max_Qty - low) / ((high - low) / 30)) AS INTEGER), 29) AS bin
-           FROM patterns, ends)
-SELECT grid.bin AS bin, round(low + grid.bin * width, 6) AS bin_start,
-       round(low + (grid.bin + 1) * width, 6) AS bin_end, count(placed.bin) AS patterns
-FROM grid LEFT JOIN placed ON placed.bin = grid.bin GROUP BY grid.bin, low, width"""
+edges AS (SELECT CAST(bin AS INTEGER) AS bin, low + bin * ((high - low) / 30) AS lo,
+                 low + (bin + 1) * ((high - low) / 30) AS hi FROM range(30) r(bin), ends)
+SELECT bin, round(lo, 6) AS bin_start, round(hi, 6) AS bin_end, count(Max_Qty) AS patterns
+FROM edges LEFT JOIN patterns ON Max_Qty >= lo AND (Max_Qty < hi OR bin = 29) GROUP BY bin, lo, hi"""
 
 DENSITY = """, ends AS (
   SELECT count(*) AS n, min(Max_Qty) AS low, max(Max_Qty) AS high,

@@ -21,7 +21,8 @@ def short_label(text: Column, width: int = LABEL_WIDTH) -> Column:
 
 
 def percent_label(ratio: Column) -> Column:
-    return F.format_string("%.1f%%", ratio * 100)
+    """One decimal; rounds the binary value, exact halves to the even digit."""
+    return F.concat(F.translate(F.format_number(ratio * 100, 1), ",", ""), F.lit("%"))
 
 
 def algorithm_name(key: Column) -> Column:

@@ -67,8 +67,8 @@ def apriori(
     """
     started = time.monotonic()
     work = Workspace(items.sparkSession, "apriori")
-    with held(with_chunk(items, F.lit(0))) as source:
-        run = mine_levels(work, source, min_support, support_mode, measures)
+    with held(items) as source:
+        run = mine_levels(work, with_chunk(source, F.lit(0)), min_support, support_mode, measures)
         run.baskets.unpersist()
     columns = ["support", *measure_columns(measures)]
     itemsets = stack(

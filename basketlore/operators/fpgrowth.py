@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +33,30 @@ def frequent_baskets(items: DataFrame, min_support: float) -> DataFrame:
     )
 
 
+def fit_fpgrowth(
+    items: DataFrame, min_support: float, num_partitions: int | None = None
+) -> FPGrowthModel:
+    """The fitted estimator; its itemsets are mined when they are read."""
+    estimator = FPGrowth(itemsCol="items", minSupport=min_support)
+    if num_partitions is not None:
+        estimator = estimator.setNumPartitions(num_partitions)
+    return estimator.fit(frequent_baskets(items, min_support))
+
+
+def mine_model(model: FPGrowthModel) -> DataFrame:
+    """The model's itemsets, mined once and written."""
+    found = model.freqItemsets.select(
+        F.array_sort("items").alias("items"),
+        F.size("items").alias("length"),
+        F.col("freq").alias("support"),
+    )
+    return Workspace(found.sparkSession, "fpgrowth").write(found, "itemsets").df
+
+
 def fpgrowth(items: DataFrame, min_support: float, num_partitions: int | None = None) -> DataFrame:
     """``(items, length, support)`` of every itemset with count >= ceil(baskets * min_support)."""
     with held(items) as source:
-        estimator = FPGrowth(itemsCol="items", minSupport=min_support)
-        if num_partitions is not None:
-            estimator = estimator.setNumPartitions(num_partitions)
-        model = estimator.fit(frequent_baskets(source, min_support))
-        found = model.freqItemsets.select(
-            F.array_sort("items").alias("items"),
-            F.size("items").alias("length"),
-            F.col("freq").alias("support"),
-        )
-        return Workspace(items.sparkSession, "fpgrowth").write(found, "itemsets").df
+        return mine_model(fit_fpgrowth(source, min_support, num_partitions))
 
 
 def itemset_summary(itemsets: DataFrame) -> DataFrame:

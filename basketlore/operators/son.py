@@ -121,10 +121,9 @@ def son(
     started = time.monotonic()
     work = Workspace(spark, "son")
     chunk = basket_chunk(num_chunks, "basket_id", dict(items.dtypes)["basket_id"])
-    with held(with_chunk(items, chunk)) as source:
-        # Phase 1 only decides which itemsets to count; quantities wait for phase 2,
-        # but both phases read the same encoded baskets.
-        run = mine_levels(work, source, min_support, support_mode, measures, num_chunks)
+    with held(items) as source:
+        chunked = with_chunk(source, chunk)
+        run = mine_levels(work, chunked, min_support, support_mode, measures, num_chunks)
     tables = distinct_candidates(work, run)
     phase1 = time.monotonic() - started
 

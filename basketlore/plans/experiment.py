@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlore.operators.apriori import apriori, held, stack
-from basketlore.operators.fpgrowth import fpgrowth, itemset_summary
+from basketlore.operators.fpgrowth import fit_fpgrowth, itemset_summary, mine_model
 from basketlore.operators.son import son
 from basketlore.plans.reports import DEFAULT_TOP, pattern_table, top_itemsets
 from basketlore.plans.sweep import DEFAULT_SUPPORTS, son_summary
@@ -34,9 +34,9 @@ def _apriori_run(items: DataFrame, support: float) -> dict:
 
 def _fpgrowth_run(items: DataFrame, support: float) -> dict:
     started = time.monotonic()
-    found = fpgrowth(items, support)
+    model = fit_fpgrowth(items, support)
     built = time.monotonic()
-    summary = itemset_summary(found).first()
+    summary = itemset_summary(mine_model(model)).first()
     ended = time.monotonic()
     return {
         "build_time": built - started,

@@ -79,9 +79,13 @@ def max_qty_histogram(patterns: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
     edge = F.lit(low) + F.col("bin") * F.lit(width)
+    next_edge = F.lit(low) + (F.col("bin") + 1) * F.lit(width)
     place = F.floor((F.col("Max_Qty") - F.lit(low)) / F.lit(width)).cast("int")
+    # The division may land one bin off a value that lies on an edge.
+    step = F.when(F.col("Max_Qty") < edge, -1).when(F.col("Max_Qty") >= next_edge, 1).otherwise(0)
     counts = (
-        patterns.withColumn("bin", F.least(place, F.lit(bins - 1)))
+        patterns.withColumn("bin", place)
+        .withColumn("bin", F.least(F.col("bin") + step, F.lit(bins - 1)))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("found"))
     )
@@ -89,7 +93,7 @@ def max_qty_histogram(patterns: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
     return every.join(counts, "bin", "left").select(
         "bin",
         edge.alias("bin_start"),
-        (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
+        next_edge.alias("bin_end"),
         F.coalesce("found", F.lit(0)).alias("patterns"),
     )
 

@@ -64,6 +64,11 @@ def test_density_matches_its_formula(patterns):
 
 
 def test_labels(spark):
+    ratios = [0.03, 0.025, 0.0025, 0.0125, 0.0035, 0.00375, 0.5, 1.0, 12.5]
+    labels = [
+        spark.range(1).select(percent_label(F.lit(r))).first()[0] for r in ratios
+    ]
+    assert labels == [f"{r * 100:.1f}%" for r in ratios]
     row = spark.range(1).select(
         short_label(F.lit("x" * 30)).alias("fits"),
         short_label(F.lit("x" * 31)).alias("cut"),
