@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from basketlore.llm.byte_bpe import encode
 from basketlore.llm.exact_dedup import exact_dedup
 from basketlore.llm.secret_scan import secret_scan
 from basketlore.llm.shared import documents
@@ -35,3 +37,8 @@ FROM d JOIN g ON d.text = g.text
 @query
 def op10_secret_scan(spark, folder):
     return secret_scan(documents(spark, folder))
+
+
+@query
+def op4_byte_bpe(spark, folder):
+    return encode(documents(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
