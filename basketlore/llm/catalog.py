@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketlore.llm.byte_bpe import encode
 from basketlore.llm.exact_dedup import exact_dedup
+from basketlore.llm.fingerprint import fingerprint_edits
 from basketlore.llm.secret_scan import secret_scan
 from basketlore.llm.shared import documents
 
@@ -42,3 +43,8 @@ def op10_secret_scan(spark, folder):
 @query
 def op4_byte_bpe(spark, folder):
     return encode(documents(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op5_fingerprint(spark, folder):
+    return fingerprint_edits(documents(spark, folder))
