@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basketlore.llm.byte_bpe import encode
 from basketlore.llm.exact_dedup import exact_dedup
 from basketlore.llm.fingerprint import fingerprint_edits
+from basketlore.llm.license_scan import license_scan
 from basketlore.llm.secret_scan import secret_scan
 from basketlore.llm.shared import documents
 
@@ -48,3 +49,8 @@ def op4_byte_bpe(spark, folder):
 @query
 def op5_fingerprint(spark, folder):
     return fingerprint_edits(documents(spark, folder))
+
+
+@query
+def op6_license_scan(spark, folder):
+    return license_scan(documents(spark, folder))
