@@ -23,11 +23,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlore.llm.shared import Scratch, text_of
+from basketlore.llm.shared import text_of
 
 INNER = 8
 WINDOW = 24
@@ -153,22 +154,6 @@ _RESULT = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
-_EDGES = "part int, first_text string, last_id bigint, last_text string"
-_SCHEMA = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("n_chars", pa.int64()),
-        ("edited_sha256", pa.string()),
-        ("fingerprint", pa.string()),
-        ("edited_fingerprint", pa.string()),
-        ("near_edited", pa.float64()),
-        ("near_next", pa.float64()),
-        ("part", pa.int32()),
-        ("first_text", pa.string()),
-        ("last_id", pa.int64()),
-        ("last_text", pa.string()),
-    ]
-)
 
 
 def _compared(doc_id, text, own, following, following_sketch, anchors):
@@ -186,43 +171,50 @@ def _compared(doc_id, text, own, following, following_sketch, anchors):
     }
 
 
-def _rows(pending):
-    return pa.RecordBatch.from_pylist(pending, _SCHEMA)
-
-
 def _neighbours(anchors):
-    """Compare each row with the next of the sorted partition; report the partition's two ends."""
+    """Compare each row of a sorted range with the next; the range's last meets the first of the next range."""
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("n_chars", pa.int64()),
+            ("edited_sha256", pa.string()),
+            ("fingerprint", pa.string()),
+            ("edited_fingerprint", pa.string()),
+            ("near_edited", pa.float64()),
+            ("near_next", pa.float64()),
+        ]
+    )
 
     def run(batches):
-        part, before, first = None, None, None
+        before, ended = None, False
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                text = row["text"]
+            columns = (batch[c].to_pylist() for c in ("doc_id", "guest"))
+            for doc_id, guest, value in zip(*columns, batch["text"], strict=True):
+                if ended:
+                    break
+                text = value.as_py()
                 own = sketch(text, anchors)
-                if before is None:
-                    part, first = row["part"], text
-                else:
+                if before is not None:
                     out.append(_compared(*before, text, own, anchors))
-                before = (row["doc_id"], text, own)
-            yield _rows(out)
-        if before is not None:
-            ends = {"part": part, "first_text": first, "last_id": before[0], "last_text": before[1]}
-            yield _rows([ends])
+                before, ended = (doc_id, text, own), guest
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
 
-def _edges(anchors):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own, other = sketch(row["last_text"], anchors), sketch(row["first_text"], anchors)
-                out.append(_compared(row["last_id"], row["last_text"], own, row["first_text"], other, anchors))
-            yield _rows(out).select(_SCHEMA.names[:7])
+def _range_of(bounds):
+    """Number of the range, counted from the largest id; null ids are in the last one."""
+    ascending = np.array(sorted(set(bounds)), np.int64)
 
-    return run
+    @F.pandas_udf("int")
+    def number(ids: pd.Series) -> pd.Series:
+        known = ids.notna()
+        values = ids.where(known, 0).astype("int64").to_numpy()
+        below = ascending.size - np.searchsorted(ascending, values, side="right")
+        return pd.Series(np.where(known, below, ascending.size + 1).astype(np.int32))
+
+    return number, ascending.size + 2
 
 
 def fingerprint_edits(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
@@ -230,27 +222,32 @@ def fingerprint_edits(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
 
     The edited text replaces the last half of the code points by the first as
     many of the next document, by descending doc_id; after the last comes the
-    first. Null ids come last, repeated ids by content. Texts are exchanged once,
-    by range of id; only the two ends of each range meet in a second step.
+    first. Null ids come last, repeated ids by content.
+
+    The rows are dealt by range of id, each range to one task. The first document
+    of a range also visits the range before it. Of the ids, the driver sees the
+    bounds and the first of each range.
     """
-    work = Scratch(docs.sparkSession, "fingerprint")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
-    numbered = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    all_rows = work.write(numbered.mapInArrow(_neighbours(anchors), f"{_RESULT}, {_EDGES}"), "neighbours")
-
-    ends = all_rows.where("part IS NOT NULL").select("part", "first_text", "last_id", "last_text")
-    # One row for each range: the driver only sees their numbers.
-    order_of = sorted(r["part"] for r in ends.select("part").collect())
-    inside = all_rows.where("part IS NULL").select(*_SCHEMA.names[:7])
-    if not order_of:
-        return inside
-    behind = docs.sparkSession.createDataFrame(
-        list(zip(order_of, [*order_of[1:], order_of[0]], strict=True)), "part int, behind int"
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    steps = [i / parts for i in range(1, parts)] or [0.5]
+    bounds = rows.agg(F.percentile_approx("doc_id", steps, 100 * parts).alias("b")).first()["b"] or []
+    number, parts = _range_of(bounds)
+    ranged = rows.withColumn("part", number("doc_id"))
+    # By descending id, then ascending tie: the complement of the tie turns its order around.
+    firsts = (
+        ranged.groupBy("part")
+        .agg(F.max(F.struct("doc_id", F.bitwise_not("tie").alias("tie"))).alias("first"))
+        .orderBy("part")
+        .select("part", "first.doc_id", F.bitwise_not(F.col("first.tie")).alias("tie"))
+        .collect()
     )
-    firsts = ends.select(F.col("part").alias("behind"), "first_text")
-    pairs = ends.select("part", "last_id", "last_text").join(behind, "part").join(firsts, "behind")
-    return inside.unionByName(pairs.select("last_id", "last_text", "first_text").mapInArrow(_edges(anchors), _RESULT))
+    visits = [(r["doc_id"], r["tie"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
+    hosts = spark.createDataFrame(visits, "first_id bigint, first_tie bigint, host int")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
+    guests = ranged.join(F.broadcast(hosts), is_first).select("doc_id", "tie", "text", F.col("host").alias("part"), F.lit(True).alias("guest"))
+    dealt = ranged.withColumn("guest", F.lit(False)).unionByName(guests).repartitionById(parts, F.col("part"))
+    ordered = dealt.sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    return ordered.select("doc_id", "guest", "text").mapInArrow(_neighbours(anchors), _RESULT)

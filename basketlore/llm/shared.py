@@ -63,6 +63,12 @@ class Scratch:
         found._scratch_path = path
         return found
 
+    @staticmethod
+    def same_table(view: DataFrame, table: DataFrame) -> DataFrame:
+        """Mark ``view`` as read from the table's files, so that it can be dropped."""
+        view._scratch_path = table._scratch_path
+        return view
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
