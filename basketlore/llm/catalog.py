@@ -11,6 +11,7 @@ from basketlore.llm.byte_bpe import encode
 from basketlore.llm.exact_dedup import exact_dedup
 from basketlore.llm.fingerprint import fingerprint_edits
 from basketlore.llm.license_scan import license_scan
+from basketlore.llm.ngram_join import ngram_jaccard_join
 from basketlore.llm.secret_scan import secret_scan
 from basketlore.llm.shared import documents
 
@@ -54,3 +55,8 @@ def op5_fingerprint(spark, folder):
 @query
 def op6_license_scan(spark, folder):
     return license_scan(documents(spark, folder))
+
+
+@query
+def op8_ngram_join(spark, folder):
+    return ngram_jaccard_join(documents(spark, folder))
