@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlore.llm.shared import Scratch, text_of
+from basketlore.llm.shared import Scratch, ship_package, text_of
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
@@ -260,6 +260,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             found = [b"".join(map(table.__getitem__, ids.as_py() or ())) for ids in batch["ids"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "bytes"])
 
+    ship_package(encoded.sparkSession)
     return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(
         run, "doc_id bigint, bytes binary"
     )

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlore.llm.shared import text_of
+from basketlore.llm.shared import ship_package, text_of
 
 INNER = 8
 WINDOW = 24
@@ -143,6 +143,7 @@ def fingerprints(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
             found = [to_text(sketch(t.as_py(), anchors)) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fingerprint string")
 
@@ -229,6 +230,7 @@ def fingerprint_edits(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
     bounds and the first of each range.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))

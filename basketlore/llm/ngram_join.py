@@ -54,7 +54,7 @@ LEAST_SIZE = 4
 # Levels of one-shingle pivots: sets that link share LEAST_SIZE shingles at least.
 LEVELS = LEAST_SIZE
 # Members of a region that are all compared with each other.
-SMALL_REGION = 12
+SMALL_REGION = 128
 # Rounds of pivot documents between two splits.
 PIVOT_ROUNDS = 2
 PROFILE = 128

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import math
+import os
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -10,8 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bytes of input that one partition of a shuffle should hold.
-PARTITION_BYTES = 16 << 20
+_SHIPPED: set[str] = set()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,6 +25,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return found
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, for functions that run in Python there; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="basketlore-"), "basketlore_package")
+    context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+    _SHIPPED.add(context.applicationId)
+
+
 @contextmanager
 def _shuffles_removed(spark: SparkSession):
     """Shuffle files of a finished write are of no use: its table is what is read."""
@@ -47,6 +58,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._made = 0
@@ -75,16 +87,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions_for(spark: SparkSession, size: int | None) -> int:
-    """Shuffle partitions for so many bytes of input, never fewer than the session asks for."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil((size or 0) / PARTITION_BYTES))
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 def text_of(column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
