@@ -12,8 +12,9 @@ from basketlore.llm.exact_dedup import exact_dedup
 from basketlore.llm.fingerprint import fingerprint_edits
 from basketlore.llm.license_scan import license_scan
 from basketlore.llm.ngram_join import ngram_jaccard_join
+from basketlore.llm.quality import quality_classifier
 from basketlore.llm.secret_scan import secret_scan
-from basketlore.llm.shared import documents
+from basketlore.llm.shared import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,3 +61,8 @@ def op6_license_scan(spark, folder):
 @query
 def op8_ngram_join(spark, folder):
     return ngram_jaccard_join(documents(spark, folder))
+
+
+@query
+def op3_quality(spark, folder):
+    return quality_classifier(documents(spark, folder), labels(spark, folder))
