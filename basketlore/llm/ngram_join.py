@@ -195,8 +195,9 @@ class _Join:
         text = text_of()
         self.rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
         frequent = _frequent(self.work, self.rows)
-        self.sets = self.work.write(self.rows.mapInArrow(_describe(frequent), _SET_ROW), "sets")
-        by_class = self.sets.groupBy("digest", "n").agg(
+        described = self.work.write(self.rows.mapInArrow(_describe(frequent), _SET_ROW), "described")
+        self.sets = self.work.write(described.select("doc_id", "key", "digest", "n"), "sets")
+        by_class = described.groupBy("digest", "n").agg(
             F.min("doc_id").alias("first_id"),
             F.any_value("key").alias("key"),
             F.any_value("anchors").alias("anchors"),
@@ -204,6 +205,7 @@ class _Join:
         )
         # Numbered when written, so a number stays with its class.
         self.classes = self.work.write(by_class.withColumn("node", F.monotonically_increasing_id()), "classes")
+        self.work.drop(described)
         self.compared = self.shingles = self.labels = None
 
     # Regions
@@ -272,7 +274,7 @@ class _Join:
         near = 100 * 2 * differ <= 2 * (100 - PERCENT) * (total + differ)
         bounded = self.work.write(both.select("a", "b", "n_a", "n_b", near.alias("near")), "bounded")
         todo = bounded.where("near").select("a", "b", "n_a", "n_b")
-        sets = self._sets_of()
+        sets = self._sets_of(todo.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         common = F.size(F.array_intersect("x", "y")).cast("bigint")
         exact = (
             todo.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -297,19 +299,22 @@ class _Join:
         if before is not None:
             self.work.drop(before)
 
-    def _sets_of(self) -> DataFrame:
-        """Shingle sets of the classes that share a region with another, computed once."""
-        if self.shingles is None:
-            needed = self.members.select("node").distinct().join(self.classes.select("node", "key"), "node")
-            # Copies meet in the task that reads them.
-            texts = self.rows.groupBy("key").agg(F.any_value("text").alias("text"))
-            rows = texts.join(needed, "key").select("node", "text")
-            self.shingles = self.work.write(rows.mapInArrow(_shingle_sets, "node bigint, shingles array<bigint>"), "shingles")
+    def _sets_of(self, nodes: DataFrame) -> DataFrame:
+        """Shingle sets of the classes to be compared; each is computed once."""
+        if self.shingles is not None:
+            nodes = nodes.join(self.shingles.select("node"), "node", "left_anti")
+        needed = nodes.join(self.classes.select("node", "key"), "node")
+        # Copies meet in the task that reads them.
+        texts = self.rows.groupBy("key").agg(F.any_value("text").alias("text"))
+        rows = texts.join(needed, "key").select("node", "text")
+        new = self.work.write(rows.mapInArrow(_shingle_sets, "node bigint, shingles array<bigint>"), "shingles")
+        self.shingles = new if self.shingles is None else self.shingles.unionByName(new)
         return self.shingles
 
     def run(self) -> None:
-        self.members = self.first_regions()
-        members = self.open_regions(self.members)
+        first = self.first_regions()
+        members = self.open_regions(first)
+        self.work.drop(first)
         while not members.isEmpty():
             # A region of three and more is first seen by its pivot only: most are connected then.
             is_small = (F.col("size") == 2) | ((F.col("size") <= SMALL_REGION) & (F.col("rounds") > 0))
