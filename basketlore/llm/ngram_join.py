@@ -259,7 +259,11 @@ class _Join:
     # Distances
 
     def measure(self, pairs: DataFrame) -> None:
-        """Distances of new pairs (a, b), exact up to 0.4; adds links, renews components."""
+        """Distances of new pairs (a, b, wide); adds links, renews components.
+
+        A distance is computed unless the profiles show that it is over 0.2, over
+        0.4 if ``wide``; such pairs get none, or 1.
+        """
         if self.compared is not None:
             pairs = pairs.join(self.compared.select("a", "b"), ["a", "b"], "left_anti")
         side = self.classes.select("node", "n", "profile")
@@ -271,8 +275,9 @@ class _Join:
         total = F.col("n_a") + F.col("n_b")
         differ = F.greatest(apart.cast("bigint"), F.abs(F.col("n_a") - F.col("n_b")))
         # |x - y| + |y - x| >= differ, so the distance is at least 2 differ / (total + differ).
-        near = 100 * 2 * differ <= 2 * (100 - PERCENT) * (total + differ)
-        bounded = self.work.write(both.select("a", "b", "n_a", "n_b", near.alias("near")), "bounded")
+        reach = F.when(F.col("wide"), 2 * (100 - PERCENT)).otherwise(100 - PERCENT)
+        near = 100 * 2 * differ <= reach * (total + differ)
+        bounded = self.work.write(both.select("a", "b", "n_a", "n_b", "wide", near.alias("near")), "bounded")
         todo = bounded.where("near").select("a", "b", "n_a", "n_b")
         sets = self._sets_of(todo.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         common = F.size(F.array_intersect("x", "y")).cast("bigint")
@@ -287,7 +292,8 @@ class _Join:
                 (100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).alias("linked"),
             )
         )
-        far = bounded.where("NOT near").select("a", "b", F.lit(1.0).alias("distance"), F.lit(False).alias("linked"))
+        unknown = F.when(F.col("wide"), 1.0).alias("distance")
+        far = bounded.where("NOT near").select("a", "b", unknown, F.lit(False).alias("linked"))
         new = self.work.write(exact.unionByName(far), "compared")
         self.work.drop(bounded)
         self.compared = new if self.compared is None else self.compared.unionByName(new)
@@ -320,11 +326,14 @@ class _Join:
             is_small = (F.col("size") == 2) | ((F.col("size") <= SMALL_REGION) & (F.col("rounds") > 0))
             small = members.where(is_small)
             left, right = (small.select("region", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-            pairs = left.join(right, "region").where("a < b AND ca <> cb").select("a", "b")
+            pairs = left.join(right, "region").where("a < b AND ca <> cb").select("a", "b", F.lit(False).alias("wide"))
             large = members.where(~is_small)
             pivots = large.where("node = pivot").select("region", F.col("component").alias("own"))
-            to_pivot = large.join(pivots, "region").where("component <> own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            self.measure(self.work.write(pairs.union(to_pivot).distinct(), "pairs"))
+            to_pivot = large.join(pivots, "region").where("component <> own")
+            # Only regions that go on with windows need distances beyond the ball.
+            wide = (F.col("size") > SMALL_REGION).alias("wide")
+            pairs = pairs.union(to_pivot.select(F.col("pivot").alias("a"), F.col("node").alias("b"), wide))
+            self.measure(self.work.write(pairs.groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs"))
             after = self._remainder(large)
             due = (F.col("rounds") >= PIVOT_ROUNDS) & (F.col("level") < LEVELS)
             following = after.where(~due).unionByName(self.split(after.where(due)))
@@ -342,8 +351,9 @@ class _Join:
         rows = known.join(own, "region")
         inside = F.col("component") == F.col("own")
         # The nearest member that is not connected to the pivot yet.
-        nearest = rows.where(~inside).groupBy("region").agg(F.min("distance").alias("nearest"))
-        # Without a distance, as the pair was connected before it was compared, nothing is known.
+        nearest = rows.where(~inside).groupBy("region").agg(F.min(F.coalesce("distance", F.lit(ball))).alias("nearest"))
+        # Without a distance, as the pair was connected before it was compared, nothing is known;
+        # of others it is at least known that they are outside the ball.
         stays = ~inside | F.col("distance").isNull() | (F.col("distance") > ball) | (F.col("nearest") <= F.col("distance") + ball + 1e-9)
         return (
             rows.join(nearest, "region")
