@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basketlore.llm.byte_bpe import encode
 from basketlore.llm.exact_dedup import exact_dedup
 from basketlore.llm.fingerprint import fingerprint_edits
+from basketlore.llm.katz import katz_scores
 from basketlore.llm.license_scan import license_scan
 from basketlore.llm.ngram_join import ngram_jaccard_join
 from basketlore.llm.quality import quality_classifier
@@ -66,3 +67,8 @@ def op8_ngram_join(spark, folder):
 @query
 def op3_quality(spark, folder):
     return quality_classifier(documents(spark, folder), labels(spark, folder))
+
+
+@query
+def op9_katz(spark, folder):
+    return katz_scores(documents(spark, folder))

@@ -67,10 +67,10 @@ class Scratch:
         self._made += 1
         return f"{self.root}/{self._made}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = self.path(name)
         with _shuffles_removed(self.spark):
-            df.write.parquet(path)
+            df.write.parquet(path, partitionBy=partition_by)
         found = self.spark.read.schema(df.schema).parquet(path)
         found._scratch_path = path
         return found
