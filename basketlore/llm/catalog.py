@@ -16,6 +16,7 @@ from basketlore.llm.ngram_join import ngram_jaccard_join
 from basketlore.llm.quality import quality_classifier
 from basketlore.llm.secret_scan import secret_scan
 from basketlore.llm.shared import documents, labels
+from basketlore.llm.tool_calls import link_conversations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,3 +73,43 @@ def op3_quality(spark, folder):
 @query
 def op9_katz(spark, folder):
     return katz_scores(documents(spark, folder))
+
+
+@query
+def op7_tool_calls(spark, folder):
+    return link_conversations(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+ORACLE_SQL["op7_tool_calls"] = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text,
+    CASE role WHEN 'assistant' THEN 'call' WHEN 'user' THEN 'result' ELSE coalesce(role, 'unknown') END AS kind
+  FROM conversations
+),
+c AS (
+  SELECT DISTINCT a.conv_id, a.turn, r.turn IS NOT NULL AS answered
+  FROM m a LEFT JOIN m r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1 AND r.kind = 'result'
+  WHERE a.kind = 'call'
+),
+l AS (
+  SELECT c.conv_id, c.turn, c.answered, 0 AS level
+  FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2 AND p.answered
+  WHERE p.turn IS NULL
+  UNION ALL
+  SELECT c.conv_id, c.turn, c.answered, l.level + 2
+  FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2 WHERE l.answered
+)
+SELECT m.conv_id, m.turn, m.kind,
+  CASE m.kind WHEN 'call' THEN m.conv_id || ':' || m.turn WHEN 'result' THEN m.conv_id || ':' || (m.turn - 1) END AS call_id,
+  CASE m.kind WHEN 'call' THEN l.level WHEN 'result' THEN l.level + 1 END AS level,
+  CASE WHEN m.kind = 'call' THEN CASE WHEN l.answered THEN 'linked' ELSE 'open' END
+    WHEN m.kind = 'result' THEN CASE WHEN l.turn IS NULL THEN 'orphan' ELSE 'linked' END
+    ELSE 'plain' END AS status,
+  CASE WHEN m.kind <> 'call' THEN '' WHEN length(m.text) < 1 THEN 'chars: below 1'
+    WHEN length(m.text) > 1500 THEN 'chars: above 1500' ELSE '' END AS errors,
+  CASE WHEN m.kind = 'call' THEN '{"arguments":{"chars":' || length(m.text) || ',"text":' || to_json(m.text) || '},"id":"'
+      || m.conv_id || ':' || m.turn || '","name":"answer","type":"call"}'
+    WHEN m.kind = 'result' THEN '{"content":' || to_json(m.text) || ',"id":"' || m.conv_id || ':' || (m.turn - 1) || '","type":"result"}'
+    ELSE '{"content":' || to_json(m.text) || ',"type":' || to_json(m.kind) || '}' END AS json
+FROM m LEFT JOIN l ON l.conv_id = m.conv_id AND l.turn = CASE m.kind WHEN 'call' THEN m.turn WHEN 'result' THEN m.turn - 1 END
+"""
