@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from basketlore.llm.byte_bpe import encode
 from basketlore.llm.exact_dedup import exact_dedup
 from basketlore.llm.fingerprint import fingerprint_edits
 from basketlore.llm.katz import katz_scores
 from basketlore.llm.license_scan import license_scan
+from basketlore.llm.mixing import mix
 from basketlore.llm.ngram_join import ngram_jaccard_join
 from basketlore.llm.quality import quality_classifier
 from basketlore.llm.secret_scan import secret_scan
@@ -113,3 +115,13 @@ SELECT m.conv_id, m.turn, m.kind,
     ELSE '{"content":' || to_json(m.text) || ',"type":' || to_json(m.kind) || '}' END AS json
 FROM m LEFT JOIN l ON l.conv_id = m.conv_id AND l.turn = CASE m.kind WHEN 'call' THEN m.turn WHEN 'result' THEN m.turn - 1 END
 """
+
+
+@query
+def op2_mixing(spark, folder):
+    return mix(documents(spark, folder))
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
