@@ -53,13 +53,13 @@ PERCENT = 80
 LEAST_SIZE = 4
 # Levels of one-shingle pivots: sets that link share LEAST_SIZE shingles at least.
 LEVELS = LEAST_SIZE
-# Members of a region that are all compared with each other.
-SMALL_REGION = 128
+# Members of a region whose profiles are all compared with each other.
+SMALL_REGION = 512
 # Rounds of pivot documents between two splits.
 PIVOT_ROUNDS = 2
 PROFILE = 128
 # Frequent shingles are at most this many: they hold a share of all of at least its inverse.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 22
 
 _P = np.uint64(0xD6E8FEB86659FD93)
 
@@ -111,7 +111,7 @@ def _count_together(batches):
         yield counted(held)
 
 
-_SET_ROW = "doc_id bigint, key binary, digest binary, n bigint, anchors array<bigint>, profile array<smallint>"
+_SET_ROW = "doc_id bigint, key binary, digest binary, n bigint, anchors array<bigint>, profile binary"
 
 
 def _describe(frequent):
@@ -126,7 +126,7 @@ def _describe(frequent):
                 ("digest", pa.binary()),
                 ("n", pa.int64()),
                 ("anchors", pa.list_(pa.int64())),
-                ("profile", pa.list_(pa.int16())),
+                ("profile", pa.binary()),
             ]
         )
         for batch, first, sets in _sets(batches):
@@ -135,7 +135,7 @@ def _describe(frequent):
                 n = found.size
                 if n < LEAST_SIZE:
                     anchors.append(found[:0].view(np.int64))
-                    profiles.append(np.zeros(0, np.int16))
+                    profiles.append(b"")
                     continue
                 at = np.minimum(np.searchsorted(hot, found), max(hot.size - 1, 0))
                 is_hot = hot[at] == found if hot.size else np.zeros(n, bool)
@@ -143,7 +143,7 @@ def _describe(frequent):
                 order = np.concatenate((found[~is_hot], often[np.argsort(docs[at[is_hot]], kind="stable")]))
                 anchors.append(order[: window(n) + LEVELS - 1].view(np.int64))
                 counts = np.bincount((found & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
-                profiles.append(np.minimum(counts, 30_000).astype(np.int16))
+                profiles.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
             part = batch.slice(first, len(sets))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -152,7 +152,7 @@ def _describe(frequent):
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([s.size for s in sets], pa.int64()),
                     pa.array(anchors, pa.list_(pa.int64())),
-                    pa.array(profiles, pa.list_(pa.int16())),
+                    pa.array(profiles, pa.binary()),
                 ],
                 schema=schema,
             )
@@ -160,6 +160,62 @@ def _describe(frequent):
     return run
 
 
+def _profiles(column):
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+
+
+def _within(differ, total, percent):
+    """Whether sets that differ in so many shingles at least may be within the distance.
+
+    |x - y| + |y - x| >= differ, so the distance is at least 2 differ / (total + differ).
+    """
+    return 200 * differ <= percent * (total + differ)
+
+
+def _bound_pairs(batches):
+    """Mark the pairs that their profiles and sizes allow to be near."""
+    for batch in batches:
+        n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+        apart = np.abs(_profiles(batch["profile_a"]) - _profiles(batch["profile_b"])).sum(axis=1, dtype=np.int64)
+        percent = np.where(batch["wide"].to_numpy(zero_copy_only=False), 2 * (100 - PERCENT), 100 - PERCENT)
+        near = _within(np.maximum(apart, np.abs(n_a - n_b)), n_a + n_b, percent)
+        columns = [*(batch[c] for c in ("a", "b", "n_a", "n_b", "wide")), pa.array(near)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "wide", "near"])
+
+
+def _near_in_regions(batches):
+    """Pairs of different components in a region whose profiles allow a link; regions come one after another."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def near(rows):
+        node, n, component = (np.concatenate([r[i] for r in rows]) for i in range(3))
+        profiles = np.concatenate([r[3] for r in rows])
+        order = np.argsort(node)
+        node, n, component, profiles = node[order], n[order], component[order], profiles[order]
+        for i in range(node.size - 1):
+            apart = np.abs(profiles[i + 1 :] - profiles[i]).sum(axis=1, dtype=np.int64)
+            fits = _within(np.maximum(apart, np.abs(n[i + 1 :] - n[i])), n[i + 1 :] + n[i], 100 - PERCENT)
+            found = np.flatnonzero(fits & (component[i + 1 :] != component[i])) + i + 1
+            if found.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, node[i])), pa.array(node[found])], schema=schema)
+
+    region, held = None, []
+    for batch in batches:
+        regions = batch["region"].to_numpy()
+        columns = [batch[c].to_numpy() for c in ("node", "n", "component")] + [_profiles(batch["profile"])]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(regions)) + 1, [regions.size]))
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            if start == end:
+                continue
+            if region != regions[start]:
+                if held:
+                    yield from near(held)
+                region, held = regions[start], []
+            held.append([c[start:end] for c in columns])
+    if held:
+        yield from near(held)
+
+
 def _shingle_sets(batches):
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     for batch, first, sets in _sets(batches):
@@ -186,6 +242,12 @@ def _frequent(work: Scratch, texts: DataFrame):
     return work.spark.sparkContext.broadcast((shingles[order], table["docs"].to_numpy()[order]))
 
 
+def _kinds(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions of two, small ones that have met their pivot, and the others."""
+    tiny, small = F.col("size") == 2, (F.col("size") <= SMALL_REGION) & (F.col("rounds") > 0)
+    return members.where(tiny), members.where(small & ~tiny), members.where(~(tiny | small))
+
+
 class _Join:
     """The state of one run: classes, their links and components, and what was compared."""
 
@@ -211,13 +273,13 @@ class _Join:
     # Regions
 
     def first_regions(self) -> DataFrame:
-        """``(region, node, at, rounds, level)``: every class in the regions of its boundary window."""
+        """``(region, node, n, at, rounds, level)``: every class in the regions of its boundary window."""
         width = F.expr(f"n - (({PERCENT} * n + 99) div 100) + 1").cast("int")
         able = self.classes.where(F.col("n") >= LEAST_SIZE)
-        marks = able.select("node", F.posexplode(F.slice("anchors", F.lit(1), width)).alias("at", "region"))
+        marks = able.select("node", "n", F.posexplode(F.slice("anchors", F.lit(1), width)).alias("at", "region"))
         shared = marks.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("region")
         shared = self.work.write(shared, "shared")
-        found = marks.join(shared, "region").select("region", "node", "at", F.lit(0).alias("rounds"), F.lit(1).alias("level"))
+        found = marks.join(shared, "region").select("region", "node", "n", "at", F.lit(0).alias("rounds"), F.lit(1).alias("level"))
         found = self.work.write(found, "members")
         self.work.drop(shared)
         return found
@@ -245,12 +307,13 @@ class _Join:
     def split(self, members: DataFrame) -> DataFrame:
         """Split regions by their members' next one-shingle pivots."""
         width = F.expr(f"n - (({PERCENT} * n + 99) div 100) + 1 + level").cast("int")
-        rows = members.join(self.classes.select("node", "n", "anchors"), "node")
+        rows = members.join(self.classes.select("node", "anchors"), "node")
         more = F.slice("anchors", F.col("at") + 2, F.greatest(width - F.col("at") - 1, F.lit(0)))
-        steps = rows.select("region", "node", "level", F.col("at").alias("before"), F.posexplode(more).alias("step", "next"))
+        steps = rows.select("region", "node", "n", "level", F.col("at").alias("before"), F.posexplode(more).alias("step", "next"))
         return steps.select(
             F.xxhash64("region", "next").alias("region"),
             "node",
+            "n",
             (F.col("before") + 1 + F.col("step")).cast("int").alias("at"),
             F.lit(0).alias("rounds"),
             (F.col("level") + 1).alias("level"),
@@ -269,15 +332,9 @@ class _Join:
         side = self.classes.select("node", "n", "profile")
         a, b = (side.select(*(F.col(c).alias(f"{c}_{x}") for c in side.columns)) for x in "ab")
         both = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-        apart = F.aggregate(
-            F.zip_with("profile_a", "profile_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x
-        )
-        total = F.col("n_a") + F.col("n_b")
-        differ = F.greatest(apart.cast("bigint"), F.abs(F.col("n_a") - F.col("n_b")))
-        # |x - y| + |y - x| >= differ, so the distance is at least 2 differ / (total + differ).
-        reach = F.when(F.col("wide"), 2 * (100 - PERCENT)).otherwise(100 - PERCENT)
-        near = 100 * 2 * differ <= reach * (total + differ)
-        bounded = self.work.write(both.select("a", "b", "n_a", "n_b", "wide", near.alias("near")), "bounded")
+        schema = "a bigint, b bigint, n_a bigint, n_b bigint, wide boolean, near boolean"
+        both = both.select("a", "b", "n_a", "n_b", "wide", "profile_a", "profile_b")
+        bounded = self.work.write(both.mapInArrow(_bound_pairs, schema), "bounded")
         todo = bounded.where("near").select("a", "b", "n_a", "n_b")
         sets = self._sets_of(todo.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         common = F.size(F.array_intersect("x", "y")).cast("bigint")
@@ -322,25 +379,43 @@ class _Join:
         members = self.open_regions(first)
         self.work.drop(first)
         while not members.isEmpty():
-            # A region of three and more is first seen by its pivot only: most are connected then.
-            is_small = (F.col("size") == 2) | ((F.col("size") <= SMALL_REGION) & (F.col("rounds") > 0))
-            small = members.where(is_small)
-            left, right = (small.select("region", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-            pairs = left.join(right, "region").where("a < b AND ca <> cb").select("a", "b", F.lit(False).alias("wide"))
-            large = members.where(~is_small)
-            pivots = large.where("node = pivot").select("region", F.col("component").alias("own"))
-            to_pivot = large.join(pivots, "region").where("component <> own")
-            # Only regions that go on with windows need distances beyond the ball.
-            wide = (F.col("size") > SMALL_REGION).alias("wide")
-            pairs = pairs.union(to_pivot.select(F.col("pivot").alias("a"), F.col("node").alias("b"), wide))
+            pairs = self._pairs(members)
             self.measure(self.work.write(pairs.groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs"))
-            after = self._remainder(large)
-            due = (F.col("rounds") >= PIVOT_ROUNDS) & (F.col("level") < LEVELS)
-            following = after.where(~due).unionByName(self.split(after.where(due)))
+            # Regions of two, and small ones after their first round, have been compared in full.
+            after = self._remainder(_kinds(members)[2])
+            due = (F.col("rounds") >= PIVOT_ROUNDS) & (F.col("level") < LEVELS) & (F.col("size") > SMALL_REGION)
+            following = after.where(~due).drop("size").unionByName(self.split(after.where(due)))
             following = self.open_regions(following)
             self.work.drop(members)
             members = following
 
+    def _pairs(self, members: DataFrame) -> DataFrame:
+        """Pairs to compare in this round, of different components.
+
+        Most regions of three and more hold near copies: they are connected once
+        all have met the pivot. Only then all members of the small ones meet.
+        """
+        likely = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+        tiny, small, rest = _kinds(members)
+        left = tiny.select("region", F.col("node").alias("a"), "n", F.col("component").alias("ca"))
+        right = tiny.select("region", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
+        of_two = left.join(right, "region").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely)
+
+        pivots = rest.where("node = pivot").select("region", F.col("component").alias("own"), F.col("n").alias("m"))
+        # Only regions that go on with windows need distances beyond the ball.
+        wide = F.col("size") > SMALL_REGION
+        to_pivot = rest.join(pivots, "region").where((F.col("component") != F.col("own")) & (wide | likely))
+
+        small = small.join(self.classes.select("node", "profile"), "node")
+        small = small.select("region", "node", "n", "component", "profile").repartition("region").sortWithinPartitions("region")
+        within = small.mapInArrow(_near_in_regions, "a bigint, b bigint")
+        no = F.lit(False).alias("wide")
+        return (
+            of_two.select("a", "b", no)
+            .union(to_pivot.select(F.col("pivot").alias("a"), F.col("node").alias("b"), wide.alias("wide")))
+            .union(within.select("a", "b", no))
+        )
+
     def _remainder(self, large: DataFrame) -> DataFrame:
         """Large regions without their pivot and what the triangle inequality settles."""
         ball = (100 - PERCENT) / 100
@@ -358,7 +433,7 @@ class _Join:
         return (
             rows.join(nearest, "region")
             .where(stays)
-            .select("region", "node", "at", (F.col("rounds") + 1).alias("rounds"), "level")
+            .select("region", "node", "n", "at", (F.col("rounds") + 1).alias("rounds"), "level", "size")
         )
 
 
