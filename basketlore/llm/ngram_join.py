@@ -54,7 +54,7 @@ LEAST_SIZE = 4
 # Levels of one-shingle pivots: sets that link share LEAST_SIZE shingles at least.
 LEVELS = LEAST_SIZE
 # Members of a region whose profiles are all compared with each other.
-SMALL_REGION = 512
+SMALL_REGION = 1024
 # Rounds of pivot documents between two splits.
 PIVOT_ROUNDS = 2
 PROFILE = 128
@@ -365,7 +365,9 @@ class _Join:
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
         """Shingle sets of the classes to be compared; each is computed once."""
         if self.shingles is not None:
-            nodes = nodes.join(self.shingles.select("node"), "node", "left_anti")
+            nodes = self.work.write(nodes.join(self.shingles.select("node"), "node", "left_anti"), "nodes")
+            if nodes.isEmpty():
+                return self.shingles
         needed = nodes.join(self.classes.select("node", "key"), "node")
         # Copies meet in the task that reads them.
         texts = self.rows.groupBy("key").agg(F.any_value("text").alias("text"))
