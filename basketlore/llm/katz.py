@@ -40,8 +40,8 @@ LEAST_DISCOUNT = 0.01
 HOT_SHARE = 4096
 HOT_LEAST = 1000
 # Tokens packed together by a task, and tokens that one partition should hold.
-BATCH_TOKENS = 1 << 22
-PARTITION_TOKENS = 3_000_000
+BATCH_TOKENS = 1 << 21
+PARTITION_TOKENS = 1_500_000
 
 END = np.uint64(0x0123456789ABCDEF)
 START = np.uint64(0xFEDCBA9876543210)
@@ -65,7 +65,7 @@ def _runs(batches, columns):
     for batch in batches:
         for first, count, words, bounds in word_groups(t.as_py() for t in batch["text"]):
             sizes = np.diff(bounds)
-            docs = np.repeat(np.arange(count), sizes + 1)
+            docs = np.repeat(np.arange(count, dtype=np.int32), sizes + 1)
             tokens = np.insert(words, bounds[1:], END)
             histories = np.empty_like(tokens)
             histories[1:] = tokens[:-1]
@@ -83,7 +83,7 @@ def _gathered(batches, columns):
         return tokens, histories, owners, {c: [v for h in held for v in h[3][c]] for c in columns}
 
     for tokens, histories, owners, rest in _runs(batches, columns):
-        held.append((tokens, histories, owners + docs, rest))
+        held.append((tokens, histories, owners + np.int32(docs), rest))
         size, docs = size + tokens.size, docs + len(rest[columns[0]])
         if size >= BATCH_TOKENS:
             yield joined()

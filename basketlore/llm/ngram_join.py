@@ -91,8 +91,12 @@ def _count_together(batches):
     schema = pa.schema([("shingle", pa.int64()), ("docs", pa.int64()), ("total", pa.int64())])
 
     def counted(held):
-        values, docs = np.unique(np.concatenate(held), return_counts=True)
-        often = docs > 1
+        values = np.concatenate(held)
+        held.clear()
+        values.sort()
+        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        docs = np.diff(np.append(first, values.size))
+        values, often = values[first], docs > 1
         total = np.zeros(often.sum() + 1, np.int64)
         total[-1] = docs.sum()
         found = np.append(values[often].view(np.int64), np.int64(0))

@@ -12,7 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While tables are written: shuffle files of a finished write are of no use, its table is what is read;
+# and texts may be long, so few of them go to Python at a time.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -37,17 +42,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession):
-    """Shuffle files of a finished write are of no use: its table is what is read."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _write_settings(spark: SparkSession):
+    before = {key: spark.conf.get(key, None) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 class Scratch:
@@ -69,7 +75,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = self.path(name)
-        with _shuffles_removed(self.spark):
+        with _write_settings(self.spark):
             df.write.parquet(path, partitionBy=partition_by)
         found = self.spark.read.schema(df.schema).parquet(path)
         found._scratch_path = path

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 # Bytes hashed in one go; a text is cut at white space only.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
