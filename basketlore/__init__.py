@@ -9,6 +9,10 @@ from basketlore.operators.prep import (
     item_dictionary,
 )
 from basketlore.operators.son import SonResult, son
+from basketlore.plans.reports import pattern_table, top_itemsets
+from basketlore.plans.sweep import support_sweep
+from basketlore.sources.metrics import read_run_metrics
+from basketlore.sources.retail import read_lines
 
 __all__ = [
     "AprioriResult",
@@ -20,5 +24,10 @@ __all__ = [
     "fpgrowth",
     "fpgrowth_summary",
     "item_dictionary",
+    "pattern_table",
+    "read_lines",
+    "read_run_metrics",
     "son",
+    "support_sweep",
+    "top_itemsets",
 ]

@@ -12,8 +12,11 @@ LABEL_WIDTH = 30
 
 
 def itemset_key(items: Column) -> Column:
-    """One text per itemset; equal sets give equal text."""
-    return F.array_join(F.array_sort(items), ITEMSET_SEPARATOR)
+    """One text per itemset; equal sets give equal text, others do not: a separator inside a code is escaped."""
+    parts = F.transform(
+        F.array_sort(items), lambda i: F.replace(F.replace(i, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    )
+    return F.array_join(parts, ITEMSET_SEPARATOR)
 
 
 def short_label(text: Column, width: int = LABEL_WIDTH) -> Column:

@@ -18,6 +18,7 @@ from basketlore.operators.levels import (
     mine_levels,
     with_chunk,
 )
+from basketlore.operators.prep import unique_lines
 from basketlore.workspace import Workspace
 
 LEVEL_STATS_SCHEMA = "level int, candidates bigint, frequent bigint, time_seconds double"
@@ -60,14 +61,14 @@ def apriori(
 ) -> AprioriResult:
     """Itemsets found in at least ``min_support`` of the baskets.
 
-    ``items`` is long form, ``(basket_id, item, qty)``, one row per basket and
-    item. With ``measures`` every itemset also gets the sum of ``log1p`` of its
+    ``items`` is long form, ``(basket_id, item, qty)``; rows that repeat basket and
+    item are summed, and lines without a basket are one basket. With ``measures`` every itemset also gets the sum of ``log1p`` of its
     joint quantity, the smallest quantity of its items in a basket, and the
     largest such quantity. Frequency never depends on quantities.
     """
     started = time.monotonic()
     work = Workspace(items.sparkSession, "apriori")
-    with held(items) as source:
+    with held(unique_lines(items)) as source:
         run = mine_levels(work, with_chunk(source, F.lit(0)), min_support, support_mode, measures)
         run.baskets.unpersist()
     columns = ["support", *measure_columns(measures)]

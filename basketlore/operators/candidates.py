@@ -20,14 +20,6 @@ from basketlore.workspace import Table, broadcast_within
 
 # Itemsets with one prefix that are paired up under one key; larger classes are salted.
 CLASS_SIZE = 4096
-# Estimated width of a level row, without its arrays and with them.
-NARROW_ROW_BYTES = 64
-ITEM_BYTES = 64
-
-
-def level_row_bytes(length: int) -> int:
-    return NARROW_ROW_BYTES + ITEM_BYTES * length
-
 
 def _salted(level: Table) -> DataFrame:
     """``level`` with the number of salts of each itemset's prefix class."""
@@ -67,7 +59,7 @@ def candidates(level: Table, length: int) -> DataFrame:
         "support",
     )
     if level.rows <= CLASS_SIZE:
-        right = F.broadcast(right)
+        right = broadcast_within(level.view(right))
     found = left.join(right, ["chunk", "pid", "salt"]).where("left_code < code")
     found = found.select(
         "chunk",
@@ -79,9 +71,7 @@ def candidates(level: Table, length: int) -> DataFrame:
         F.least("left_support", "support").alias("min_support"),
     )
     # The two subsets that dropped one of the last two items are the joined pair.
-    others = broadcast_within(
-        level.df.select("chunk", "codes", "support"), level.rows, level_row_bytes(length)
-    )
+    others = broadcast_within(level.view(level.df.select("chunk", "codes", "support")))
     for n in range(length - 2):
         rest = f"concat(slice(codes, 1, {n}), slice(codes, {n + 2}, {length - n - 1}))"
         subset = others.toDF(f"chunk{n}", f"subset{n}", f"support{n}")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlore.functions.support import min_count
 from basketlore.operators.apriori import held
+from basketlore.operators.levels import basket_count
+from basketlore.operators.prep import unique_lines
 from basketlore.workspace import Workspace, broadcast_within
 
 
@@ -19,12 +23,13 @@ def frequent_baskets(items: DataFrame, min_support: float) -> DataFrame:
     which bounds the array of even the widest basket.
     """
     work = Workspace(items.sparkSession, "fpgrowth")
-    total = items.agg(F.count_distinct("basket_id").alias("baskets"))
+    total = items.agg(basket_count().alias("baskets"))
     least = total.select(min_count(F.col("baskets"), min_support, "ceil")).first()[0]
     counts = items.where("item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("support"))
     frequent = work.write(counts.where(F.col("support") >= F.lit(least)), "frequent")
-    known = frequent.df.select("item", F.col("item").alias("kept"))
-    known = broadcast_within(known, frequent.rows, 128)
+    known = frequent.view(frequent.df.select("item", F.col("item").alias("kept")))
+    # A text is there twice.
+    known = broadcast_within(replace(known, bytes=2 * known.bytes))
     return (
         items.join(known, "item", "left")
         .groupBy("basket_id")
@@ -55,7 +60,7 @@ def mine_model(model: FPGrowthModel) -> DataFrame:
 
 def fpgrowth(items: DataFrame, min_support: float, num_partitions: int | None = None) -> DataFrame:
     """``(items, length, support)`` of every itemset with count >= ceil(baskets * min_support)."""
-    with held(items) as source:
+    with held(unique_lines(items)) as source:
         return mine_model(fit_fpgrowth(source, min_support, num_partitions))
 
 

@@ -28,16 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from basketlore.functions.support import min_count
-from basketlore.operators.candidates import (
-    NARROW_ROW_BYTES,
-    candidates,
-    level_row_bytes,
-)
+from basketlore.operators.candidates import candidates
 from basketlore.workspace import (
-    BROADCAST_LIMIT_BYTES,
     Table,
     Workspace,
     broadcast_within,
+    bucket_count,
+    join_in_buckets,
 )
 
 ROOT_ID = -1
@@ -91,9 +88,14 @@ class LevelRun:
     levels: list[Level] = field(default_factory=list)
 
 
+def basket_count(key: str = "basket_id") -> Column:
+    """Number of baskets; the lines without a key are one basket."""
+    return F.count_distinct(key) + F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))
+
+
 def chunk_limits(items: DataFrame, ratio: float, mode: str, chunks: int) -> Limits:
     """One row per chunk comes to the driver; the caller chose their number."""
-    sizes = items.groupBy("chunk").agg(F.count_distinct("basket_id").alias("baskets"))
+    sizes = items.groupBy("chunk").agg(basket_count().alias("baskets"))
     rows = sizes.select("chunk", "baskets", min_count(F.col("baskets"), ratio, mode).alias("least")).collect()
     baskets, least = [0] * chunks, [1.0] * chunks
     for row in rows:
@@ -139,11 +141,11 @@ def first_level(
     if chunks == 1:
         coded = frequent.orderBy("support", "item").withColumn("code", number)
         level = work.write(coded.select(*_level_columns(measures)), "level1")
-        return Table(level.df.select("code", "item"), level.rows), level
+        return level.view(level.df.select("code", "item")), level
     total = frequent.groupBy("item").agg(F.sum("support").alias("support"))
     coded = total.orderBy("support", "item").select(number.alias("code"), "item")
     dictionary = work.write(coded, "dictionary")
-    words = broadcast_within(dictionary.df, dictionary.rows, level_row_bytes(1))
+    words = broadcast_within(dictionary)
     level = frequent.join(words, "item").select(*_level_columns(measures))
     return dictionary, work.write(level, "level1")
 
@@ -155,7 +157,7 @@ def encode_baskets(items: DataFrame, dictionary: Table, measures: bool) -> DataF
     (mean basket size / minimum support) items. Without quantities, identical
     baskets are merged and weighted, whatever share of the input they are.
     """
-    words = broadcast_within(dictionary.df, dictionary.rows, level_row_bytes(1))
+    words = broadcast_within(dictionary)
     coded = items.join(words, "item")
     element = F.struct("code", "qty") if measures else F.struct("code")
     arrays = (
@@ -189,10 +191,6 @@ def split_wide(baskets: DataFrame, item_count: int) -> DataFrame:
     return narrow.unionByName(wide.repartition("basket", "part"))
 
 
-def _fits(wanted: Table | None) -> bool:
-    return wanted is not None and wanted.rows * NARROW_ROW_BYTES <= BROADCAST_LIMIT_BYTES
-
-
 def project_items(baskets: DataFrame, wanted: Table | None, measures: bool) -> DataFrame:
     """Projection of every item of every basket, from ``split_wide`` rows.
 
@@ -204,24 +202,23 @@ def project_items(baskets: DataFrame, wanted: Table | None, measures: bool) -> D
         .where("pos + 1 < size(basket) AND pos % parts = part")
         .selectExpr("chunk", "head.code AS id", "weight", *volume, "basket AS tail", "pos")
     )
-    if _fits(wanted):
-        first = wanted.df.select("chunk", F.get("codes", F.lit(0)).alias("id"))
-        projection = projection.join(F.broadcast(first), ["chunk", "id"], "left_semi")
+    if wanted is not None:
+        first = wanted.view(wanted.df.select("chunk", F.get("codes", F.lit(0)).alias("id")))
+        projection = join_in_buckets(projection, first, ["chunk", "id"], ["chunk", "id"], "left_semi")
     return projection
 
 
 def project_next(projection: DataFrame, level: Table, measures: bool) -> DataFrame:
     """Lengthen every projected itemset by one item, to those of ``level``."""
     steps = level.df.select("chunk", F.col("id").alias("next_id"), F.col("pid").alias("id"), "code")
-    steps = broadcast_within(steps, level.rows, NARROW_ROW_BYTES)
     volume = ["volume"] if measures else []
     heads = projection.select(
         "chunk", "id", "weight", *volume, "tail", "pos", F.posexplode("tail").alias("at", "head")
     ).where("at > pos AND at + 1 < size(tail)")
     volume = ["least(volume, head.qty) AS volume"] if measures else []
+    coded = heads.withColumn("code", F.col("head.code"))
     return (
-        heads.withColumn("code", F.col("head.code"))
-        .join(steps, ["chunk", "id", "code"])
+        join_in_buckets(coded, level.view(steps), ["chunk", "id"], ["chunk", "id", "code"], "inner")
         .selectExpr("chunk", "next_id AS id", "weight", *volume, "tail", "at AS pos")
     )
 
@@ -229,9 +226,8 @@ def project_next(projection: DataFrame, level: Table, measures: bool) -> DataFra
 def count_extensions(projection: DataFrame, wanted: Table | None, measures: bool) -> DataFrame:
     """Support, and quantities if asked, of every itemset one longer.
 
-    ``wanted`` are the candidates. A set with an infrequent subset cannot reach
-    the minimum count, so leaving the others out only saves work, and it is
-    skipped when the candidates are too many to broadcast.
+    Only the candidates ``wanted`` are counted, however many they are; without
+    them every extension is one.
     """
     found = [F.sum("weight").alias("support")]
     volume = []
@@ -247,9 +243,9 @@ def count_extensions(projection: DataFrame, wanted: Table | None, measures: bool
         .where("at > pos")
         .select("chunk", "id", "weight", *volume, "next.*")
     )
-    if _fits(wanted):
+    if wanted is not None:
         keys = ["chunk", "id", "code"]
-        longer = longer.join(F.broadcast(wanted.df.select(*keys)), keys, "left_semi")
+        longer = join_in_buckets(longer, wanted.view(wanted.df.select(*keys)), ["chunk", "id"], keys, "left_semi")
     return longer.groupBy("chunk", "id", "code").agg(*found)
 
 
@@ -264,11 +260,11 @@ class Projections:
     def counting(self, length: int, levels: list[Table], wanted: Table | None) -> DataFrame:
         """Itemsets one shorter than ``length`` with their tails; ``levels`` are the shorter ones."""
         if self.written is None:
-            projection = project_items(self.baskets, wanted, self.measures)
+            projection = self._cut(project_items(self.baskets, wanted, self.measures), wanted, f"{length}-1")
         else:
             projection = self.written
-        for level in levels[self.depth : length - 1]:
-            projection = project_next(projection, level, self.measures)
+        for depth, level in enumerate(levels[self.depth : length - 1], start=self.depth + 1):
+            projection = self._cut(project_next(projection, level, self.measures), level, f"{length}-{depth}")
         if length > CUT_EVERY and length % CUT_EVERY == 1:
             tail = F.expr("slice(tail, pos + 2, size(tail))")
             rest = projection.withColumns({"tail": tail, "pos": F.lit(-1)})
@@ -276,13 +272,19 @@ class Projections:
             self.written, self.depth = projection, length - 1
         return projection
 
+    def _cut(self, projection: DataFrame, joined: Table | None, name: str) -> DataFrame:
+        """Write what was joined in several buckets: each bucket of a later join reads it again."""
+        if joined is None or bucket_count(joined) == 1:
+            return projection
+        return self.work.write(projection, f"{self.name}{name}").df
+
     def close(self) -> None:
         self.work.remove(self.name)
 
 
 def _pair_level(counts: DataFrame, level: Table, measures: bool) -> DataFrame:
     """Level 2 from counts of pairs: the texts come from level 1, joined twice."""
-    words = broadcast_within(level.df.select("chunk", "code", "item"), level.rows, level_row_bytes(1))
+    words = broadcast_within(level.view(level.df.select("chunk", "code", "item")))
     heads = words.toDF("chunk", "id", "head_item")
     return (
         counts.join(heads, ["chunk", "id"])
@@ -300,10 +302,10 @@ def _pair_level(counts: DataFrame, level: Table, measures: bool) -> DataFrame:
     )
 
 
-def _longer_level(counts: DataFrame, wanted: Table, length: int, measures: bool) -> DataFrame:
-    """Level ``length`` from its counts and candidates."""
+def _longer_level(counts: DataFrame, wanted: Table, measures: bool) -> DataFrame:
+    """A level from its counts and candidates."""
     names = wanted.df.select("chunk", "id", "code", "item", "codes", "items")
-    names = broadcast_within(names, wanted.rows, level_row_bytes(length))
+    names = broadcast_within(wanted.view(names))
     return counts.join(names, ["chunk", "id", "code"]).select(
         "chunk", "id", "code", "item", "codes", "items", "support", *measure_columns(measures)
     )
@@ -356,7 +358,7 @@ def mine_levels(
         if wanted is None:
             found = _pair_level(counts, level, measures)
         else:
-            found = _longer_level(counts, wanted, length, measures)
+            found = _longer_level(counts, wanted, measures)
         level = work.write(_numbered(found), f"level{length}")
         run.levels.append(
             Level(length, candidate_count, level, time.monotonic() - started, wanted)

@@ -85,9 +85,26 @@ def basket_items(
     else:
         long = invoice_item_qty(df, basket_col, item_col, qty_col)
     if min_items <= 1:
-        return long
+        return _marked_unique(long)
     size = F.count(F.lit(1)).over(Window.partitionBy("basket_id"))
-    return long.withColumn("basket_size", size).where(F.col("basket_size") >= min_items).drop("basket_size")
+    found = long.withColumn("basket_size", size).where(F.col("basket_size") >= min_items).drop("basket_size")
+    return _marked_unique(found)
+
+
+def _marked_unique(df: DataFrame) -> DataFrame:
+    """Note on the frame that no basket holds an item twice, which saves the miners a shuffle."""
+    df._one_row_per_item = True
+    return df
+
+
+def unique_lines(items: DataFrame) -> DataFrame:
+    """Long-form baskets with one row per basket and item, quantities summed.
+
+    Frames straight from ``basket_items`` and ``explode_baskets`` are so already.
+    """
+    if items.__dict__.get("_one_row_per_item"):
+        return items
+    return _marked_unique(items.groupBy("basket_id", "item").agg(F.sum(F.col("qty").cast("double")).alias("qty")))
 
 
 def explode_baskets(df: DataFrame, items_col: str = "items", basket_col: str | None = None) -> DataFrame:
@@ -99,12 +116,14 @@ def explode_baskets(df: DataFrame, items_col: str = "items", basket_col: str | N
     fixed for a table read from files.
     """
     key = F.col(basket_col) if basket_col else F.monotonically_increasing_id()
-    return (
+    found = (
         df.where(F.col(items_col).isNotNull())
         .select(key.alias("basket_id"), F.array_distinct(items_col).alias("items"))
         .select("basket_id", F.explode_outer("items").alias("item"))
         .withColumn("qty", F.lit(1.0))
     )
+    # A basket column may repeat; numbered rows are baskets of their own.
+    return found if basket_col else _marked_unique(found)
 
 
 def basket_sets(items: DataFrame) -> DataFrame:
@@ -129,9 +148,9 @@ def basket_quantity_map(items: DataFrame) -> DataFrame:
 
 
 def basket_chunk(num_chunks: int, key: str = "basket_id", key_type: str = "bigint") -> Column:
-    """Chunk of a basket: a fixed function of its key, so a rerun gives the same chunks."""
+    """Chunk of a basket: a fixed function of its key, so a rerun gives the same chunks; 0 without a key."""
     whole = ("tinyint", "smallint", "int", "bigint")
-    hashed = F.col(key) if key_type in whole else F.xxhash64(key)
+    hashed = F.coalesce(F.col(key), F.lit(0)) if key_type in whole else F.xxhash64(key)
     return F.pmod(hashed, F.lit(num_chunks)).cast("int")
 
 

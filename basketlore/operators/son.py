@@ -19,7 +19,7 @@ from basketlore.operators.levels import (
     split_wide,
     with_chunk,
 )
-from basketlore.operators.prep import basket_chunk
+from basketlore.operators.prep import basket_chunk, unique_lines
 from basketlore.workspace import Table, Workspace, broadcast_within
 
 STATS_SCHEMA = (
@@ -59,7 +59,7 @@ def distinct_candidates(work: Workspace, run: LevelRun) -> list[Table]:
         )
         if tables:
             parents = tables[-1].df.select(F.col("codes").alias("prefix"), F.col("id").alias("pid"))
-            parents = broadcast_within(parents, tables[-1].rows, 64 * level.length)
+            parents = broadcast_within(tables[-1].view(parents))
             found = found.withColumn("prefix", F.slice("codes", 1, level.length - 1)).join(parents, "prefix")
             number = F.monotonically_increasing_id()
         else:
@@ -90,12 +90,10 @@ def _count_candidates(
         )
     ]
     for length, table in enumerate(tables[1:], start=2):
-        wanted = Table(
-            table.df.select("chunk", F.col("pid").alias("id"), "code", "codes"), table.rows
-        )
+        wanted = table.view(table.df.select("chunk", F.col("pid").alias("id"), "code", "codes"))
         projection = projections.counting(length, tables, wanted)
         names = table.df.select("chunk", F.col("pid").alias("id"), "code", "items")
-        names = broadcast_within(names, table.rows, 64 * (length + 1))
+        names = broadcast_within(table.view(names))
         counted.append(
             count_extensions(projection, wanted, measures)
             .join(names, ["chunk", "id", "code"])
@@ -121,7 +119,7 @@ def son(
     started = time.monotonic()
     work = Workspace(spark, "son")
     chunk = basket_chunk(num_chunks, "basket_id", dict(items.dtypes)["basket_id"])
-    with held(items) as source:
+    with held(unique_lines(items)) as source:
         chunked = with_chunk(source, chunk)
         run = mine_levels(work, chunked, min_support, support_mode, measures, num_chunks)
     tables = distinct_candidates(work, run)

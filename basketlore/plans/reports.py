@@ -21,11 +21,11 @@ DENSITY_POINTS = 200
 def itemset_names(itemsets: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add ``name``: the descriptions of the items, in item order, joined with " + ".
 
-    Only the items that occur in an itemset are looked up. Codes without a
-    description read UNKNOWN.
+    Each different itemset is named once, however often it occurs; only the items
+    in it are looked up. Codes without a description read UNKNOWN.
     """
     others = [c for c in itemsets.columns if c != "items"]
-    lines = itemsets.select("items", F.posexplode("items").alias("pos", "item"))
+    lines = itemsets.select("items").distinct().select("items", F.posexplode("items").alias("pos", "item"))
     text = F.coalesce("description", F.lit(UNKNOWN_ITEM))
     named = (
         lines.join(dictionary.select("item", "description"), "item", "left")

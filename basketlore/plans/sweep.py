@@ -122,10 +122,6 @@ def son_runs(
     return {float(s): son(items, s, num_chunks, support_mode, measures) for s in supports}
 
 
-def apriori_summary(sweep: SupportSweep) -> DataFrame:
-    return sweep.summary
-
-
 def son_summary(items: DataFrame, runs: dict[float, SonResult]) -> DataFrame:
     rows = [
         (s, r.total_seconds, r.phase1_seconds, r.phase2_seconds, r.candidate_count, r.total_itemsets)

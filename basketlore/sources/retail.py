@@ -28,11 +28,14 @@ def _select_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Sales lines from CSV with a header, Parquet or JSON lines, chosen by suffix.
 
     Other columns of the file are not read. A quantity that is no number
-    becomes null.
+    becomes null. With ``multi_line`` a quoted CSV field may hold line breaks;
+    each file is then read by one task. Without it a file is split among tasks,
+    and no field may hold a line break. CSV files of one folder must have the same
+    header; another order or other names are an error.
     """
     kind = path.rstrip("/").lower().rsplit(".", 1)[-1]
     if kind == "parquet":
@@ -41,8 +44,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         return _select_lines(spark.read.json(path))
     if kind != "csv":
         raise ValueError("Unsupported input format. Use .csv, .parquet or .json")
-    # Without inference only the header is read here, and columns match by name.
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    # Without inference only a header is read here; each file's own is then held against it.
+    names = spark.read.options(**options).csv(path).schema
+    raw = spark.read.options(**options, enforceSchema=False).schema(names).csv(path)
     require_columns(raw)
     known = [c for c in (*REQUIRED_COLUMNS, *OPTIONAL_COLUMNS) if c in raw.columns]
     return _select_lines(

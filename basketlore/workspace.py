@@ -6,35 +6,60 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest table, in estimated bytes, that a mining step may broadcast.
+# Largest table, in bytes measured when it was written, that a mining step may broadcast.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster
-    without it is an error, because a machine-local folder would not be seen
-    by the other machines.
+    A cluster must have it set. Where it is unset, as in tests, the session gets
+    a temporary folder of this machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder shared by the cluster")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketlore-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 @dataclass(frozen=True)
 class Table:
-    """A written table and its exact row count."""
+    """A written table, its exact row count and the bytes of its values."""
 
     df: DataFrame
     rows: int
+    bytes: int
+
+    def view(self, df: DataFrame) -> Table:
+        """Columns of this table, which are no larger than it."""
+        return Table(df, self.rows, self.bytes)
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    """Bytes of a row's values, with 16 more for each text, array and row."""
+
+    def width(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            element = kind.elementType
+            if isinstance(element, T.StringType):
+                inner = F.octet_length(F.array_join(column, "")) + 16 * F.size(column)
+            elif isinstance(element, T.StructType):
+                inner = F.size(column) * (16 + 8 * len(element))
+            else:
+                inner = 8 * F.size(column)
+            return F.coalesce(inner, F.lit(0)) + 16
+        return F.lit(8)
+
+    return reduce(Column.__add__, (width(F.col(f.name), f.dataType) for f in schema), F.lit(16)).cast("bigint")
 
 
 class Workspace:
@@ -56,9 +81,11 @@ class Workspace:
         seen = Observation()
         path = self.path(name)
         # The count sits on the final stage, whose tasks are counted once each.
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        figures = (F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df.schema)).alias("bytes"))
+        df.observe(seen, *figures).write.parquet(path)
         self.names.append(name)
-        return Table(self.spark.read.schema(df.schema).parquet(path), seen.get["rows"])
+        found = seen.get
+        return Table(self.spark.read.schema(df.schema).parquet(path), found["rows"], found["bytes"] or 0)
 
     def remove(self, prefix: str) -> None:
         """Delete the tables of that prefix, which nothing reads any more."""
@@ -68,6 +95,29 @@ class Workspace:
             self.names.remove(name)
 
 
-def broadcast_within(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Mark ``df`` for broadcast if ``rows`` rows of that width are known to fit."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
+def broadcast_within(table: Table) -> DataFrame:
+    """The table, marked for broadcast if it was measured to fit."""
+    return F.broadcast(table.df) if table.bytes <= BROADCAST_LIMIT_BYTES else table.df
+
+
+def bucket_count(table: Table) -> int:
+    """Parts of the table that each fit one broadcast."""
+    return max(1, -(-table.bytes // max(1, BROADCAST_LIMIT_BYTES)))
+
+
+def join_in_buckets(left: DataFrame, right: Table, bucket: list[str], keys: list[str], how: str) -> DataFrame:
+    """Join with a table of any size by broadcasts only, so that no key of ``left`` is hot.
+
+    A table beyond one broadcast is cut by hash of the ``bucket`` columns, which
+    are among the ``keys``, into parts that fit. Each part meets the rows of
+    ``left`` with its hash; the bucket column of ``left`` is tested before
+    anything above it is computed.
+    """
+    parts = bucket_count(right)
+    if parts == 1:
+        return left.join(F.broadcast(right.df), keys, how)
+    number = F.pmod(F.xxhash64(*bucket), F.lit(parts))
+    joined = (
+        left.where(number == part).join(F.broadcast(right.df.where(number == part)), keys, how) for part in range(parts)
+    )
+    return reduce(DataFrame.unionByName, joined)

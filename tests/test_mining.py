@@ -9,6 +9,7 @@ from basketlore.operators import levels as levels_module
 from basketlore.operators.candidates import candidates
 from basketlore.operators.fpgrowth import itemset_summary
 from basketlore.plans.sweep import support_sweep, support_thresholds
+from basketlore.workspace import Workspace, broadcast_within
 from tests import brute
 
 LONG = "basket_id bigint, item string, qty double"
@@ -152,8 +153,7 @@ def test_wide_baskets_and_large_classes_are_split(spark, monkeypatch):
     baskets = random_baskets(10, n=40, items="abcdefghij", most=9)
     expected = brute.mine(baskets, 0.1, "floor")
     monkeypatch.setattr(levels_module, "PAIRS_PER_TASK", 3)
-    monkeypatch.setattr(levels_module, "BROADCAST_LIMIT_BYTES", 0)
-    monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", -1)
+    monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", 9_000)
     monkeypatch.setattr(candidates_module, "CLASS_SIZE", 2)
     items = long_form(spark, baskets)
     result = apriori(items, 0.1, "floor", measures=True)
@@ -198,3 +198,44 @@ def test_thresholds_are_double_arithmetic(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError, match="support_mode"):
         apriori(long_form(spark, random_baskets(1)), 0.1, "round")
+
+
+MESSY = [(1, "a", 1.0), (1, "a", 2.0), (1, "b", 1.0), (2, "b", 1.0), (2, None, 1.0), (None, "a", 1.0), (None, "b", 4.0), (None, "b", 1.0)]
+
+
+@pytest.mark.parametrize("key", ["bigint", "string"])
+@pytest.mark.parametrize(("ratio", "mode"), [(0.3, "floor"), (0.7, "ceil")])
+def test_repeated_lines_and_lines_without_a_basket(spark, key, ratio, mode):
+    items = spark.createDataFrame(MESSY, LONG).withColumn("basket_id", F.col("basket_id").cast(key))
+    baskets = {1: {"a": 3.0, "b": 1.0}, 2: {"b": 1.0}, None: {"a": 1.0, "b": 5.0}}
+    expected = brute.mine(baskets, ratio, mode)
+    found = {tuple(r["items"]): (r["support"], r["max_qty"]) for r in apriori(items, ratio, mode, measures=True).itemsets.collect()}
+    assert found == {c: (v[0], v[2]) for c, v in expected.items()}
+    assert as_dict(son(items, ratio, 3, mode).itemsets) == supports(expected)
+    assert as_dict(fpgrowth(items, ratio)) == supports(brute.mine(baskets, ratio, "ceil"))
+
+
+def test_only_candidates_are_counted_beyond_one_broadcast(spark, monkeypatch):
+    """{a, b}, {a, c}, {b, d} are frequent, no triple is a candidate but a, b, c and the like occur."""
+    work = Workspace(spark, "test")
+    baskets = spark.createDataFrame([(0, 1, [(i,) for i in range(6)])], "chunk int, weight bigint, basket array<struct<code:bigint>>")
+    pairs = [(0, a, b, [a, b]) for a, b in ((0, 1), (0, 4), (2, 3), (3, 5), (4, 5))]
+    wanted = work.write(spark.createDataFrame(pairs, "chunk int, id bigint, code bigint, codes array<bigint>"), "wanted")
+    for limit in (1 << 20, 100):
+        monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", limit)
+        projection = levels_module.project_items(levels_module.split_wide(baskets, 6), wanted, False)
+        assert {r["id"] for r in projection.collect()} == {0, 2, 3, 4}
+        counted = levels_module.count_extensions(projection, wanted, False)
+        assert {(r["id"], r["code"]) for r in counted.collect()} == {(a, b) for _, a, b, _ in pairs}
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+
+
+def test_broadcasts_follow_measured_bytes(spark, monkeypatch):
+    work = Workspace(spark, "test")
+    long = work.write(spark.createDataFrame([(i, "x" * 2000) for i in range(50)], "a int, item string"), "long")
+    short = work.write(spark.createDataFrame([(i, "x") for i in range(50)], "a int, item string"), "short")
+    assert long.bytes > 100_000 > 10_000 > short.bytes
+    monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", 50_000)
+    hinted = [broadcast_within(t)._jdf.queryExecution().logical().toString() for t in (long, short)]
+    assert "broadcast" not in hinted[0].lower() and "broadcast" in hinted[1].lower()

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from basketlore.functions.labels import algorithm_name, percent_label, short_label
+from basketlore.functions.labels import algorithm_name, itemset_key, percent_label, short_label
 from basketlore.plans import reports
 
 ITEMSETS = "items array<string>, length int, support bigint, total_log_qty double, max_qty double"
@@ -76,3 +76,17 @@ def test_labels(spark):
         algorithm_name(F.lit("fpgrowth")).alias("name"),
     )
     assert tuple(row.first()) == ("x" * 30, "x" * 30 + "...", "2.5%", "FP-Growth")
+
+
+def test_repeated_itemsets_are_named_once(spark):
+    rows = [(0.3, ["a", "b"], 2, 4, 8.0, 10.0), (0.2, ["a", "b"], 2, 4, 8.0, 10.0), (0.2, ["b"], 1, 9, 1.0, 1.0)]
+    itemsets = spark.createDataFrame(rows, f"min_support double, {ITEMSETS}")
+    dictionary = spark.createDataFrame([("a", "A"), ("b", "B")], "item string, description string")
+    named = reports.itemset_names(itemsets, dictionary).collect()
+    assert sorted((r["min_support"], r["name"]) for r in named) == [(0.2, "A + B"), (0.2, "B"), (0.3, "A + B")]
+
+
+def test_keys_of_different_itemsets_differ(spark):
+    rows = [(["a|b", "c"],), (["a", "b|c"],), (["a", "b", "c"],), (["a\\", "b"],), (["a\\|b"],)]
+    keys = [r[0] for r in spark.createDataFrame(rows, "items array<string>").select(itemset_key(F.col("items"))).collect()]
+    assert len(set(keys)) == len(rows) and keys[2] == "a|b|c"

@@ -28,6 +28,22 @@ def test_csv_columns_match_by_name_and_missing_marks_are_null(spark, tmp_path):
     ]
 
 
+def test_csv_fields_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('InvoiceNo,StockCode,Description,Quantity\n1,a,"two\nlines, ""q""",3\n2,b,x,1\n')
+    found = sorted(map(tuple, read_lines(spark, str(path), multi_line=True).collect()))
+    assert found == [("1", "a", 'two\nlines, "q"', 3.0), ("2", "b", "x", 1.0)]
+
+
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "lines.csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text("InvoiceNo,StockCode,Description,Quantity\n1,a,x,3\n")
+    (folder / "2.csv").write_text("StockCode,InvoiceNo,Description,Quantity\nb,2,x,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_lines(spark, str(folder)).collect()
+
+
 def test_formats_agree(spark, tmp_path):
     path = tmp_path / "lines.csv"
     path.write_text(CSV)
