@@ -172,8 +172,21 @@ _SCHEMA = pa.schema(
 )
 
 
+# Bytes of rows that are handed over together.
+OUTPUT_BYTES = 1 << 22
+
+
 def _rows(rows):
-    return pa.RecordBatch.from_pylist(rows, _SCHEMA)
+    """Batches of the rows, a few megabytes each."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 200 + sum(len(row.get(c) or b"") for c in "abcd")
+        if size >= OUTPUT_BYTES:
+            yield pa.RecordBatch.from_pylist(held, _SCHEMA)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, _SCHEMA)
 
 
 def _sums(batch, docs, score, base, known, low):
@@ -201,7 +214,7 @@ def _addends(counts, pair_counts, is_end, unigrams):
 def _deal(model, parts):
     """Pack the tokens of a batch of documents by partition; score the hot pairs on the spot."""
 
-    def run(batches):
+    def packed(batches):
         unigrams, hot, hot_counts, pairs, pair_counts = model.value
         seq = 0
         for tokens, histories, docs, rest in _gathered(batches, ("doc_id", "held_out")):
@@ -226,7 +239,7 @@ def _deal(model, parts):
                 score, base, known = _addends(own, seen, tokens[is_pair] == END, unigrams)
                 low = np.where(seen > DISCOUNTED, 0, seen)
                 out.append(_sums(batch, docs[is_pair], score, base, known, low) | {"part": batch % parts})
-            yield _rows(out)
+            yield from out
             left = ~is_pair
             tokens, histories, docs, w_hot = tokens[left], histories[left], docs[left], w_hot[left]
             target = np.where(w_hot, _pair_key(tokens, histories), mixed(tokens + _PAIR)) % np.uint64(parts)
@@ -248,9 +261,9 @@ def _deal(model, parts):
                 # The owners and training marks follow the history numbers.
                 row["d"] += owner.tobytes() + np.packbits(marked).tobytes()
                 row["tokens"], row["history"] = small().itemsize, owner.itemsize
-                yield _rows([row])
+                yield row
 
-    return run
+    return lambda batches: _rows(packed(batches))
 
 
 _WIDTH = {2: np.uint16, 4: np.uint32}
@@ -269,13 +282,13 @@ def _unpack_tokens(row):
 def _score_words(model, parts):
     """All tokens of some words: count pairs, add up documents, and hand on what concerns histories."""
 
-    def run(batches):
+    def scored(batches):
         unigrams, hot, hot_counts, _, _ = model.value
         batch_of, held = [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] != "tokens":
-                    yield _rows([row])
+                    yield row
                 else:
                     batch_of.append(row["batch"])
                     held.append(_unpack_tokens(row))
@@ -296,7 +309,7 @@ def _score_words(model, parts):
         bounds = np.concatenate(([0], np.cumsum([x[0].size for x in held])))
         for i, batch in enumerate(batch_of):
             s = slice(bounds[i], bounds[i + 1])
-            yield _rows([_sums(batch, held[i][2], score[s], base[s], known[s], low[s])])
+            yield _sums(batch, held[i][2], score[s], base[s], known[s], low[s])
 
         # Seen pairs, summed by history.
         is_seen = pair_counts > 0
@@ -307,25 +320,21 @@ def _score_words(model, parts):
         total = np.bincount(at, weights=pair_counts, minlength=before.size).astype(np.int64)
         mass = np.bincount(at, weights=10 ** unigrams.log_probability(counts[word_at[first]]), minlength=before.size)
         by_count = np.bincount(np.minimum(pair_counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-        yield _rows([{"kind": "counts", "counts": by_count.tolist()}])
+        yield {"kind": "counts", "counts": by_count.tolist()}
         _, is_hot = _lookup(hot, before)
         for j in np.flatnonzero(is_hot):
-            yield _rows(
-                [
-                    {
-                        "kind": "hot",
-                        "history": int(before[j].view(np.int64)),
-                        "tokens": int(total[j]),
-                        "counts": by_band[j].astype(int).tolist(),
-                        "mass": float(mass[j]),
-                    }
-                ]
-            )
+            yield {
+                "kind": "hot",
+                "history": int(before[j].view(np.int64)),
+                "tokens": int(total[j]),
+                "counts": by_band[j].astype(int).tolist(),
+                "mass": float(mass[j]),
+            }
         rest = np.flatnonzero(~is_hot)
         for part, mine in _by_part(before[rest], parts):
             mine = rest[mine]
             a, b, c, d = _pack(before[mine], total[mine], by_band[mine].astype(np.uint32), mass[mine])
-            yield _rows([{"kind": "history", "part": part, "size": mine.size, "a": a, "b": b, "c": c, "d": d}])
+            yield {"kind": "history", "part": part, "size": mine.size, "a": a, "b": b, "c": c, "d": d}
 
         # Tokens of unseen pairs; those of hot histories need not meet anything.
         unseen = np.flatnonzero(seen == 0)
@@ -336,9 +345,9 @@ def _score_words(model, parts):
         key = np.where(is_hot, mixed(source.view(np.uint64)), before)
         for part, mine in _by_part(key, parts):
             a, b, c = _pack(before[mine], source[mine], owner[mine])
-            yield _rows([{"kind": "unseen", "part": part, "size": mine.size, "a": a, "b": b, "c": c}])
+            yield {"kind": "unseen", "part": part, "size": mine.size, "a": a, "b": b, "c": c}
 
-    return run
+    return lambda batches: _rows(scored(batches))
 
 
 def _by_part(keys, parts):
@@ -360,7 +369,9 @@ def log_weights(by_band, mass, discounts):
 
 
 def _back_off(discounts, hot_histories, hot_weights):
-    def run(batches):
+    """What tokens of unseen pairs add, from all seen pairs of their history."""
+
+    def weighed(batches):
         stats, tokens = [], []
         for batch in batches:
             for row in batch.to_pylist():
@@ -389,9 +400,9 @@ def _back_off(discounts, hot_histories, hot_weights):
         nothing = np.zeros(before.size, np.int64)
         for batch, mine in zip(batches_here.tolist(), np.split(order, first[1:]), strict=True):
             none = nothing[: mine.size]
-            yield _rows([_sums(batch, owner[mine].astype(np.int64), score[mine], none, none, none)])
+            yield _sums(batch, owner[mine].astype(np.int64), score[mine], none, none, none)
 
-    return run
+    return lambda batches: _rows(weighed(batches))
 
 
 _RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_sum double, score double"
