@@ -359,6 +359,8 @@ class _Join:
         self.work.drop(bounded)
         self.compared = new if self.compared is None else self.compared.unionByName(new)
         links, before = new.where("linked").select("a", "b"), self.labels
+        if before is not None and links.isEmpty():
+            return
         if before is not None:
             # What is connected already stands for the earlier links.
             links = links.union(before.select("node", "component"))
