@@ -54,7 +54,7 @@ LEAST_SIZE = 4
 # Levels of one-shingle pivots: sets that link share LEAST_SIZE shingles at least.
 LEVELS = LEAST_SIZE
 # Members of a region whose profiles are all compared with each other.
-SMALL_REGION = 1024
+SMALL_REGION = 8192
 # Rounds of pivot documents between two splits.
 PIVOT_ROUNDS = 2
 PROFILE = 128
@@ -194,14 +194,20 @@ def _near_in_regions(batches):
     def near(rows):
         node, n, component = (np.concatenate([r[i] for r in rows]) for i in range(3))
         profiles = np.concatenate([r[3] for r in rows])
-        order = np.argsort(node)
-        node, n, component, profiles = node[order], n[order], component[order], profiles[order]
-        for i in range(node.size - 1):
-            apart = np.abs(profiles[i + 1 :] - profiles[i]).sum(axis=1, dtype=np.int64)
-            fits = _within(np.maximum(apart, np.abs(n[i + 1 :] - n[i])), n[i + 1 :] + n[i], 100 - PERCENT)
-            found = np.flatnonzero(fits & (component[i + 1 :] != component[i])) + i + 1
+        _, group, sizes = np.unique(component, return_inverse=True, return_counts=True)
+        # Members of the largest component have no links to look for among themselves.
+        others = np.flatnonzero(group != sizes.argmax())
+        is_other = np.zeros(node.size, bool)
+        is_other[others] = True
+        for i in others:
+            # Of two rows outside the largest component the one of smaller number looks for the other.
+            seek = np.flatnonzero((group != group[i]) & (~is_other | (node > node[i])))
+            apart = np.abs(profiles[seek] - profiles[i]).sum(axis=1, dtype=np.int64)
+            fits = _within(np.maximum(apart, np.abs(n[seek] - n[i])), n[seek] + n[i], 100 - PERCENT)
+            found = node[seek[fits]]
             if found.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, node[i])), pa.array(node[found])], schema=schema)
+                pair = [pa.array(np.minimum(found, node[i])), pa.array(np.maximum(found, node[i]))]
+                yield pa.RecordBatch.from_arrays(pair, schema=schema)
 
     region, held = None, []
     for batch in batches:
