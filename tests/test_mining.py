@@ -153,7 +153,7 @@ def test_wide_baskets_and_large_classes_are_split(spark, monkeypatch):
     baskets = random_baskets(10, n=40, items="abcdefghij", most=9)
     expected = brute.mine(baskets, 0.1, "floor")
     monkeypatch.setattr(levels_module, "PAIRS_PER_TASK", 3)
-    monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", 9_000)
+    monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", 30_000)
     monkeypatch.setattr(candidates_module, "CLASS_SIZE", 2)
     items = long_form(spark, baskets)
     result = apriori(items, 0.1, "floor", measures=True)
