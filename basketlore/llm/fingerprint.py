@@ -6,12 +6,13 @@ Whether a window is chosen depends on its own content alone, so an edit moves
 nothing but the windows it touches, and chosen windows are anchors: their order
 and distances can be compared between documents.
 
-A fingerprint keeps the ``ANCHORS`` anchors of smallest hash over the whole text
-(all, if there are fewer), each with its first position, in order of hash, as
-fixed-width hexadecimal. Likeness is the share of anchors common to both among
-the smallest of their union, an estimate of the Jaccard likeness of the anchor
-sets. Common anchors that lie in a shifted place count like others;
-``positional_matches`` gives the pairs of positions for alignment.
+A fingerprint keeps every anchor of the text, repeated ones too, in order of
+position: its 64-bit hash and where it stands, as fixed-width hexadecimal. Two
+fingerprints are compared by alignment: the longest sequence of anchors that
+stands in both in the same order. Likeness is the length of that sequence as a
+share of all anchors of both, those of the sequence counted once; it is exact,
+whatever the lengths. ``positional_matches`` gives the alignment's pairs of
+positions.
 
 Texts shorter than a window have one anchor, the whole text. Empty and null
 texts have none; two fingerprints without anchors are alike (1), one without and
@@ -32,9 +33,10 @@ from basketlore.llm.shared import ship_package, text_of
 
 INNER = 8
 WINDOW = 24
-ANCHORS = 128
 # Code points that one pass over a batch handles together.
 PASS_CHARS = 1 << 20
+# Characters of fingerprints that are handed over together.
+BATCH_CHARS = 1 << 24
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -100,54 +102,125 @@ def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(hashes)
 
 
-def sketch(text: str, anchors: int = ANCHORS) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors of smallest hash, ascending, and where each first occurs."""
+_ANCHOR = np.dtype([("hash", ">u8"), ("place", ">u4")])
+
+
+def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all anchors in order of position, and where they stand."""
     places, hashes = syncmers(text)
-    # 32 bits are what the fingerprint keeps; the first occurrence of each hash counts.
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    found, first = np.unique(short, return_index=True)
-    return found[:anchors], places[first[:anchors]]
+    return hashes, places
 
 
 def to_text(found: tuple[np.ndarray, np.ndarray]) -> str:
-    """Sixteen hexadecimal digits an anchor: hash, then position."""
-    hashes, places = found
-    return np.stack([hashes, places], axis=1).astype(">u4").tobytes().hex()
+    """Twenty-four hexadecimal digits an anchor: hash, then position."""
+    anchors = np.empty(found[0].size, _ANCHOR)
+    anchors["hash"], anchors["place"] = found
+    return anchors.tobytes().hex()
 
 
 def from_text(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.frombuffer(bytes.fromhex(fingerprint), ">u4").reshape(-1, 2)
-    return pairs[:, 0].astype(np.uint32), pairs[:, 1].astype(np.int64)
-
-
-def likeness(a: np.ndarray, b: np.ndarray, anchors: int = ANCHORS) -> float:
-    """Share of the anchors common to both sketches among the smallest of their union."""
+    anchors = np.frombuffer(bytes.fromhex(fingerprint), _ANCHOR)
+    return anchors["hash"].astype(np.uint64), anchors["place"].astype(np.int64)
+
+
+def _ends(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Anchors in common at the start, and at the end of what is left."""
+    n = min(a.size, b.size)
+    differ = a[:n] != b[:n]
+    start = int(differ.argmax()) if differ.any() else n
+    n -= start
+    differ = a[a.size - n :][::-1] != b[b.size - n :][::-1]
+    return start, int(differ.argmax()) if differ.any() else n
+
+
+def _rows(a: np.ndarray, b: np.ndarray):
+    """Bit-parallel longest common subsequence: after each anchor of ``b``, a zero for each step over ``a``."""
+    masks = {}
+    for i, h in enumerate(a.tolist()):
+        masks[h] = masks.get(h, 0) | 1 << i
+    full = (1 << a.size) - 1
+    row = full
+    for h in b.tolist():
+        on = row & masks[h]
+        row = (row + on | row - on) & full
+        yield row
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in either array of what stands in both."""
+    return np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest sequence of anchors that stands in both in the same order."""
+    start, end = _ends(a, b)
+    a, b = a[start : a.size - end], b[start : b.size - end]
+    i, j = _shared(a, b)
+    row = (1 << i.size) - 1
+    for row in _rows(a[i], b[j]):
+        pass
+    return start + end + i.size - row.bit_count()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Aligned anchors as a share of all anchors of both, aligned ones counted once."""
     if not a.size and not b.size:
         return 1.0
-    union = np.union1d(a, b)[:anchors]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / union.size)
+    common = aligned(a, b)
+    return common / (a.size + b.size - common)
 
 
 def positional_matches(left: str, right: str) -> list[tuple[int, int]]:
-    """Positions of the anchors that two fingerprints share, by position in the left text."""
+    """Positions of the aligned anchors of two fingerprints, by position in the left text."""
     (a, at), (b, bt) = from_text(left), from_text(right)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return sorted(zip(at[i].tolist(), bt[j].tolist(), strict=True))
-
-
-def fingerprints(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+    start, end = _ends(a, b)
+    i, j = _shared(a[start : a.size - end], b[start : b.size - end])
+    i, j = i + start, j + start
+    rows = [(1 << i.size) - 1, *_rows(a[i], b[j])]
+    pairs, x, y = [], i.size, j.size
+    while x and y:
+        # Without a step at x in this row, the anchor at x adds nothing; with one in the row before too, that at y does not.
+        if rows[y] >> (x - 1) & 1:
+            x -= 1
+        elif not rows[y - 1] >> (x - 1) & 1:
+            y -= 1
+        else:
+            x, y = x - 1, y - 1
+            pairs.append((i[x], j[y]))
+    pairs += [(k, k) for k in range(start)] + [(a.size - 1 - k, b.size - 1 - k) for k in range(end)]
+    return sorted((int(at[x]), int(bt[y])) for x, y in pairs)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint)``, one row for each row of ``docs``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
+
+    def rows_of(batch):
+        for doc_id, value in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            yield {"doc_id": doc_id, "fingerprint": to_text(sketch(value.as_py()))}
 
     def run(batches):
         for batch in batches:
-            found = [to_text(sketch(t.as_py(), anchors)) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.string())], ["doc_id", "fingerprint"])
+            yield from _handed_over(rows_of(batch), schema)
 
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
+def _handed_over(rows, schema):
+    """Batches of rows, bounded by the size of their fingerprints."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row["fingerprint"]) + len(row.get("edited_fingerprint", ""))
+        if size >= BATCH_CHARS:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
 # The edited text takes its end from the next document
 
 
@@ -157,22 +230,22 @@ _RESULT = (
 )
 
 
-def _compared(doc_id, text, own, following, following_sketch, anchors):
+def _compared(doc_id, text, own, following, following_sketch):
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
-    edited_sketch = sketch(edited, anchors)
+    edited_sketch = sketch(edited)
     return {
         "doc_id": doc_id,
         "n_chars": len(text),
         "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(),
         "fingerprint": to_text(own),
         "edited_fingerprint": to_text(edited_sketch),
-        "near_edited": likeness(own[0], edited_sketch[0], anchors),
-        "near_next": likeness(own[0], following_sketch[0], anchors),
+        "near_edited": likeness(own[0], edited_sketch[0]),
+        "near_next": likeness(own[0], following_sketch[0]),
     }
 
 
-def _neighbours(anchors):
+def _neighbours():
     """Compare each row of a sorted range with the next; the range's last meets the first of the next range."""
     schema = pa.schema(
         [
@@ -186,20 +259,21 @@ def _neighbours(anchors):
         ]
     )
 
-    def run(batches):
+    def compared(batches):
         before, ended = None, False
         for batch in batches:
-            out = []
             columns = (batch[c].to_pylist() for c in ("doc_id", "guest"))
             for doc_id, guest, value in zip(*columns, batch["text"], strict=True):
                 if ended:
                     break
                 text = value.as_py()
-                own = sketch(text, anchors)
+                own = sketch(text)
                 if before is not None:
-                    out.append(_compared(*before, text, own, anchors))
+                    yield _compared(*before, text, own)
                 before, ended = (doc_id, text, own), guest
-            yield pa.RecordBatch.from_pylist(out, schema)
+
+    def run(batches):
+        yield from _handed_over(compared(batches), schema)
 
     return run
 
@@ -218,7 +292,7 @@ def _range_of(bounds):
     return number, ascending.size + 2
 
 
-def fingerprint_edits(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and how alike they are.
 
     The edited text replaces the last half of the code points by the first as
@@ -252,4 +326,4 @@ def fingerprint_edits(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
     guests = ranged.join(F.broadcast(hosts), is_first).select("doc_id", "tie", "text", F.col("host").alias("part"), F.lit(True).alias("guest"))
     dealt = ranged.withColumn("guest", F.lit(False)).unionByName(guests).repartitionById(parts, F.col("part"))
     ordered = dealt.sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), "tie", "text")
-    return ordered.select("doc_id", "guest", "text").mapInArrow(_neighbours(anchors), _RESULT)
+    return ordered.select("doc_id", "guest", "text").mapInArrow(_neighbours(), _RESULT)

@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
+
 from basketlore.llm.fingerprint import (
     INNER,
     WINDOW,
+    aligned,
     fingerprint_edits,
     fingerprints,
     from_text,
@@ -89,3 +92,36 @@ def test_small_and_empty_tables(spark):
     row = fingerprint_edits(one).collect()[0]
     assert row["edited_sha256"] == hashlib.sha256(b"onlyonly").hexdigest() and row["near_next"] == 1
     assert from_text(fingerprints(one).collect()[0]["fingerprint"])[0].size == 1
+
+
+def test_every_anchor_counts():
+    # 50 words that two long documents share, at different places.
+    shared = words(50, 50)
+    a, b = (words(s, 10_000) + " " + shared + " " + words(s + 1, 10_000) for s in (60, 70))
+    (hashes, places), inside = sketch(a), len(syncmers(shared)[0])
+    assert hashes.size == len(syncmers(a)[0]) and places.tolist() == syncmers(a)[0].tolist()
+    assert [x.tolist() for x in from_text(to_text((hashes, places)))] == [hashes.tolist(), places.tolist()]
+    pairs = positional_matches(to_text(sketch(a)), to_text(sketch(b)))
+    moved = b.index(shared) - a.index(shared)
+    assert sum(y - x == moved for x, y in pairs) >= inside > 10
+    assert likeness(hashes, sketch(b)[0]) >= inside / (2 * hashes.size)
+
+
+def test_alignment_against_brute_force():
+    draw = random.Random(5)
+    for _ in range(200):
+        a, b = (np.array(draw.choices(range(6), k=draw.randint(0, 14)), np.uint64) for _ in range(2))
+        best = [[0] * (b.size + 1) for _ in range(a.size + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert aligned(a, b) == best[-1][-1]
+        pairs = positional_matches(to_text((a, np.arange(a.size))), to_text((b, np.arange(b.size))))
+        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(x < i and y < j for (x, y), (i, j) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_order_and_repetition_count():
+    a, b = words(80, 200), words(81, 200)
+    assert likeness(sketch(a + b)[0], sketch(b + a)[0]) < 0.5
+    assert likeness(sketch(a)[0], sketch(a + a)[0]) < 0.55
