@@ -14,8 +14,8 @@ share of all anchors of both, those of the sequence counted once; it is exact,
 whatever the lengths. ``positional_matches`` gives the alignment's pairs of
 positions.
 
-Texts shorter than a window have one anchor, the whole text. Empty and null
-texts have none; two fingerprints without anchors are alike (1), one without and
+Texts without a syncmer (those shorter than a window, and some of up to 38 code
+points) have one anchor, the whole text. Only empty and null texts have none; two fingerprints without anchors are alike (1), one without and
 one with are not (0).
 """
 
@@ -86,10 +86,7 @@ def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions and 64-bit hashes of the text's closed syncmers."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if codes.size < WINDOW:
-        if not codes.size:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-        return np.zeros(1, np.int64), np.array([whole], np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     places, hashes = [], []
     for start in range(0, codes.size - WINDOW + 1, PASS_CHARS):
         inner, window = _rolling(codes[start : start + PASS_CHARS + WINDOW - 1])
@@ -108,6 +105,9 @@ _ANCHOR = np.dtype([("hash", ">u8"), ("place", ">u4")])
 def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all anchors in order of position, and where they stand."""
     places, hashes = syncmers(text)
+    if text and not hashes.size:
+        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        return np.array([int.from_bytes(whole, "big")], np.uint64), np.zeros(1, np.int64)
     return hashes, places
 
 

@@ -125,3 +125,15 @@ def test_order_and_repetition_count():
     a, b = words(80, 200), words(81, 200)
     assert likeness(sketch(a + b)[0], sketch(b + a)[0]) < 0.5
     assert likeness(sketch(a)[0], sketch(a + a)[0]) < 0.55
+
+
+def test_short_texts_have_anchors():
+    for n in [1, WINDOW - 1, *range(WINDOW, 41)]:
+        texts = {words(s, 40)[:n] for s in range(100 * n, 100 * n + 60)}
+        found = [sketch(t)[0] for t in texts]
+        assert all(f.size for f in found)
+        if n >= WINDOW:
+            assert all(likeness(a, b) == 0 for a, b in zip(found, found[1:], strict=False))
+        if n >= 39:
+            assert all(len(syncmers(t)[0]) for t in texts)
+    assert sketch("")[0].size == 0 and likeness(sketch("")[0], sketch("x" * 30)[0]) == 0
