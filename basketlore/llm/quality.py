@@ -4,7 +4,9 @@ Two faults are judged alike, low quality and toxicity. For each,
 
 *evidence of the document* is a likelihood ratio. Words and a few structural
 properties (shares of symbols, of capitals, of repeated words) are presence
-features. Those that are significantly more frequent
+features. Words are repeated within ``SPAN`` words; all stretches of that length
+count, wherever they begin, by their mean and by the most repetitive one, so that
+the share does not grow with the text. Those that are significantly more frequent
 in faulty documents add their log odds ratio to a score; the share of faulty and
 of other documents in each score band gives the ratio.
 
@@ -46,18 +48,35 @@ BANDS = (0.0, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 
 _SYMBOLS = b"|#<>{}[]$%&*=!~^\\@_`"
 _CAPITALS = bytes(range(65, 91))
+# Words of a stretch in which repetition is looked for.
+SPAN = 200
 _SHARES = np.array([0.002, 0.01, 0.03, 0.1, 0.2, 0.4, 0.7])
 
 
+def _repeated(words: np.ndarray) -> tuple[float, float]:
+    """Share of repeated words in the text's stretches of SPAN words: mean and maximum over all of them."""
+    span = min(words.size, SPAN)
+    order = np.argsort(words, kind="stable")
+    again = np.flatnonzero(words[order[1:]] == words[order[:-1]])
+    before, here = order[again], order[again + 1]
+    # A word repeats one before it in the stretches that begin at that one or earlier and still reach the word.
+    first, last = np.maximum(here - span + 1, 0), np.minimum(before, words.size - span)
+    fits = first <= last
+    starts = words.size - span + 1
+    steps = np.bincount(first[fits], minlength=starts + 1) - np.bincount(last[fits] + 1, minlength=starts + 1)
+    shares = np.cumsum(steps)[:starts] / span
+    return float(shares.mean()), float(shares.max())
+
+
 def _structure(text: str, words: np.ndarray) -> list[int]:
-    """Bands of the shares of symbols, capitals, repeated neighbours and repeated words."""
+    """Bands of the shares of symbols, capitals, repeated neighbours and repeated words (mean and maximum)."""
     data = text.encode()
     size = max(1, len(data))
     shares = (
         (size - len(data.translate(None, _SYMBOLS))) / size if data else 0.0,
         (size - len(data.translate(None, _CAPITALS))) / size if data else 0.0,
         float((words[1:] == words[:-1]).mean()) if words.size > 1 else 0.0,
-        1 - np.unique(words[:200]).size / min(words.size, 200) if words.size >= 100 else 0.0,
+        *(_repeated(words) if words.size >= 100 else (0.0, 0.0)),
     )
     return [16 * i + int(band) for i, band in enumerate(np.searchsorted(_SHARES, shares, side="right"))]
 

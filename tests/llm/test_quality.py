@@ -1,6 +1,8 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from basketlore.llm.quality import judge, keep_good, quality_classifier, site_rates
+from basketlore.llm.quality import SPAN, _repeated, _structure, judge, keep_good, quality_classifier, site_rates
 from basketlore.llm.shared import Scratch
 from tests.llm.cases import awkward, empty
 
@@ -46,3 +48,21 @@ def test_awkward_rows(spark):
     nothing = spark.createDataFrame([], LABELS)
     assert keep_good(docs, nothing).count() == docs.count()
     assert quality_classifier(empty(spark), labels).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 100, SPAN - 1, SPAN, SPAN + 1, 3 * SPAN + 7])
+@pytest.mark.parametrize("kinds", [1, 5, 150, 10_000])
+def test_repeated_words_against_brute_force(size, kinds):
+    words = np.random.default_rng(size).integers(0, kinds, size).astype(np.uint64)
+    span = min(size, SPAN)
+    shares = [1 - np.unique(words[i : i + span]).size / span for i in range(size - span + 1)]
+    assert _repeated(words) == pytest.approx((np.mean(shares), max(shares)))
+
+
+def test_repetition_after_a_clean_opening():
+    clean = np.arange(1000, dtype=np.uint64)
+    looping = np.concatenate((clean[:300], np.tile(clean[:3], 300)))
+    assert _structure("", looping) != _structure("", clean)
+    # The mean and the maximum of a text of one kind do not depend on its length.
+    assert _structure("", np.tile(clean[:3], 100)) == _structure("", np.tile(clean[:3], 3000))
+    assert _structure("", clean[:250]) == _structure("", clean)
