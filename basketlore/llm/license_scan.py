@@ -1,8 +1,17 @@
 """License scans: an exact containment join of text blocks with license templates.
 
-A block is a line. Block and template are sets of words; a block matches if it
-holds at least ``THRESHOLD`` of a template's words. Only words of templates count
-for that, so a block is cut down to them when it is read.
+A template matches where a stretch of consecutive words holds at least
+``THRESHOLD`` of its set of words. The stretch has ``SLACK`` times the template's
+words, ``LEAST_WIDTH`` at least; line breaks play no part in it, so a wrapped
+notice is found, and words scattered over a long line are not one. A match is
+reported at the line where its stretch begins, once for each line and template
+with the best containment; a stretch does not begin with a word that it holds
+again further on.
+
+A block is two widest stretches long, and the next begins one stretch later: each
+stretch lies within the block where it begins. Only words of templates count, so
+a block is cut down to them, with their places, when it is read. Block and
+template are joined as sets; the stretches of what the join finds are counted.
 
 All template words are put in one order, rarest in the corpus first. A template
 of n words of which c must be found can only match a block that holds one of its
@@ -19,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,6 +38,8 @@ from pyspark.sql import functions as F
 from basketlore.llm.shared import Scratch, text_of
 
 THRESHOLD = 0.8
+SLACK = 2
+LEAST_WIDTH = 16
 
 # Phrases and their labels.
 PHRASES = (
@@ -82,7 +94,8 @@ _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for
 
 _ROW = (
     "doc_id bigint, key string, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
-    "base_labels array<string>, blocks array<struct<block:bigint,start:bigint,words:array<int>>>, counts array<bigint>"
+    "base_labels array<string>, blocks array<struct<block:bigint,words:array<int>,ids:array<int>,places:array<bigint>,"
+    "lines:array<bigint>,starts:array<bigint>>>, counts array<bigint>"
 )
 _SCHEMA = pa.schema(
     [
@@ -95,7 +108,16 @@ _SCHEMA = pa.schema(
         ("base_labels", pa.list_(pa.string())),
         (
             "blocks",
-            pa.list_(pa.struct([("block", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int32()))])),
+            pa.list_(
+                pa.struct(
+                    [
+                        ("block", pa.int64()),
+                        ("words", pa.list_(pa.int32())),
+                        ("ids", pa.list_(pa.int32())),
+                        *((name, pa.list_(pa.int64())) for name in ("places", "lines", "starts")),
+                    ]
+                )
+            ),
         ),
         ("counts", pa.list_(pa.int64())),
     ]
@@ -120,6 +142,11 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(size * threshold - 1e-9))
 
 
+def _widths(templates: tuple) -> list[int]:
+    """Words of a stretch for each template."""
+    return [max(LEAST_WIDTH, SLACK * len(words_of(text.encode()))) for _, text in templates]
+
+
 def _phrase_places(words, phrases):
     """Start of every place where a phrase stands, and the labels found."""
     line = b" " + b" ".join(words) + b" "
@@ -141,20 +168,39 @@ def _read(templates, phrases, threshold):
         vocabulary, sets = _templates(templates)
         known = vocabulary.keys()
         least = min(needed(len(s), threshold) for s in sets)
+        step = max(_widths(templates))
         for batch in batches:
             counts, out = [0] * len(vocabulary), []
             for doc_id, value in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 text = value.as_py().encode()
-                start, words, blocks = 0, [], []
-                for number, line in enumerate(text.split(b"\n")):
-                    own = words_of(line)
-                    found = known & set(own)
+                words, begins, blocks = [], [], []
+                for line in text.split(b"\n"):
+                    begins.append(len(words))
+                    words += words_of(line)
+                at = [i for i, w in enumerate(words) if w in known]
+                # Of lines that begin at the same word all but the last are empty.
+                lines = [bisect_right(begins, i) - 1 for i in at]
+                low = 0
+                while low < len(at):
+                    block = at[low] // step
+                    high = bisect_left(at, (block + 2) * step, low)
+                    ids = [vocabulary[words[i]] for i in at[low:high]]
+                    found = set(ids)
                     for w in found:
-                        counts[vocabulary[w]] += 1
+                        counts[w] += 1
                     if len(found) >= least:
-                        blocks.append({"block": number, "start": start, "words": [vocabulary[w] for w in found]})
-                    start += len(own)
-                    words += own
+                        own = lines[low:high]
+                        blocks.append(
+                            {
+                                "block": block,
+                                "words": list(found),
+                                "ids": ids,
+                                "places": at[low:high],
+                                "lines": own,
+                                "starts": [begins[n] for n in own],
+                            }
+                        )
+                    low = bisect_left(at, (block + 1) * step, low)
                 places, labels = _phrase_places(words, phrases)
                 out.append(
                     {
@@ -174,8 +220,61 @@ def _read(templates, phrases, threshold):
     return run
 
 
+def stretches(ids, places, body: frozenset, width: int):
+    """Place in the lists and number of the body's words, for each stretch that begins with a word it holds once."""
+    own = [i for i, w in enumerate(ids) if w in body]
+    counts, end = {}, 0
+    for i in own:
+        while end < len(own) and places[own[end]] < places[i] + width:
+            w = ids[own[end]]
+            counts[w] = counts.get(w, 0) + 1
+            end += 1
+        if counts[ids[i]] == 1:
+            yield i, len(counts)
+            del counts[ids[i]]
+        else:
+            counts[ids[i]] -= 1
+
+
+def _counted(templates, threshold):
+    """Best containment by line of the stretches that begin in the first half of each block."""
+
+    def run(batches):
+        _, sets = _templates(templates)
+        widths = _widths(templates)
+        step = max(widths)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                body, best = sets[r["template"]], {}
+                need, ends = needed(len(body), threshold), (r["block"] + 1) * step
+                for i, n in stretches(r["ids"], r["places"], body, widths[r["template"]]):
+                    if n >= need and r["places"][i] < ends:
+                        line = r["lines"][i], r["starts"][i]
+                        best[line] = max(n, best.get(line, 0))
+                out += [
+                    {"key": r["key"], "block": line, "start": start, "template": r["template"], "containment": n / len(body)}
+                    for (line, start), n in best.items()
+                ]
+            yield pa.RecordBatch.from_pylist(out, _FOUND_SCHEMA)
+
+    return run
+
+
+_FOUND = "key string, block bigint, start bigint, template int, containment double"
+_FOUND_SCHEMA = pa.schema(
+    [
+        ("key", pa.string()),
+        ("block", pa.int64()),
+        ("start", pa.int64()),
+        ("template", pa.int32()),
+        ("containment", pa.float64()),
+    ]
+)
+
+
 def _matches(read: DataFrame, templates: tuple, threshold: float) -> DataFrame:
-    """``(key, block, start, template, containment)`` of the blocks that reach the threshold."""
+    """``(key, block, start, template, containment)`` of the lines where stretches begin that reach the threshold."""
     spark = read.sparkSession
     _, sets = _templates(templates)
     frequency = read.where("counts IS NOT NULL").select(F.posexplode("counts").alias("word", "blocks"))
@@ -199,15 +298,18 @@ def _matches(read: DataFrame, templates: tuple, threshold: float) -> DataFrame:
     shared = blocks.select("*", F.posexplode("words").alias("pos", "word")).join(F.broadcast(prefixes), "word")
     room = 1 + F.least(F.col("size") - 1 - F.col("at"), F.size("words") - 1 - F.col("pos"))
     candidates = shared.where((F.size("words") >= F.col("need")) & (room >= F.col("need"))).select(
-        "key", "block", "start", "words", "template"
+        "key", "block", "words", "ids", "places", "lines", "starts", "template"
     )
     overlap = F.size(F.array_intersect("words", "body"))
-    return (
+    held = (
         candidates.dropDuplicates(["key", "block", "template"])
         .join(F.broadcast(bodies), "template")
         .where(overlap >= F.col("need"))
-        .select("key", "block", "start", "template", (overlap / F.size("body")).alias("containment"))
+        .select("key", "block", "ids", "places", "lines", "starts", "template")
     )
+    # A line may reach into several blocks.
+    lines = held.mapInArrow(_counted(templates, threshold), _FOUND).groupBy("key", "block", "start", "template")
+    return lines.agg(F.max("containment").alias("containment"))
 
 
 def _names(templates):
@@ -215,7 +317,7 @@ def _names(templates):
 
 
 def matching_blocks(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, block, start, label, template, containment)`` of every block of every document that matches."""
+    """``(doc_id, block, start, label, template, containment)`` of every line of every document where a match begins."""
     read, found = _run(docs, templates, threshold)
     rows = read.where("counts IS NULL").select("doc_id", "key").join(found, "key")
     label = F.get(_names(templates), F.col("template"))
@@ -233,7 +335,7 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float
     """One row for each row of ``docs``: phrases found, all labels, and the best containment.
 
     ``score`` is 1 where a phrase stands, else the largest containment of a
-    matching block, else 0.
+    matching stretch, else 0.
     """
     read, found = _run(docs, templates, threshold)
     texts = found.groupBy("key").agg(

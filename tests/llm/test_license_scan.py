@@ -1,4 +1,6 @@
+import random
 import re
+import textwrap
 
 from basketlore.llm.license_scan import PHRASES, TEMPLATES, license_scan, matching_blocks
 from tests.llm.cases import awkward, empty
@@ -85,3 +87,36 @@ def test_whole_table(spark, folder):
 
 def test_empty_table(spark):
     assert license_scan(empty(spark)).collect() == []
+
+
+def scanned(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = sorted(license_scan(docs).collect())
+    return [(set(r["labels"].split(",")), r["score"]) for r in rows], docs
+
+
+def test_wrapped_notices(spark):
+    draw = random.Random(8)
+    filler = [" ".join(f"w{draw.randrange(500)}" for _ in range(n)) for n in range(0, 240, 12)]
+    texts = [
+        f"{before}\n" + textwrap.fill(template, 24, initial_indent=mark, subsequent_indent=mark) + "\nmore"
+        for (_, template), before in zip(TEMPLATES, filler, strict=True)
+        for mark in ("", " * ")
+    ]
+    found, _ = scanned(spark, texts)
+    for i, (labels, score) in enumerate(found):
+        assert TEMPLATES[i // 2][0] in labels and score == 1, texts[i]
+
+
+def test_long_lines(spark):
+    draw = random.Random(9)
+    name = "lesser general public license".split()
+    long = [f"w{draw.randrange(500)}" for _ in range(20_000)]
+    scattered = long.copy()
+    for i, w in enumerate(name):
+        scattered[100 + 4000 * i] = w
+    whole = [" ".join([*long[:at], TEMPLATES[1][1], *long[at:]]) for at in (0, 57, 58, 101, 115, 116, 9999, 20_000)]
+    found, docs = scanned(spark, [" ".join(scattered), *whole])
+    assert found[0] == ({""}, 0.0)
+    assert all(labels == {"mit"} and score == 1 for labels, score in found[1:])
+    assert {(r["block"], r["start"], r["template"]) for r in matching_blocks(docs).collect()} == {(0, 0, 1)}
