@@ -8,8 +8,12 @@ is the probability of its documents, at most 1.
 
 Values without a target form the group ``OTHER``; if that has no target either,
 its documents have probability 0. Targets of values that do not occur are left
-out, the others scaled up. Where a probability is capped at 1 the cell falls
-short of its share, and the factor is chosen so that the number of tokens holds.
+out, the others scaled up. Where that would take a probability beyond 1, the
+fitting goes on under the cap: each value of each dimension in turn gets the factor
+that gives it its share with the cap in force, until all shares hold. A value with
+fewer tokens than its share is drawn in full, and the other values of its dimension
+share the rest in proportion to their targets. The number of tokens always holds;
+shares that are missed are logged (``missed``).
 
 The cells are as many as the targets allow, whatever the data (``MAX_CELLS`` at
 most); they alone come to the driver. Counts cover all documents, summed within
@@ -20,6 +24,7 @@ Null texts have no tokens; documents without tokens are drawn like others.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +37,13 @@ OTHER = "other"
 MAX_CELLS = 1_000_000
 ROUNDS = 200
 TOLERANCE = 1e-9
+# Under the cap fitting is slower; a pass over each dimension handles so many cells in all rounds, but ROUNDS at least.
+CAPPED_ROUNDS = 5000
+CAPPED_CELLS = 10_000_000
+# A share that is so far from its target is reported.
+MISSED = 1e-4
+
+_log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -92,20 +104,71 @@ def rake(counts: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
     return factors
 
 
-def probabilities(counts: np.ndarray, factors: np.ndarray, share: float) -> np.ndarray:
-    """Probabilities in proportion to the factors, capped at 1, that draw ``share`` of all counts, or all they can."""
-    wanted = share * counts.sum()
+def _scale(counts: np.ndarray, factors: np.ndarray, wanted: float) -> float:
+    """What to multiply the factors by, so that they draw ``wanted`` of the counts if capped at 1, or all they can."""
     positive = factors > 0
-    if not positive.any() or (counts[positive].sum() <= wanted):
-        return positive.astype(float)
+    if not positive.any():
+        return 1.0
+    if counts[positive].sum() <= wanted:
+        return 1 / factors[positive].min()
     order = np.argsort(-factors[positive])
     f, c = factors[positive][order], counts[positive][order]
     # With the first i cells capped, the factor follows from the rest.
     capped = np.concatenate(([0], np.cumsum(c)[:-1]))
     rest = np.cumsum((c * f)[::-1])[::-1]
     scale = np.where(rest > 0, (wanted - capped) / np.where(rest > 0, rest, 1), np.inf)
-    first = int(np.argmax(scale * f <= 1))
-    return np.minimum(1.0, scale[first] * factors)
+    return scale[int(np.argmax(scale * f <= 1))]
+
+
+def probabilities(counts: np.ndarray, factors: np.ndarray, share: float) -> np.ndarray:
+    """Probabilities in proportion to the factors, capped at 1, that draw ``share`` of all counts, or all they can."""
+    wanted = share * counts.sum()
+    positive = factors > 0
+    if not positive.any() or (counts[positive].sum() <= wanted):
+        return positive.astype(float)
+    return np.minimum(1.0, _scale(counts, factors, wanted) * factors)
+
+
+def _margin(weights: np.ndarray, axis: int) -> np.ndarray:
+    return weights.sum(axis=tuple(i for i in range(weights.ndim) if i != axis))
+
+
+def fitted(counts: np.ndarray, targets: list[np.ndarray], share: float) -> np.ndarray:
+    """Probability of each cell, at most 1: ``share`` of all counts, with the target shares as far as the counts allow."""
+    factors = rake(counts, targets)
+    chosen = probabilities(counts, factors, share)
+    there = factors > 0
+    wanted, size = share * counts.sum(), (counts * there).sum()
+    if size <= wanted or chosen.max() < 1:
+        return chosen
+    goals = []
+    for axis, target in enumerate(targets):
+        room = _margin(counts * there, axis)
+        goals.append(room * probabilities(room, np.where(room > 0, target / np.where(room > 0, room, 1), 0), wanted / size))
+    for _ in range(min(CAPPED_ROUNDS, max(ROUNDS, CAPPED_CELLS // counts.size))):
+        for axis, goal in enumerate(goals):
+            f, c = np.moveaxis(factors, axis, 0), np.moveaxis(counts, axis, 0)
+            for i in np.flatnonzero(goal):
+                f[i] *= _scale(c[i], f[i], goal[i])
+            # Where shares exclude each other, factors would go on growing and shrinking.
+            factors = np.where(there, np.clip(factors, 1e-100, 1e100), 0)
+        weights = counts * np.minimum(1.0, factors)
+        if max(np.abs(_margin(weights, axis) - goal).max() for axis, goal in enumerate(goals)) < TOLERANCE * wanted:
+            break
+    return probabilities(counts, factors, share)
+
+
+def missed(counts: np.ndarray, chosen: np.ndarray, targets: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
+    """Dimension, value, target and drawn share of what misses its target, over the values that occur."""
+    found, weights = [], counts * chosen
+    if not weights.sum():
+        return found
+    for axis, target in enumerate(targets):
+        wanted = np.where(_margin(counts, axis) > 0, target, 0)
+        drawn = _margin(weights, axis) / weights.sum()
+        wanted = wanted / wanted.sum()
+        found += [(axis, int(i), float(wanted[i]), float(drawn[i])) for i in np.flatnonzero(np.abs(drawn - wanted) > MISSED)]
+    return found
 
 
 def draw(
@@ -140,7 +203,9 @@ def draw(
     for cell in cells:
         counts[tuple(v.index(cell[k]) for v, k in zip(values, keys, strict=True))] = cell["n_tokens"]
     wanted = [np.array([target.get(v, 0.0) for v in known]) for known, (_, target) in zip(values, targets.dimensions(), strict=True)]
-    chosen = probabilities(counts, rake(counts, wanted), targets.share)
+    chosen = fitted(counts, wanted, targets.share)
+    for axis, i, target, drawn in missed(counts, chosen, wanted):
+        _log.warning("%s %s: share %.4f instead of %.4f", names[axis], values[axis][i], drawn, target)
     table = [
         (*(v[i] for v, i in zip(values, at, strict=True)), float(chosen[at]))
         for at in (tuple(v.index(cell[k]) for v, k in zip(values, keys, strict=True)) for cell in cells)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlore.llm.mixing import FORM_TARGETS, OTHER, Targets, mix, probabilities, rake, sample
+from basketlore.llm.mixing import FORM_TARGETS, OTHER, Targets, fitted, missed, mix, probabilities, rake, sample
 from tests.llm.cases import awkward, empty
 
 
@@ -69,3 +69,46 @@ def test_awkward_rows(spark):
     assert sample(docs, everything).count() == docs.count()
     assert sample(docs, Targets({"nowhere": 1.0}, {"en": 1.0}, {"note": 1.0})).count() == 0
     assert mix(empty(spark)).collect() == []
+
+
+def test_margins_hold_under_the_cap():
+    draw = np.random.default_rng(6)
+    counts = draw.integers(1, 1000, (6, 4, 3)).astype(float)
+    # Targets that some probabilities of at most 1 reach, with many of them at 1.
+    within = np.minimum(1, 0.5 * np.multiply.outer(np.multiply.outer(*(np.exp(draw.normal(size=n)) for n in (6, 4))), np.exp(draw.normal(size=3))))
+    targets = [(counts * within).sum(axis=tuple(i for i in range(3) if i != a)) for a in range(3)]
+    share = (counts * within).sum() / counts.sum()
+    targets = [t / t.sum() for t in targets]
+    before = probabilities(counts, rake(counts, targets), share)
+    found = fitted(counts, targets, share)
+    assert (within == 1).sum() > 10 and found == pytest.approx(within, abs=1e-4) and found.max() <= 1
+    assert (counts * found).sum() == pytest.approx(share * counts.sum())
+    assert missed(counts, before, targets) and not missed(counts, found, targets)
+
+
+def test_unreachable_margins_are_reported():
+    counts = np.array([[10.0, 400.0], [40.0, 550.0]])
+    targets = [np.array([0.5, 0.5]), np.array([0.4, 0.6])]
+    found = fitted(counts, targets, 0.5)
+    weights = counts * found
+    # Only 50 of 500 are there for the first column: all of them are drawn, and the rows hold.
+    assert found[:, 0] == pytest.approx(1) and weights.sum(axis=1) == pytest.approx([250, 250], rel=1e-6)
+    assert [(a, i) for a, i, *_ in missed(counts, found, targets)] == [(1, 0), (1, 1)]
+
+
+def test_margins_at_the_registered_share(spark):
+    found = mix(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).cache()
+    mass = {}
+    for name, _ in FORM_TARGETS.dimensions():
+        rows = found.groupBy(f"{name}_group").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("m"), F.sum("n_tokens").alias("n")).collect()
+        mass[name] = {r[0]: (r["m"], r["n"]) for r in rows}
+    whole = sum(m for m, _ in mass["lang"].values())
+    for name, target in (("source", FORM_TARGETS.source), ("lang", FORM_TARGETS.lang)):
+        there = sum(target[v] for v in mass[name])
+        for v, (m, _) in mass[name].items():
+            assert m / whole == pytest.approx(target[v] / there, abs=1e-4), (name, v)
+    # There are too few notes: all are drawn, and the other forms share the rest.
+    notes, n = mass["topic"]["note"]
+    assert notes == pytest.approx(n, rel=1e-4) and notes / whole < 0.1
+    for v in ("table", "article", "report"):
+        assert mass["topic"][v][0] / (whole - notes) == pytest.approx(FORM_TARGETS.topic[v] / 0.9, abs=1e-4)
