@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from basketlore.llm.byte_bpe import encode
+from basketlore.llm.conversation_trie import prefix_trie
 from basketlore.llm.exact_dedup import exact_dedup
 from basketlore.llm.fingerprint import fingerprint_edits
 from basketlore.llm.katz import katz_scores
@@ -122,6 +123,64 @@ def op2_mixing(spark, folder):
     return mix(documents(spark, folder))
 
 
+@query
+def op11_prefix_trie(spark, folder):
+    return prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet")).drop("name")
+
+
+# The lookup table of CRC-32 is computed from its polynomial.
+ORACLE_SQL["op11_prefix_trie"] = """
+WITH tab AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i:
+    CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t
+),
+m AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+      list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+      lambda v, b: xor(v >> 8, t[(xor(v, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM m), tab
+),
+r AS (
+  SELECT c.conv_id, 0 AS own, m.pos, m.role, m.text FROM c JOIN m ON m.conv_id = c.base AND m.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, m.pos, m.role, m.text FROM c JOIN m ON m.conv_id = c.conv_id AND m.pos > c.h
+),
+s AS (
+  SELECT conv_id, role, text, row_number() OVER w AS depth,
+    list(sha256(length(role) || ':' || role || text)) OVER w AS node
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+),
+p AS (
+  SELECT conv_id, depth, sha256(node::VARCHAR) AS node, sha256(node[:-2]::VARCHAR) AS parent,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM s
+  UNION ALL
+  SELECT conv_id, 0, sha256('[]'), NULL, 0 FROM c
+),
+l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+n AS (
+  SELECT p.node, any_value(p.depth) AS depth, any_value(p.parent) AS parent, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(p.words) AS saved,
+    sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE l.len = p.depth), '')) AS ends_sha256
+  FROM p JOIN l USING (conv_id) GROUP BY p.node
+),
+k AS (SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent),
+t AS (
+  SELECT p.node, sum(n.saved) AS saved_tokens, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves
+  FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN k ON k.node = n.node
+  GROUP BY p.node
+)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+  t.n_leaves, t.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN t ON t.node = n.node LEFT JOIN n q ON q.node = n.parent LEFT JOIN k ON k.node = n.node
+"""
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
