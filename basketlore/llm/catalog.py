@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from basketlore.llm.byte_bpe import encode
 from basketlore.llm.conversation_trie import prefix_trie
+from basketlore.llm.embedding_whitening import whiten_embeddings
 from basketlore.llm.exact_dedup import exact_dedup
 from basketlore.llm.fingerprint import fingerprint_edits
 from basketlore.llm.katz import katz_scores
@@ -19,6 +20,7 @@ from basketlore.llm.ngram_join import ngram_jaccard_join
 from basketlore.llm.quality import quality_classifier
 from basketlore.llm.secret_scan import secret_scan
 from basketlore.llm.shared import documents, labels
+from basketlore.llm.token_files import encode_to_files
 from basketlore.llm.tool_calls import link_conversations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +183,16 @@ FROM n JOIN t ON t.node = n.node LEFT JOIN n q ON q.node = n.parent LEFT JOIN k
 """
 
 
+@query
+def op12_whitening(spark, folder):
+    return whiten_embeddings(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query
+def op13_token_files(spark, folder):
+    return encode_to_files(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
