@@ -73,6 +73,8 @@ def _ordered(work: Scratch, turns: DataFrame) -> DataFrame:
         # Repeated rows may fill more than one task.
         F.monotonically_increasing_id().alias("tie"),
     )
+    # Finding ranges reads the rows twice; without their texts that is cheap.
+    rows = work.write(rows, "tokens")
     order = ["conv_id", F.col("turn").asc_nulls_first(), "token", "tie"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return work.write(ranged.select("conv_id", "token", F.monotonically_increasing_id().alias("place")), "turns")
