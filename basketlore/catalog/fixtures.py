@@ -45,6 +45,48 @@ def baskets(spark: SparkSession, folder: str, item: str) -> DataFrame:
     return basket_items(clean_lines(retail_lines(spark, folder, item)), "basket_id")
 
 
+def attribute_baskets(spark: SparkSession, folder: str) -> DataFrame:
+    """Dense baskets: an order holds the return flags, brand groups and types of its lines.
+
+    Frequent and rare items differ much, so deep levels lose candidates to pruning and
+    keep others.
+    """
+    lines = table(spark, folder, "lineitem").join(
+        table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")
+    )
+    items = F.array(
+        F.concat(F.lit("flag="), "l_returnflag"),
+        F.concat(F.lit("brand="), F.substring("p_brand", 7, 1)),
+        F.concat(F.lit("type="), "p_type"),
+    )
+    return basket_items(lines.select("l_orderkey", "l_quantity", F.explode(items).alias("item")), "l_orderkey", "item", "l_quantity")
+
+
+def order_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse baskets: an order holds a few of very many parts."""
+    lines = table(spark, folder, "lineitem").withColumn("item", F.col("l_partkey").cast("string"))
+    return basket_items(lines, "l_orderkey", "item", "l_quantity")
+
+
+def messy_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Long-form baskets as they may come: lines repeated, without a basket, without an item."""
+    lines = table(spark, folder, "lineitem").join(
+        table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")
+    )
+    rows = lines.select(
+        F.when(F.col("l_orderkey") % 50 != 0, F.col("l_orderkey")).alias("basket_id"),
+        F.when(F.col("p_size") % 25 != 0, F.col("p_brand")).alias("item"),
+        F.col("l_quantity").alias("qty"),
+        "l_linenumber",
+    )
+    return rows.unionByName(rows.where("l_linenumber = 1")).drop("l_linenumber")
+
+
+def sized_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales lines whose items are part sizes; no line of the sizes 25 and 50 has a description."""
+    return retail_lines(spark, folder, "p_size").withColumn("StockCode", F.col("StockCode").cast("string"))
+
+
 def _timings(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as timings: one algorithm step, threshold and machine size each."""
     labels = F.array(*(F.lit(v) for v in CORE_LABELS))

@@ -7,7 +7,7 @@ items that shares a basket is counted, then compared with the minimum count.
 from __future__ import annotations
 
 from basketlore.catalog.fixtures import BRAND, CORE_LABELS, THRESHOLD_KEYS, TYPE
-from basketlore.catalog.queries import CHUNKS, LOW, SUPPORTS
+from basketlore.catalog.queries import CHUNKS, DENSE, LOW, SIZED, SPARSE, SUPPORTS
 
 LINES = """lines AS (
   SELECT (CASE WHEN o_orderstatus = 'P' THEN 'C' ELSE '' END) || CAST(l_orderkey AS VARCHAR) AS InvoiceNo,
@@ -34,6 +34,46 @@ parts AS (SELECT basket_id % {chunks} AS chunk, * FROM b)"""
 DICTIONARY = "dict AS (SELECT StockCode AS item, min(Description) AS description FROM clean GROUP BY StockCode)"
 
 DEPTH = {BRAND: 3, TYPE: 6}
+DENSE_DEPTH = 6
+
+# Baskets of the other fixtures: ``counted`` gives the number of baskets, ``b`` what is mined.
+DENSE_BASKETS = """attributes AS (
+  SELECT l_orderkey AS basket_id, unnest(['flag=' || l_returnflag, 'brand=' || substr(p_brand, 7, 1), 'type=' || p_type]) AS item,
+         l_quantity AS qty
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+summed AS (SELECT basket_id, item, sum(qty) AS qty FROM attributes GROUP BY basket_id, item),
+b AS (SELECT * FROM summed WHERE basket_id IN (SELECT basket_id FROM summed GROUP BY basket_id HAVING count(*) > 1)),
+counted AS (SELECT * FROM b)"""
+
+SPARSE_BASKETS = """summed AS (
+  SELECT l_orderkey AS basket_id, CAST(l_partkey AS VARCHAR) AS item, sum(l_quantity) AS qty
+  FROM lineitem GROUP BY l_orderkey, l_partkey),
+b AS (SELECT * FROM summed WHERE basket_id IN (SELECT basket_id FROM summed GROUP BY basket_id HAVING count(*) > 1)),
+counted AS (SELECT * FROM b)"""
+
+MESSY_BASKETS = """messy AS (
+  SELECT CASE WHEN l_orderkey % 50 <> 0 THEN l_orderkey END AS basket_id, CASE WHEN p_size % 25 <> 0 THEN p_brand END AS item,
+         l_quantity AS qty, l_linenumber
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+repeated AS (SELECT * FROM messy UNION ALL SELECT * FROM messy WHERE l_linenumber = 1),
+counted AS (SELECT coalesce(basket_id, 0) AS basket_id FROM repeated),
+b AS (SELECT coalesce(basket_id, 0) AS basket_id, item, sum(qty) AS qty FROM repeated WHERE item IS NOT NULL
+      GROUP BY coalesce(basket_id, 0), item)"""
+
+SIZED_BASKETS = """sold AS (
+  SELECT basket_id, CAST(StockCode AS VARCHAR) AS item, sum(Quantity) AS qty FROM lines
+  WHERE NOT regexp_matches(InvoiceNo, '^[Cc]') AND Quantity > 0 GROUP BY basket_id, StockCode),
+b AS (SELECT * FROM sold WHERE basket_id IN (SELECT basket_id FROM sold GROUP BY basket_id HAVING count(*) > 1)),
+counted AS (SELECT * FROM b)"""
+
+CHUNKED = """whole AS (SELECT 0 AS chunk, * FROM b),
+parts AS (SELECT basket_id % {chunks} AS chunk, * FROM b),
+whole_counted AS (SELECT 0 AS chunk, basket_id FROM counted),
+parts_counted AS (SELECT basket_id % {chunks} AS chunk, basket_id FROM counted)"""
+
+
+def _over(baskets: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join([baskets, CHUNKED.format(chunks=CHUNKS), *ctes]) + "\n"
 
 
 def _with(item: str, *ctes: str) -> str:
@@ -46,10 +86,10 @@ def _least(mode: str, support: float, n: str = "count(DISTINCT basket_id)") -> s
     return {"floor": f"greatest(1, floor({share}))", "exact": share, "ceil": f"ceil({share})"}[mode]
 
 
-def _mined(tag: str, source: str, support: float, mode: str, depth: int) -> list[str]:
-    """``tag1`` to ``tagN``: frequent itemsets by length, columns i1..ik."""
+def _mined(tag: str, source: str, support: float, mode: str, depth: int, counted: str = "") -> list[str]:
+    """``tag1`` to ``tagN``: frequent itemsets by length, columns i1..ik; ``counted`` has all baskets, if ``source`` has not."""
     ctes = [
-        f"{tag}_least AS (SELECT chunk, {_least(mode, support)} AS least FROM {source} GROUP BY chunk)"
+        f"{tag}_least AS (SELECT chunk, {_least(mode, support)} AS least FROM {counted or source} GROUP BY chunk)"
     ]
     for k in range(1, depth + 1):
         items = ", ".join(f"t{j}.item AS i{j}" for j in range(1, k + 1))
@@ -131,10 +171,10 @@ def _named(tag: str, depth: int, first: int, dictionary: str = "dict") -> str:
     return " UNION ALL ".join(parts)
 
 
-def _patterns(item: str) -> list[str]:
+def _patterns(item: str, mode: str = "floor") -> list[str]:
     """``patterns``: the pattern table, unrounded."""
     return [
-        *_mined("f", "whole", LOW, "floor", DEPTH[item]),
+        *_mined("f", "whole", LOW, mode, DEPTH[item]),
         DICTIONARY,
         "patterns AS (SELECT name AS Itemset, support AS Support, total_log_qty / support AS Avg_Log_Qty,"
         ' max_qty AS Max_Qty, length AS Length, itemset AS "key"'
@@ -151,6 +191,65 @@ def _itemsets(item: str, mode: str = "floor", columns: str = COUNT) -> str:
     return _with(item, *_mined("f", "whole", LOW, mode, DEPTH[item])) + _all("f", DEPTH[item], columns)
 
 
+def _mined_over(baskets: str, support: float, mode: str, depth: int, columns: str = COUNT) -> str:
+    mined = _mined("f", "whole", support, mode, depth, "whole_counted")
+    return _over(baskets, *mined) + _all("f", depth, columns)
+
+
+def _grown(support: float, mode: str, depth: int = DENSE_DEPTH) -> list[str]:
+    """``f1`` to ``fN`` as ``_mined`` has them, every basket's subsets being grown item by item."""
+    ctes = [
+        """subsets AS (
+  SELECT basket_id, item AS last, [item] AS items, qty FROM b
+  UNION ALL
+  SELECT s.basket_id, b.item, list_append(s.items, b.item), least(s.qty, b.qty)
+  FROM subsets s JOIN b ON b.basket_id = s.basket_id AND b.item > s.last WHERE len(s.items) < %d)""" % depth,
+        f"least_count AS (SELECT {_least(mode, support)} AS least FROM counted)",
+        """frequent AS (
+  SELECT items, count(*) AS support, sum(ln(1 + qty)) AS total_log_qty, max(qty) AS max_qty
+  FROM subsets GROUP BY items HAVING count(*) >= (SELECT least FROM least_count))""",
+    ]
+    for k in range(1, depth + 1):
+        items = ", ".join(f"items[{j}] AS i{j}" for j in range(1, k + 1))
+        ctes.append(
+            f"f{k} AS (SELECT 0 AS chunk, {items}, support, total_log_qty, max_qty FROM frequent WHERE len(items) = {k})"
+        )
+    return ctes
+
+
+def _grown_over(mode: str, columns: str = COUNT) -> str:
+    return _dense(DENSE, mode) + _all("f", DENSE_DEPTH, columns)
+
+
+def _dense(support: float, mode: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([DENSE_BASKETS, *_grown(support, mode)]) + "\n"
+
+
+def _son_sweep_local() -> list[str]:
+    """``p0_cand`` and so on: candidates at each threshold."""
+    return [c for n, s in enumerate(SUPPORTS) for c in _local(TYPE, "exact", s, f"p{n}_")]
+
+
+def _exact_sweep(item: str, select: str) -> str:
+    ctes, tags = _sweep(item, "exact")
+    return _with(item, *ctes) + " UNION ALL ".join(
+        f"SELECT CAST({s} AS DOUBLE) AS min_support, {select} FROM ({_all(tag, DEPTH[item], MEASURED)}) u" for s, tag in tags.items()
+    )
+
+
+def _swept_patterns() -> str:
+    """``swept``: patterns of every threshold, unrounded."""
+    ctes, tags = _sweep(TYPE)
+    rows = " UNION ALL ".join(
+        f"SELECT CAST({s} AS DOUBLE) AS min_support, * FROM ({_named(tag, DEPTH[TYPE], 2)}) n" for s, tag in tags.items()
+    )
+    swept = (
+        "swept AS (SELECT min_support, name AS Itemset, support AS Support, total_log_qty / support AS Avg_Log_Qty,"
+        f' max_qty AS Max_Qty, length AS Length, itemset AS "key" FROM ({rows}) r)'
+    )
+    return _with(TYPE, *ctes, DICTIONARY, swept)
+
+
 def _one_level(item: str, k: int, columns: str = COUNT) -> str:
     return (
         _with(item, *_mined("f", "whole", LOW, "floor", k))
@@ -240,6 +339,18 @@ def _case(column: str, values: tuple[str, ...]) -> str:
     return f"CASE {cases} END"
 
 
+MAPS = """SELECT {by}Support, any_value(total_baskets) AS total_baskets, 'apriori' AS algorithm, count(*) AS itemsets,
+       round(sum(value), 4) AS seconds, round({click}, 4) AS part1, round({view}, 4) AS part2
+FROM joined GROUP BY {by}Support
+UNION ALL
+SELECT {by}Support, any_value(total_baskets), 'fpgrowth', count(*), round(sum(value), 4), round({click}, 4), round({view}, 4)
+FROM joined GROUP BY {by}Support
+UNION ALL
+SELECT {by}Support, any_value(total_baskets), 'son', count(DISTINCT user_id),
+       CASE WHEN Support <> '0.02' THEN round(sum(value), 4) END, round({purchase}, 4), round({signup}, 4)
+FROM joined GROUP BY {by}Support"""
+
+
 TIMINGS = f"""WITH timings AS (
   SELECT {_case('user_id', CORE_LABELS)} AS Cores, {_case('event_id', THRESHOLD_KEYS)} AS Support,
          event_type, user_id, value FROM events)
@@ -262,6 +373,14 @@ def _scalability(algorithm: str) -> str:
     )
 
 
+def _maps(total: str, by: str = "") -> str:
+    return (
+        TIMINGS.rstrip()
+        + f",\njoined AS (SELECT t.*, total_baskets FROM timings t JOIN ({total}) n ON {'n.Cores = t.Cores' if by else 'true'})\n"
+        + MAPS.format(by=by, **{k: _seconds(k) for k in ("click", "view", "purchase", "signup")})
+    )
+
+
 SCALABILITY = " UNION ALL ".join(_scalability(a) for a in ("Apriori", "FP-Growth", "SON"))
 
 
@@ -286,6 +405,13 @@ totals AS (SELECT Cores, count(*) AS total_baskets FROM timings GROUP BY Cores)
 SELECT t.Cores, Support, any_value(total_baskets) AS total_baskets, count(*) AS candidates,
        count(DISTINCT user_id) AS itemsets, round({_seconds('purchase')}, 4) AS phase1
 FROM timings t JOIN totals ON totals.Cores = t.Cores GROUP BY t.Cores, Support""",
+        "scan_lines_quoted": _with(BRAND)
+        + "SELECT InvoiceNo, StockCode, '\"' || Description || '\", or' || chr(10) || StockCode || ',\"' AS Description,"
+        " Quantity, CustomerID FROM lines",
+        "scan_run_metrics_maps": _maps("SELECT count(*) AS total_baskets FROM timings"),
+        "scan_run_metrics_labeled_maps": _maps(
+            "SELECT Cores, count(*) AS total_baskets FROM timings GROUP BY Cores", "Cores, "
+        ),
         "run_config": _with(BRAND)
         + f"SELECT 8 AS cores, {CHUNKS} AS partitions, '{','.join(map(str, SUPPORTS))}' AS supports,"
         " count(DISTINCT basket_id) AS total_baskets, 'lineitem' AS input_dataset FROM b",
@@ -320,6 +446,63 @@ FROM timings t JOIN totals ON totals.Cores = t.Cores GROUP BY t.Cores, Support""
             + " FROM total"
             for s in SUPPORTS
         ),
+        "support_thresholds_messy": _over(MESSY_BASKETS, "total AS (SELECT count(DISTINCT basket_id) AS n FROM counted)")
+        + " UNION ALL ".join(
+            f"SELECT CAST({s} AS DOUBLE) AS min_support, n AS baskets, "
+            + ", ".join(f"CAST({_least(m, s, 'n')} AS DOUBLE) AS {m}_count" for m in ("floor", "exact", "ceil"))
+            + " FROM total"
+            for s in SUPPORTS
+        ),
+        "run_config_messy": _over(MESSY_BASKETS)
+        + f"SELECT 8 AS cores, {CHUNKS} AS partitions, count(DISTINCT basket_id) AS total_baskets, 'lineitem' AS input_dataset"
+        " FROM counted",
+        "candidates_k4_dense": _dense(DENSE, "floor") + _candidates("f", 4),
+        "apriori_dense": _grown_over("floor"),
+        "qa_apriori_dense": _grown_over("floor", MEASURED),
+        "fpgrowth_dense": _grown_over("ceil"),
+        "son_dense": _grown_over("floor"),
+        "qa_son_dense": _grown_over("exact", MEASURED),
+        "level_stats_dense": _dense(DENSE, "floor") + _levels("f", DENSE_DEPTH),
+        "apriori_sparse": _mined_over(SPARSE_BASKETS, SPARSE, "floor", 3),
+        "fpgrowth_sparse": _mined_over(SPARSE_BASKETS, SPARSE, "ceil", 3),
+        "apriori_messy": _mined_over(MESSY_BASKETS, LOW, "floor", DEPTH[BRAND]),
+        "qa_apriori_messy": _mined_over(MESSY_BASKETS, LOW, "floor", DEPTH[BRAND], MEASURED),
+        "son_messy": _mined_over(MESSY_BASKETS, LOW, "floor", DEPTH[BRAND]),
+        "fpgrowth_messy": _mined_over(MESSY_BASKETS, LOW, "ceil", DEPTH[BRAND]),
+        "son_local_messy": _over(MESSY_BASKETS, *_mined("p", "parts", LOW, "floor", DEPTH[BRAND], "parts_counted"))
+        + f"SELECT CAST(chunk AS INTEGER) AS chunk, itemset, length, support FROM ({_all('p', DEPTH[BRAND], 'chunk, support')}) u",
+        "itemset_names_unknown": "WITH "
+        + ",\n".join(
+            [
+                LINES.format(item="p_size"),
+                CLEAN,
+                SIZED_BASKETS,
+                CHUNKED.format(chunks=CHUNKS),
+                *_mined("f", "whole", SIZED, "floor", 3),
+                DICTIONARY.replace("SELECT StockCode AS item", "SELECT CAST(StockCode AS VARCHAR) AS item"),
+            ]
+        )
+        + f"\nSELECT itemset, name, support FROM ({_named('f', 3, 1)}) n",
+        "son_sweep": _exact_sweep(TYPE, "itemset, length, support, total_log_qty, max_qty"),
+        "son_sweep_candidates": _with(TYPE, *_son_sweep_local())
+        + " UNION ALL ".join(
+            f"SELECT CAST({s} AS DOUBLE) AS min_support, itemset, length FROM p{n}__cand" for n, s in enumerate(SUPPORTS)
+        ),
+        "qa_sweep": _with(TYPE, *_sweep(TYPE)[0])
+        + " UNION ALL ".join(
+            f"SELECT CAST({s} AS DOUBLE) AS min_support, * FROM ({_all(tag, DEPTH[TYPE], MEASURED)}) u"
+            for s, tag in _sweep(TYPE)[1].items()
+        ),
+        "qa_sweep_patterns": _swept_patterns()
+        + 'SELECT min_support, Itemset, Support, round(Avg_Log_Qty, 6) AS Avg_Log_Qty, Max_Qty, Length, "key" FROM swept',
+        "top_per_threshold": _swept_patterns()
+        + 'SELECT min_support, CAST(place AS INTEGER) AS place, "key", Support, round(Avg_Log_Qty, 6) AS Avg_Log_Qty FROM ('
+        'SELECT *, row_number() OVER (PARTITION BY min_support ORDER BY Avg_Log_Qty DESC, "key") AS place FROM swept) r'
+        " WHERE place <= 3",
+        "son_top_itemsets": _with(BRAND, *_patterns(BRAND, "exact"))
+        + 'SELECT Itemset, Support, round(Avg_Log_Qty, 6) AS Avg_Log_Qty, Max_Qty, Length, "key"'
+        ' FROM patterns ORDER BY Support DESC, "key" LIMIT 10',
+        "max_qty_density_binned": "SELECT *, TRUE AS within_bound FROM (" + _with(TYPE, *_patterns(TYPE)).rstrip() + DENSITY + ") d",
         "apriori_level1": _one_level(BRAND, 1),
         "apriori_level2": _one_level(BRAND, 2),
         "apriori_level3": _one_level(TYPE, 3),

@@ -10,24 +10,30 @@ from pyspark.sql import functions as F
 from basketlore.catalog.fixtures import (
     BRAND,
     TYPE,
+    attribute_baskets,
     baskets,
     labeled_run_metrics,
+    messy_items,
+    order_parts,
     retail_lines,
     run_metrics,
+    sized_lines,
 )
 from basketlore.functions.labels import itemset_key, percent_label
 from basketlore.operators import prep
-from basketlore.operators.apriori import apriori
+from basketlore.operators.apriori import apriori, stack
 from basketlore.operators.candidates import candidates
 from basketlore.operators.fpgrowth import fpgrowth, fpgrowth_summary, itemset_summary
 from basketlore.operators.son import son
 from basketlore.plans import reports, run_reports, sweep
 from basketlore.sources.retail import read_baskets, read_lines
-from basketlore.sources.sinks import run_config
+from basketlore.sources.sinks import run_config, write_csv
 from basketlore.workspace import Workspace
 
 LOW = 0.02
 CHUNKS = 4
+# Dense baskets have six levels at this threshold, sparse ones few pairs at theirs; part sizes have pairs.
+DENSE, SPARSE, SIZED = 0.25, 0.0002, 0.002
 SUPPORTS = sweep.DEFAULT_SUPPORTS
 LINE_COLUMNS = ("InvoiceNo", "basket_id", "StockCode", "Description", "Quantity", "CustomerID")
 
@@ -44,8 +50,9 @@ def _plain(itemsets: DataFrame, *more: str) -> DataFrame:
     return itemsets.select(*more, itemset_key(F.col("items")).alias("itemset"), "length", "support")
 
 
-def _measured(itemsets: DataFrame) -> DataFrame:
+def _measured(itemsets: DataFrame, *more: str) -> DataFrame:
     return itemsets.select(
+        *more,
         itemset_key(F.col("items")).alias("itemset"),
         "length",
         "support",
@@ -72,10 +79,19 @@ def scan_baskets(spark, folder):
 @query
 def scan_lines(spark, folder):
     path = Workspace(spark, "scan").path("lines.csv")
-    retail_lines(spark, folder, BRAND).drop("basket_id").write.option("header", True).csv(path)
+    write_csv(retail_lines(spark, folder, BRAND).drop("basket_id"), path)
     return read_lines(spark, path)
 
 
+@query
+def scan_lines_quoted(spark, folder):
+    """Descriptions with quotes, commas and line breaks, written and read back."""
+    path = Workspace(spark, "scan").path("lines.csv")
+    text = F.concat(F.lit('"'), "Description", F.lit('", or\n'), "StockCode", F.lit(',"'))
+    write_csv(retail_lines(spark, folder, BRAND).withColumn("Description", text).drop("basket_id"), path)
+    return read_lines(spark, path, multi_line=True)
+
+
 @query
 def scan_run_metrics(spark, folder):
     runs = run_metrics(spark, folder).select(F.explode("apriori").alias("Support", "run"))
@@ -105,6 +121,35 @@ def scan_run_metrics_labeled(spark, folder):
     )
 
 
+def _all_maps(metrics: DataFrame, *keep: str) -> DataFrame:
+    """Every run of every algorithm's map: time, itemsets, and the two parts a run has."""
+    fields = {
+        "apriori": ("total_itemsets", "levels['1'].execution_time", "levels['2'].execution_time"),
+        "fpgrowth": ("count", "build_time", "mine_time"),
+        "son": ("final_frequent_itemsets", "phase1_time", "phase2_time"),
+    }
+    parts = []
+    for key, (itemsets, first, second) in fields.items():
+        runs = metrics.select(*keep, "metadata.total_baskets", F.explode(key).alias("Support", "run"))
+        parts.append(
+            runs.selectExpr(
+                *keep, "total_baskets", f"'{key}' AS algorithm", "Support", f"run.{itemsets} AS itemsets",
+                "round(run.total_time, 4) AS seconds", f"round(run.{first}, 4) AS part1", f"round(run.{second}, 4) AS part2",
+            )
+        )
+    return stack(parts)
+
+
+@query
+def scan_run_metrics_maps(spark, folder):
+    return _all_maps(run_metrics(spark, folder))
+
+
+@query
+def scan_run_metrics_labeled_maps(spark, folder):
+    return _all_maps(labeled_run_metrics(spark, folder), "Cores")
+
+
 @query
 def run_config_(spark, folder):
     config = run_config(baskets(spark, folder, BRAND), 8, CHUNKS, list(SUPPORTS), "lineitem")
@@ -195,35 +240,51 @@ def support_thresholds(spark, folder):
     return sweep.support_thresholds(baskets(spark, folder, BRAND), SUPPORTS)
 
 
+@query
+def support_thresholds_messy(spark, folder):
+    return sweep.support_thresholds(messy_items(spark, folder), SUPPORTS)
+
+
+@query
+def run_config_messy(spark, folder):
+    config = run_config(messy_items(spark, folder), 8, CHUNKS, list(SUPPORTS), "lineitem")
+    return config.select("cores", "partitions", "total_baskets", "input_dataset")
+
+
 @query
 def apriori_level1(spark, folder):
-    return _plain(apriori(baskets(spark, folder, BRAND), LOW).itemsets.where("length = 1"))
+    return _plain(apriori(baskets(spark, folder, BRAND), LOW, max_length=1).itemsets)
 
 
 @query
 def apriori_level2(spark, folder):
-    return _plain(apriori(baskets(spark, folder, BRAND), LOW).itemsets.where("length = 2"))
+    return _plain(apriori(baskets(spark, folder, BRAND), LOW, max_length=2).itemsets.where("length = 2"))
 
 
 @query
 def apriori_level3(spark, folder):
-    return _plain(apriori(baskets(spark, folder, TYPE), LOW).itemsets.where("length = 3"))
+    return _plain(apriori(baskets(spark, folder, TYPE), LOW, max_length=3).itemsets.where("length = 3"))
 
 
-def _candidates(spark, folder, length):
-    levels = apriori(baskets(spark, folder, BRAND), LOW).levels
+def _candidates(items, length, support=LOW):
+    levels = apriori(items, support, max_length=length - 1).levels
     found = candidates(levels[length - 2].frequent, length)
     return found.select(itemset_key(F.col("items")).alias("itemset"), "min_support")
 
 
 @query
 def candidates_k2(spark, folder):
-    return _candidates(spark, folder, 2)
+    return _candidates(baskets(spark, folder, BRAND), 2)
 
 
 @query
 def candidates_k3(spark, folder):
-    return _candidates(spark, folder, 3)
+    return _candidates(baskets(spark, folder, BRAND), 3)
+
+
+@query
+def candidates_k4_dense(spark, folder):
+    return _candidates(attribute_baskets(spark, folder), 4, DENSE)
 
 
 @query
@@ -283,8 +344,7 @@ def son_stats(spark, folder):
 
 @query
 def qa_level1(spark, folder):
-    found = apriori(baskets(spark, folder, BRAND), LOW, "floor", measures=True).itemsets
-    return _measured(found.where("length = 1"))
+    return _measured(apriori(baskets(spark, folder, BRAND), LOW, "floor", measures=True, max_length=1).itemsets)
 
 
 @query
@@ -319,6 +379,71 @@ def qa_son_stats(spark, folder):
     return _son_stats(son(baskets(spark, folder, BRAND), LOW, CHUNKS, "exact", measures=True))
 
 
+@query
+def apriori_dense(spark, folder):
+    return _plain(apriori(attribute_baskets(spark, folder), DENSE).itemsets)
+
+
+@query
+def qa_apriori_dense(spark, folder):
+    return _measured(apriori(attribute_baskets(spark, folder), DENSE, "floor", measures=True).itemsets)
+
+
+@query
+def fpgrowth_dense(spark, folder):
+    return _plain(fpgrowth(attribute_baskets(spark, folder), DENSE))
+
+
+@query
+def son_dense(spark, folder):
+    return _plain(son(attribute_baskets(spark, folder), DENSE, CHUNKS, "floor").itemsets)
+
+
+@query
+def qa_son_dense(spark, folder):
+    return _measured(son(attribute_baskets(spark, folder), DENSE, CHUNKS, "exact", measures=True).itemsets)
+
+
+@query
+def level_stats_dense(spark, folder):
+    return apriori(attribute_baskets(spark, folder), DENSE).level_stats.select("level", "candidates", "frequent")
+
+
+@query
+def apriori_sparse(spark, folder):
+    return _plain(apriori(order_parts(spark, folder), SPARSE).itemsets)
+
+
+@query
+def fpgrowth_sparse(spark, folder):
+    return _plain(fpgrowth(order_parts(spark, folder), SPARSE))
+
+
+@query
+def apriori_messy(spark, folder):
+    return _plain(apriori(messy_items(spark, folder), LOW).itemsets)
+
+
+@query
+def qa_apriori_messy(spark, folder):
+    return _measured(apriori(messy_items(spark, folder), LOW, "floor", measures=True).itemsets)
+
+
+@query
+def son_messy(spark, folder):
+    return _plain(son(messy_items(spark, folder), LOW, CHUNKS, "floor").itemsets)
+
+
+@query
+def son_local_messy(spark, folder):
+    return _plain(son(messy_items(spark, folder), LOW, CHUNKS, "floor").local, "chunk")
+
+
+@query
+def fpgrowth_messy(spark, folder):
+    return _plain(fpgrowth(messy_items(spark, folder), LOW))
+
+
 @query
 def itemset_summary_(spark, folder):
     return itemset_summary(apriori(baskets(spark, folder, TYPE), LOW).itemsets)
@@ -355,10 +480,39 @@ def support_labels(spark, folder):
 
 @query
 def son_summary(spark, folder):
-    items = baskets(spark, folder, BRAND).persist()
-    summary = sweep.son_summary(items, sweep.son_runs(items, CHUNKS, SUPPORTS, "exact", measures=False))
-    items.unpersist()
-    return summary.select("support", "global_candidates", "total_itemsets")
+    return sweep.son_sweep(baskets(spark, folder, BRAND), CHUNKS, SUPPORTS).summary.withColumnRenamed("min_support", "support")
+
+
+@query
+def son_sweep(spark, folder):
+    swept = sweep.son_sweep(baskets(spark, folder, TYPE), CHUNKS, SUPPORTS, measures=True)
+    return _measured(swept.itemsets, "min_support")
+
+
+@query
+def son_sweep_candidates(spark, folder):
+    found = sweep.son_sweep(baskets(spark, folder, TYPE), CHUNKS, SUPPORTS).candidates
+    return found.select("min_support", itemset_key(F.col("items")).alias("itemset"), "length")
+
+
+@query
+def qa_sweep(spark, folder):
+    swept = sweep.support_sweep(baskets(spark, folder, TYPE), SUPPORTS, measures=True)
+    return _measured(swept.itemsets, "min_support")
+
+
+@query
+def qa_sweep_patterns(spark, folder):
+    swept = sweep.support_sweep(baskets(spark, folder, TYPE), SUPPORTS, measures=True)
+    dictionary = prep.item_dictionary(prep.clean_lines(retail_lines(spark, folder, TYPE)))
+    patterns = reports.pattern_table(swept.itemsets, dictionary, "min_support")
+    return patterns.withColumn("Avg_Log_Qty", F.round("Avg_Log_Qty", 6))
+
+
+@query
+def top_per_threshold(spark, folder):
+    swept = sweep.support_sweep(baskets(spark, folder, TYPE), SUPPORTS, measures=True)
+    return reports.top_per_threshold(swept.itemsets).withColumn("Avg_Log_Qty", F.round("Avg_Log_Qty", 6))
 
 
 @query
@@ -393,10 +547,26 @@ def pattern_table(spark, folder):
 
 @query
 def top_itemsets(spark, folder):
-    top = reports.top_itemsets(reports.pattern_table(*_patterns(spark, folder, BRAND)))
+    top = reports.top_named_itemsets(*_patterns(spark, folder, BRAND))
     return top.withColumn("Avg_Log_Qty", F.round("Avg_Log_Qty", 6))
 
 
+@query
+def son_top_itemsets(spark, folder):
+    found = son(baskets(spark, folder, BRAND), LOW, CHUNKS, "exact", measures=True).itemsets
+    dictionary = prep.item_dictionary(prep.clean_lines(retail_lines(spark, folder, BRAND)))
+    return reports.top_named_itemsets(found, dictionary).withColumn("Avg_Log_Qty", F.round("Avg_Log_Qty", 6))
+
+
+@query
+def itemset_names_unknown(spark, folder):
+    """Sold items include some that no valid line describes."""
+    lines = sized_lines(spark, folder)
+    sold = prep.basket_items(prep.keep_positive_quantity(prep.drop_cancelled(lines)), "basket_id")
+    named = reports.itemset_names(apriori(sold, SIZED).itemsets, prep.item_dictionary(prep.clean_lines(lines)))
+    return named.select(itemset_key(F.col("items")).alias("itemset"), "name", "support")
+
+
 @query
 def top_volume_labels(spark, folder):
     top = reports.top_volume_labels(reports.pattern_table(*_patterns(spark, folder, TYPE)))
@@ -415,6 +585,16 @@ def max_qty_density(spark, folder):
     return found.withColumns({c: F.round(c, 6) for c in ("max_qty", "density")})
 
 
+@query
+def max_qty_density_binned(spark, folder):
+    """The binned density against the exact one: off by no more than it says."""
+    patterns = reports.pattern_table(*_patterns(spark, folder, TYPE))
+    exact = reports.max_qty_density(patterns).select("point", F.col("density").alias("exact"))
+    binned = reports.max_qty_density_binned(patterns).join(exact, "point")
+    within = F.abs(F.col("density") - F.col("exact")) <= F.col("error_bound") + 1e-12
+    return binned.select("point", F.round("max_qty", 6).alias("max_qty"), F.round("exact", 6).alias("density"), within.alias("within_bound"))
+
+
 # Run metrics
 
 

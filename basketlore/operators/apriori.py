@@ -13,9 +13,9 @@ from pyspark.storagelevel import StorageLevel
 
 from basketlore.operators.levels import (
     Level,
-    LevelRun,
+    Mining,
     measure_columns,
-    mine_levels,
+    mining,
     with_chunk,
 )
 from basketlore.operators.prep import unique_lines
@@ -43,34 +43,51 @@ def stack(parts: list[DataFrame]) -> DataFrame:
 
 @dataclass
 class AprioriResult:
-    """``itemsets(items, length, support[, total_log_qty, max_qty])`` and level statistics."""
+    """``itemsets(items, length, support[, total_log_qty, max_qty])`` and level statistics.
+
+    The frames read tables of the run's folder; ``close`` deletes them.
+    """
 
     itemsets: DataFrame
     level_stats: DataFrame
     total_seconds: float
     total_itemsets: int
     levels: list[Level]
-    run: LevelRun
+    run: Mining
 
     def __iter__(self):
         return iter((self.itemsets, self.level_stats))
 
+    def close(self) -> None:
+        self.run.work.clear()
+
 
 def apriori(
-    items: DataFrame, min_support: float, support_mode: str = "floor", measures: bool = False
+    items: DataFrame,
+    min_support: float,
+    support_mode: str = "floor",
+    measures: bool = False,
+    max_length: int | None = None,
+    keep_candidates: bool = False,
 ) -> AprioriResult:
     """Itemsets found in at least ``min_support`` of the baskets.
 
     ``items`` is long form, ``(basket_id, item, qty)``; rows that repeat basket and
-    item are summed, and lines without a basket are one basket. With ``measures`` every itemset also gets the sum of ``log1p`` of its
-    joint quantity, the smallest quantity of its items in a basket, and the
-    largest such quantity. Frequency never depends on quantities.
+    item are summed, and lines without a basket are one basket. With ``measures``
+    every itemset also gets the sum of ``log1p`` of its joint quantity, the smallest
+    quantity of its items in a basket, and the largest such quantity. Frequency never
+    depends on quantities. With ``max_length`` no deeper level is mined. Tables that no
+    result reads are deleted, all of them if the run fails; ``keep_candidates`` leaves
+    those of the candidates, in ``levels``.
     """
     started = time.monotonic()
     work = Workspace(items.sparkSession, "apriori")
     with held(unique_lines(items)) as source:
-        run = mine_levels(work, with_chunk(source, F.lit(0)), min_support, support_mode, measures)
-        run.baskets.unpersist()
+        chunked = with_chunk(source, F.lit(0))
+        with mining(work, chunked, min_support, support_mode, measures, keep_candidates=keep_candidates) as run:
+            for level in run:
+                if level.length == max_length:
+                    break
     columns = ["support", *measure_columns(measures)]
     itemsets = stack(
         [level.frequent.df.select("items", F.lit(level.length).alias("length"), *columns) for level in run.levels]

@@ -13,14 +13,15 @@ A level table holds the frequent itemsets of one length:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlore.workspace import Table, broadcast_within
+from basketlore.workspace import Table, broadcast_within, for_join
 
 # Itemsets with one prefix that are paired up under one key; larger classes are salted.
 CLASS_SIZE = 4096
 
+
 def _salted(level: Table) -> DataFrame:
     """``level`` with the number of salts of each itemset's prefix class."""
     if level.rows <= CLASS_SIZE:
@@ -31,13 +32,16 @@ def _salted(level: Table) -> DataFrame:
     return level.df.join(sizes, ["chunk", "pid"])
 
 
-def candidates(level: Table, length: int) -> DataFrame:
-    """Itemsets of ``length`` items whose every subset one shorter is in ``level``.
+def _signature(codes) -> Column:
+    """128 bits of an itemset."""
+    return F.unhex(F.md5(F.array_join(F.transform(codes, lambda c: c.cast("string")), ",")))
 
-    Two itemsets meet when they share all but their last item. A prefix that
-    very many itemsets share is salted, so its pairs are spread over tasks.
-    ``min_support`` is the smallest support among the subsets: the candidate
-    also stands at any higher minimum count up to it.
+
+def joined_pairs(level: Table) -> DataFrame:
+    """Unions of two itemsets of ``level`` that share all but their last item.
+
+    A prefix that very many itemsets share is salted, so its pairs are spread
+    over tasks.
     """
     salted = _salted(level)
     left = salted.select(
@@ -61,7 +65,7 @@ def candidates(level: Table, length: int) -> DataFrame:
     if level.rows <= CLASS_SIZE:
         right = broadcast_within(level.view(right))
     found = left.join(right, ["chunk", "pid", "salt"]).where("left_code < code")
-    found = found.select(
+    return found.select(
         "chunk",
         F.col("left_id").alias("id"),
         "code",
@@ -70,12 +74,28 @@ def candidates(level: Table, length: int) -> DataFrame:
         F.array_sort(F.concat("left_items", F.array("item"))).alias("items"),
         F.least("left_support", "support").alias("min_support"),
     )
-    # The two subsets that dropped one of the last two items are the joined pair.
-    others = broadcast_within(level.view(level.df.select("chunk", "codes", "support")))
-    for n in range(length - 2):
-        rest = f"concat(slice(codes, 1, {n}), slice(codes, {n + 2}, {length - n - 1}))"
-        subset = others.toDF(f"chunk{n}", f"subset{n}", f"support{n}")
-        found = found.join(subset, F.expr(f"chunk = chunk{n} AND {rest} = subset{n}"))
-    supports = ", ".join(["min_support", *(f"support{n}" for n in range(length - 2))])
-    least = f"least({supports}) AS min_support" if length > 2 else "min_support"
-    return found.selectExpr("chunk", "id", "code", "item", "codes", "items", least)
+
+
+def candidates(level: Table, length: int) -> DataFrame:
+    """Itemsets of ``length`` items whose every subset one shorter is in ``level``.
+
+    The two subsets that drop one of the last two items are the joined pair. The
+    others are exploded together, looked up by signature, compared in full and
+    counted: the same few exchanges whatever the length.
+    ``min_support`` is the smallest support among the subsets: the candidate
+    also stands at any higher minimum count up to it.
+    """
+    found = joined_pairs(level)
+    others = length - 2
+    if others == 0:
+        return found
+    dropped = F.explode(F.sequence(F.lit(1), F.lit(others))).alias("dropped")
+    subset = F.expr("concat(slice(codes, 1, dropped - 1), slice(codes, dropped + 1, size(codes)))")
+    subsets = found.select("*", dropped).withColumn("subset", subset).withColumn("signature", _signature("subset"))
+    known = level.df.select(
+        "chunk", _signature("codes").alias("signature"), F.col("codes").alias("known"), F.col("support").alias("subset_support")
+    )
+    held = subsets.join(for_join(level.view(known)), ["chunk", "signature"]).where("subset = known")
+    keys = ["chunk", "id", "code", "item", "codes", "items", "min_support"]
+    counted = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("subsets"), F.min("subset_support").alias("least"))
+    return counted.where(F.col("subsets") == others).withColumn("min_support", F.least("min_support", "least")).select(*keys)

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from basketlore.functions.support import min_count
 from basketlore.operators.apriori import held
-from basketlore.operators.levels import basket_count
-from basketlore.operators.prep import unique_lines
+from basketlore.operators.prep import basket_count, unique_lines
 from basketlore.workspace import Workspace, broadcast_within
 
 

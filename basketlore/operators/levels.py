@@ -10,31 +10,39 @@ the tail of items that may still extend it:
     tail, pos    an item array, of structs of code (and qty); the itemset may be
                  extended by the items behind position pos
 
-Counting a level explodes the tails, drops what is no candidate and feeds a
-partial aggregate, all in one stage: the shuffle carries at most one row per
-task and candidate, whatever the number of baskets. The next projection is a
-narrow step too. Baskets are therefore shuffled once per run, not once per
-level, and projections are streamed from them; only every few levels, when they
-have shrunk, is one written.
+The baskets are dealt once, by chunk first and basket second: a task holds baskets
+of one chunk, and merges identical ones without another shuffle. Counting a level
+explodes what lies behind the position, drops what is no candidate and feeds a
+partial aggregate, all in one stage: the shuffle carries at most one row per task
+and candidate of the task's chunk, whatever the number of baskets. The next
+projection is a narrow step too. Projections are streamed from the baskets; only
+every few levels, when they have shrunk, is one written.
+
+Candidates beyond one broadcast are joined to the counted extensions instead of the
+exploded ones: extensions are counted in the tasks first, so that no key of that
+join is hot, however many baskets hold it.
 """
 
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from basketlore.functions.support import min_count
 from basketlore.operators.candidates import candidates
+from basketlore.operators.prep import basket_count
 from basketlore.workspace import (
     Table,
     Workspace,
     broadcast_within,
-    bucket_count,
-    join_in_buckets,
+    fits_broadcast,
+    for_join,
+    join_hot_apart,
 )
 
 ROOT_ID = -1
@@ -77,22 +85,6 @@ class Limits:
         return F.col("support") >= F.get(F.lit(self.min_counts), F.col("chunk"))
 
 
-@dataclass
-class LevelRun:
-    """All levels of a run, with what the caller needs to go on."""
-
-    limits: Limits
-    item_counts: Table
-    dictionary: Table
-    baskets: DataFrame
-    levels: list[Level] = field(default_factory=list)
-
-
-def basket_count(key: str = "basket_id") -> Column:
-    """Number of baskets; the lines without a key are one basket."""
-    return F.count_distinct(key) + F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))
-
-
 def chunk_limits(items: DataFrame, ratio: float, mode: str, chunks: int) -> Limits:
     """One row per chunk comes to the driver; the caller chose their number."""
     sizes = items.groupBy("chunk").agg(basket_count().alias("baskets"))
@@ -132,7 +124,7 @@ def _level_columns(measures: bool) -> list:
 def first_level(
     work: Workspace, frequent: DataFrame, chunks: int, measures: bool
 ) -> tuple[Table, Table]:
-    """Number the items that are frequent in some chunk; return the numbering and level 1.
+    """Number the items that are frequent in some chunk; return the numbering, with supports, and level 1.
 
     Rarest first, which keeps the classes of itemsets with a common prefix
     small. The numbers follow the sort order and are fixed by writing them.
@@ -141,33 +133,38 @@ def first_level(
     if chunks == 1:
         coded = frequent.orderBy("support", "item").withColumn("code", number)
         level = work.write(coded.select(*_level_columns(measures)), "level1")
-        return level.view(level.df.select("code", "item")), level
+        return level.view(level.df.select("code", "item", "support")), level
     total = frequent.groupBy("item").agg(F.sum("support").alias("support"))
-    coded = total.orderBy("support", "item").select(number.alias("code"), "item")
+    coded = total.orderBy("support", "item").select(number.alias("code"), "item", "support")
     dictionary = work.write(coded, "dictionary")
-    words = broadcast_within(dictionary)
+    words = broadcast_within(dictionary.view(dictionary.df.drop("support")))
     level = frequent.join(words, "item").select(*_level_columns(measures))
     return dictionary, work.write(level, "level1")
 
 
-def encode_baskets(items: DataFrame, dictionary: Table, measures: bool) -> DataFrame:
+def encode_baskets(items: DataFrame, dictionary: Table, measures: bool, chunks: int) -> DataFrame:
     """One row per basket, ``(chunk, weight, basket)``, with its frequent items only.
 
     An array holds at most the dictionary, which has no more than
-    (mean basket size / minimum support) items. Without quantities, identical
-    baskets are merged and weighted, whatever share of the input they are.
+    (mean basket size / minimum support) items. The items are dealt to tasks of
+    one chunk each, so many tasks a chunk as the session's shuffle width allows.
+    Without quantities, identical baskets of a task are merged and weighted
+    there: both groupings keep the column the rows were dealt by.
     """
-    words = broadcast_within(dictionary)
-    coded = items.join(words, "item")
+    width = -(-int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) // chunks)
+    slot = F.col("chunk") * width + F.pmod(F.xxhash64("basket_id"), F.lit(width)).cast("int")
+    coded = join_hot_apart(items, dictionary, ["item"], "support").withColumn("slot", slot)
     element = F.struct("code", "qty") if measures else F.struct("code")
     arrays = (
-        coded.groupBy("chunk", "basket_id")
+        coded.repartitionById(chunks * width, F.col("slot"))
+        .groupBy("slot", "chunk", "basket_id")
         .agg(F.sort_array(F.collect_list(element)).alias("basket"))
         .where(F.size("basket") > 1)
     )
     if measures:
         return arrays.select("chunk", F.lit(1).cast("bigint").alias("weight"), "basket")
-    return arrays.groupBy("chunk", "basket").agg(F.count(F.lit(1)).alias("weight"))
+    merged = arrays.groupBy("slot", "chunk", "basket").agg(F.count(F.lit(1)).alias("weight"))
+    return merged.select("chunk", "weight", "basket")
 
 
 def split_wide(baskets: DataFrame, item_count: int) -> DataFrame:
@@ -194,7 +191,7 @@ def split_wide(baskets: DataFrame, item_count: int) -> DataFrame:
 def project_items(baskets: DataFrame, wanted: Table | None, measures: bool) -> DataFrame:
     """Projection of every item of every basket, from ``split_wide`` rows.
 
-    With candidates at hand only their first items start an itemset.
+    With candidates that fit a broadcast only their first items start an itemset.
     """
     volume = ["head.qty AS volume"] if measures else []
     projection = (
@@ -202,32 +199,36 @@ def project_items(baskets: DataFrame, wanted: Table | None, measures: bool) -> D
         .where("pos + 1 < size(basket) AND pos % parts = part")
         .selectExpr("chunk", "head.code AS id", "weight", *volume, "basket AS tail", "pos")
     )
-    if wanted is not None:
-        first = wanted.view(wanted.df.select("chunk", F.get("codes", F.lit(0)).alias("id")))
-        projection = join_in_buckets(projection, first, ["chunk", "id"], ["chunk", "id"], "left_semi")
+    if wanted is not None and fits_broadcast(wanted):
+        first = wanted.df.select("chunk", F.get("codes", F.lit(0)).alias("id"))
+        projection = projection.join(F.broadcast(first), ["chunk", "id"], "left_semi")
     return projection
 
 
+def _rest() -> Column:
+    """What may still extend a projected itemset."""
+    return F.expr("slice(tail, pos + 2, size(tail))")
+
+
 def project_next(projection: DataFrame, level: Table, measures: bool) -> DataFrame:
     """Lengthen every projected itemset by one item, to those of ``level``."""
     steps = level.df.select("chunk", F.col("id").alias("next_id"), F.col("pid").alias("id"), "code")
     volume = ["volume"] if measures else []
     heads = projection.select(
-        "chunk", "id", "weight", *volume, "tail", "pos", F.posexplode("tail").alias("at", "head")
-    ).where("at > pos AND at + 1 < size(tail)")
+        "chunk", "id", "weight", *volume, "tail", "pos", F.posexplode(_rest()).alias("behind", "head")
+    ).where("pos + behind + 2 < size(tail)")
     volume = ["least(volume, head.qty) AS volume"] if measures else []
     coded = heads.withColumn("code", F.col("head.code"))
-    return (
-        join_in_buckets(coded, level.view(steps), ["chunk", "id"], ["chunk", "id", "code"], "inner")
-        .selectExpr("chunk", "next_id AS id", "weight", *volume, "tail", "at AS pos")
+    return coded.join(for_join(level.view(steps)), ["chunk", "id", "code"]).selectExpr(
+        "chunk", "next_id AS id", "weight", *volume, "tail", "pos + behind + 1 AS pos"
     )
 
 
 def count_extensions(projection: DataFrame, wanted: Table | None, measures: bool) -> DataFrame:
-    """Support, and quantities if asked, of every itemset one longer.
+    """Support, and quantities if asked, of itemsets one longer.
 
-    Only the candidates ``wanted`` are counted, however many they are; without
-    them every extension is one.
+    Candidates ``wanted`` that fit a broadcast are picked before anything is
+    counted. Others are left to the join that names them.
     """
     found = [F.sum("weight").alias("support")]
     volume = []
@@ -238,15 +239,18 @@ def count_extensions(projection: DataFrame, wanted: Table | None, measures: bool
             F.sum(F.log1p(joint)).alias("total_log_qty"),
             F.max(joint).alias("max_qty"),
         ]
-    longer = (
-        projection.select("chunk", "id", "weight", *volume, "pos", F.posexplode("tail").alias("at", "next"))
-        .where("at > pos")
-        .select("chunk", "id", "weight", *volume, "next.*")
-    )
-    if wanted is not None:
-        keys = ["chunk", "id", "code"]
-        longer = join_in_buckets(longer, wanted.view(wanted.df.select(*keys)), ["chunk", "id"], keys, "left_semi")
-    return longer.groupBy("chunk", "id", "code").agg(*found)
+    keys = ["chunk", "id", "code"]
+    longer = projection.select("chunk", "id", "weight", *volume, F.explode(_rest()).alias("next"))
+    longer = longer.select("chunk", "id", "weight", *volume, "next.*")
+    if wanted is not None and fits_broadcast(wanted):
+        longer = longer.join(F.broadcast(wanted.df.select(*keys)), keys, "left_semi")
+    return longer.groupBy(*keys).agg(*found)
+
+
+def named_counts(counts: DataFrame, wanted: Table, *names: str) -> DataFrame:
+    """The counts of the candidates ``wanted``, and of no other extension, with columns of theirs."""
+    keys = ["chunk", "id", "code"]
+    return counts.join(for_join(wanted.view(wanted.df.select(*keys, *names))), keys)
 
 
 class Projections:
@@ -260,27 +264,17 @@ class Projections:
     def counting(self, length: int, levels: list[Table], wanted: Table | None) -> DataFrame:
         """Itemsets one shorter than ``length`` with their tails; ``levels`` are the shorter ones."""
         if self.written is None:
-            projection = self._cut(project_items(self.baskets, wanted, self.measures), wanted, f"{length}-1")
+            projection = project_items(self.baskets, wanted, self.measures)
         else:
             projection = self.written
-        for depth, level in enumerate(levels[self.depth : length - 1], start=self.depth + 1):
-            projection = self._cut(project_next(projection, level, self.measures), level, f"{length}-{depth}")
+        for level in levels[self.depth : length - 1]:
+            projection = project_next(projection, level, self.measures)
         if length > CUT_EVERY and length % CUT_EVERY == 1:
-            tail = F.expr("slice(tail, pos + 2, size(tail))")
-            rest = projection.withColumns({"tail": tail, "pos": F.lit(-1)})
+            rest = projection.withColumns({"tail": _rest(), "pos": F.lit(-1)})
             projection = self.work.write(rest, f"{self.name}{length}").df
             self.written, self.depth = projection, length - 1
         return projection
 
-    def _cut(self, projection: DataFrame, joined: Table | None, name: str) -> DataFrame:
-        """Write what was joined in several buckets: each bucket of a later join reads it again."""
-        if joined is None or bucket_count(joined) == 1:
-            return projection
-        return self.work.write(projection, f"{self.name}{name}").df
-
-    def close(self) -> None:
-        self.work.remove(self.name)
-
 
 def _pair_level(counts: DataFrame, level: Table, measures: bool) -> DataFrame:
     """Level 2 from counts of pairs: the texts come from level 1, joined twice."""
@@ -302,15 +296,6 @@ def _pair_level(counts: DataFrame, level: Table, measures: bool) -> DataFrame:
     )
 
 
-def _longer_level(counts: DataFrame, wanted: Table, measures: bool) -> DataFrame:
-    """A level from its counts and candidates."""
-    names = wanted.df.select("chunk", "id", "code", "item", "codes", "items")
-    names = broadcast_within(wanted.view(names))
-    return counts.join(names, ["chunk", "id", "code"]).select(
-        "chunk", "id", "code", "item", "codes", "items", "support", *measure_columns(measures)
-    )
-
-
 def _numbered(found: DataFrame) -> DataFrame:
     """The parent becomes ``pid``; every itemset gets an ``id``, fixed by writing it."""
     return found.withColumnRenamed("id", "pid").withColumn("id", F.monotonically_increasing_id())
@@ -324,48 +309,84 @@ def _pair_count(level: Table, chunks: int) -> int:
     return sizes.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()["pairs"] or 0
 
 
-def mine_levels(
-    work: Workspace, items: DataFrame, ratio: float, mode: str, measures: bool, chunks: int = 1
-) -> LevelRun:
-    """Frequent itemsets of every chunk of ``items(chunk, basket_id, item, qty)``.
+class Mining:
+    """A run over ``items(chunk, basket_id, item, qty)``, one level after another.
 
+    Iterating yields the level of single items, which is there at once, and mines each
+    further one when it is asked for: a caller who stops pays for no deeper level.
     A level is run, and reported, while it has candidates.
     """
-    started = time.monotonic()
-    limits = chunk_limits(items, ratio, mode, chunks)
-    item_counts = count_items(work, items, measures)
-    frequent = item_counts.df.where(limits.reached())
-    dictionary, level = first_level(work, frequent, chunks, measures)
-    baskets = encode_baskets(items, dictionary, measures).persist(StorageLevel.MEMORY_AND_DISK)
-    run = LevelRun(limits, item_counts, dictionary, baskets)
-    run.levels.append(Level(1, item_counts.rows, level, time.monotonic() - started))
-
-    projections = Projections(work, split_wide(baskets, dictionary.rows), "projection", measures)
-    length = 2
-    while level.rows > 1:
+
+    def __init__(self, work: Workspace, items: DataFrame, ratio: float, mode: str, measures: bool, chunks: int = 1):
+        self.work, self.measures, self.chunks = work, measures, chunks
+        self.items = items
         started = time.monotonic()
-        wanted = None
-        if length == 2:
-            # Every pair of frequent items is a candidate: no need to list them.
-            candidate_count = _pair_count(level, chunks)
-        else:
-            wanted = work.write(candidates(level, length), f"candidates{length}")
-            candidate_count = wanted.rows
-        if candidate_count == 0:
-            break
-        projection = projections.counting(length, [v.frequent for v in run.levels], wanted)
-        counts = count_extensions(projection, wanted, measures).where(limits.reached())
-        if wanted is None:
-            found = _pair_level(counts, level, measures)
-        else:
-            found = _longer_level(counts, wanted, measures)
-        level = work.write(_numbered(found), f"level{length}")
-        run.levels.append(
-            Level(length, candidate_count, level, time.monotonic() - started, wanted)
-        )
-        length += 1
-    projections.close()
-    return run
+        self.limits = chunk_limits(items, ratio, mode, chunks)
+        self.item_counts = count_items(work, items, measures)
+        frequent = self.item_counts.df.where(self.limits.reached())
+        self.dictionary, level = first_level(work, frequent, chunks, measures)
+        self.levels = [Level(1, self.item_counts.rows, level, time.monotonic() - started)]
+        self._baskets: DataFrame | None = None
+
+    @property
+    def baskets(self) -> DataFrame:
+        """The encoded baskets, written when they are first needed; after that ``items`` is not read again."""
+        if self._baskets is None:
+            encoded = encode_baskets(self.items, self.dictionary, self.measures, self.chunks)
+            self._baskets = self.work.write(encoded, "baskets").df
+        return self._baskets
+
+    def __iter__(self) -> Iterator[Level]:
+        yield self.levels[0]
+        projections = None
+        while self.levels[-1].frequent.rows > 1:
+            started, length = time.monotonic(), len(self.levels) + 1
+            before = self.levels[-1].frequent
+            wanted = None
+            if length == 2:
+                # Every pair of frequent items is a candidate: no need to list them.
+                candidate_count = _pair_count(before, self.chunks)
+            else:
+                wanted = self.work.write(candidates(before, length), f"candidates{length}")
+                candidate_count = wanted.rows
+            if candidate_count == 0:
+                return
+            if projections is None:
+                wide = split_wide(self.baskets, self.dictionary.rows)
+                projections = Projections(self.work, wide, "projection", self.measures)
+            projection = projections.counting(length, [v.frequent for v in self.levels], wanted)
+            counts = count_extensions(projection, wanted, self.measures).where(self.limits.reached())
+            if wanted is None:
+                found = _pair_level(counts, before, self.measures)
+            else:
+                found = named_counts(counts, wanted, "item", "codes", "items").select(
+                    "chunk", "id", "code", "item", "codes", "items", "support", *measure_columns(self.measures)
+                )
+            level = self.work.write(_numbered(found), f"level{length}")
+            self.levels.append(Level(length, candidate_count, level, time.monotonic() - started, wanted))
+            yield self.levels[-1]
+
+
+@contextmanager
+def mining(
+    work: Workspace,
+    items: DataFrame,
+    ratio: float,
+    mode: str,
+    measures: bool,
+    chunks: int = 1,
+    keep_candidates: bool = False,
+) -> Iterator[Mining]:
+    """A run whose tables go when the block ends: all but the levels, and all if it fails."""
+    try:
+        run = Mining(work, items, ratio, mode, measures, chunks)
+        yield run
+    except BaseException:
+        work.clear()
+        raise
+    gone = ["baskets", "projection", "dictionary", "item_counts"]
+    for name in gone if keep_candidates else [*gone, "candidates"]:
+        work.remove(name)
 
 
 def with_chunk(items: DataFrame, chunk: Column) -> DataFrame:

@@ -21,6 +21,11 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(MISSING_TEXT))
 
 
+def basket_count(key: str = "basket_id") -> Column:
+    """Number of baskets, everywhere in the package; the lines without a key are one basket."""
+    return F.count_distinct(key) + F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))
+
+
 def is_cancelled() -> Column:
     """Invoice numbers starting with C or c; a missing number is not cancelled."""
     number = F.col("InvoiceNo").cast("string")
@@ -98,13 +103,14 @@ def _marked_unique(df: DataFrame) -> DataFrame:
 
 
 def unique_lines(items: DataFrame) -> DataFrame:
-    """Long-form baskets with one row per basket and item, quantities summed.
+    """Long-form baskets with one row per basket and item, quantities summed; without quantities they are 1.
 
     Frames straight from ``basket_items`` and ``explode_baskets`` are so already.
     """
     if items.__dict__.get("_one_row_per_item"):
         return items
-    return _marked_unique(items.groupBy("basket_id", "item").agg(F.sum(F.col("qty").cast("double")).alias("qty")))
+    qty = F.sum(F.col("qty").cast("double")) if "qty" in items.columns else F.lit(1.0)
+    return _marked_unique(items.groupBy("basket_id", "item").agg(qty.alias("qty")))
 
 
 def explode_baskets(df: DataFrame, items_col: str = "items", basket_col: str | None = None) -> DataFrame:
@@ -165,6 +171,6 @@ def prep_counts(lines: DataFrame, items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("raw_records"),
         F.count_if(is_valid_line()).alias("valid_records"),
     )
-    baskets = items.agg(F.count_distinct("basket_id").alias("baskets"))
+    baskets = items.agg(basket_count().alias("baskets"))
     names = ("raw_records", "valid_records", "baskets")
     return raw.unionByName(baskets, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in names))

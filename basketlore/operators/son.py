@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from basketlore.functions.support import min_count
 from basketlore.operators.apriori import held, stack
 from basketlore.operators.levels import (
-    LevelRun,
+    Level,
+    Mining,
     Projections,
     count_extensions,
     measure_columns,
-    mine_levels,
+    mining,
+    named_counts,
     split_wide,
     with_chunk,
 )
 from basketlore.operators.prep import basket_chunk, unique_lines
-from basketlore.workspace import Table, Workspace, broadcast_within
+from basketlore.workspace import Table, Workspace, for_join
 
 STATS_SCHEMA = (
     "num_partitions int, phase1_time double, candidates_generated bigint, "
@@ -30,7 +32,10 @@ STATS_SCHEMA = (
 
 @dataclass
 class SonResult:
-    """Final itemsets, phase-1 candidates, statistics, and the per-chunk itemsets."""
+    """Final itemsets, phase-1 candidates, statistics, and the per-chunk itemsets.
+
+    The frames read tables of the run's folder; ``close`` deletes them.
+    """
 
     itemsets: DataFrame
     candidates: DataFrame
@@ -41,25 +46,29 @@ class SonResult:
     phase1_seconds: float
     phase2_seconds: float
     total_seconds: float
+    run: Mining
 
     def __iter__(self):
         return iter((self.itemsets, self.candidates, self.stats))
 
+    def close(self) -> None:
+        self.run.work.clear()
+
 
-def distinct_candidates(work: Workspace, run: LevelRun) -> list[Table]:
+def distinct_candidates(work: Workspace, levels: list[Level]) -> list[Table]:
     """Level tables of the itemsets that are frequent in some chunk, in chunk 0.
 
     They are closed under subsets, so every candidate finds its prefix one
     table earlier.
     """
     tables: list[Table] = []
-    for level in run.levels:
+    for level in levels:
         found = level.frequent.df.groupBy("codes").agg(
             F.first("items").alias("items"), F.first("code").alias("code")
         )
         if tables:
             parents = tables[-1].df.select(F.col("codes").alias("prefix"), F.col("id").alias("pid"))
-            parents = broadcast_within(tables[-1].view(parents))
+            parents = for_join(tables[-1].view(parents))
             found = found.withColumn("prefix", F.slice("codes", 1, level.length - 1)).join(parents, "prefix")
             number = F.monotonically_increasing_id()
         else:
@@ -70,13 +79,14 @@ def distinct_candidates(work: Workspace, run: LevelRun) -> list[Table]:
         )
         table = work.write(found, f"union{level.length}")
         if table.rows == 0:
+            work.remove(f"union{level.length}")
             break
         tables.append(table)
     return tables
 
 
 def _count_candidates(
-    run: LevelRun, tables: list[Table], projections: Projections, measures: bool
+    run: Mining, tables: list[Table], projections: Projections, measures: bool
 ) -> list[DataFrame]:
     """Support of every candidate over all baskets, one frame per length."""
     columns = measure_columns(measures)
@@ -85,19 +95,16 @@ def _count_candidates(
         totals += [F.sum("total_log_qty").alias("total_log_qty"), F.max("max_qty").alias("max_qty")]
     singles = run.item_counts.df.groupBy("item").agg(*totals)
     counted = [
-        run.dictionary.df.join(singles, "item").select(
+        run.dictionary.df.select("item").join(singles, "item").select(
             F.array("item").alias("items"), F.lit(1).alias("length"), "support", *columns
         )
     ]
     for length, table in enumerate(tables[1:], start=2):
-        wanted = table.view(table.df.select("chunk", F.col("pid").alias("id"), "code", "codes"))
+        wanted = table.view(table.df.withColumnsRenamed({"id": "own", "pid": "id"}))
         projection = projections.counting(length, tables, wanted)
-        names = table.df.select("chunk", F.col("pid").alias("id"), "code", "items")
-        names = broadcast_within(table.view(names))
+        counts = count_extensions(projection, wanted, measures)
         counted.append(
-            count_extensions(projection, wanted, measures)
-            .join(names, ["chunk", "id", "code"])
-            .select("items", F.lit(length).alias("length"), "support", *columns)
+            named_counts(counts, wanted, "items").select("items", F.lit(length).alias("length"), "support", *columns)
         )
     return counted
 
@@ -113,7 +120,8 @@ def son(
 
     A basket's chunk is a fixed function of its key. An itemset frequent over
     all baskets is frequent in at least one chunk under the same rounding, so
-    the result equals Apriori's whatever the number of chunks.
+    the result equals Apriori's whatever the number of chunks. Tables that no result
+    reads are deleted, all of them if the run fails.
     """
     spark = items.sparkSession
     started = time.monotonic()
@@ -121,24 +129,23 @@ def son(
     chunk = basket_chunk(num_chunks, "basket_id", dict(items.dtypes)["basket_id"])
     with held(unique_lines(items)) as source:
         chunked = with_chunk(source, chunk)
-        run = mine_levels(work, chunked, min_support, support_mode, measures, num_chunks)
-    tables = distinct_candidates(work, run)
-    phase1 = time.monotonic() - started
-
-    phase2_started = time.monotonic()
-    least = min_count(F.lit(run.limits.total), min_support, support_mode)
-    baskets = split_wide(run.baskets.withColumn("chunk", F.lit(0)), run.dictionary.rows)
-    projections = Projections(work, baskets, "counting", measures)
-    counted = stack(_count_candidates(run, tables, projections, measures))
-    final = work.write(counted.where(F.col("support") >= least), "itemsets")
-    run.baskets.unpersist()
-    projections.close()
-    phase2 = time.monotonic() - phase2_started
+        with mining(work, chunked, min_support, support_mode, measures, num_chunks) as run:
+            levels = list(run)
+            tables = distinct_candidates(work, levels)
+            phase1 = time.monotonic() - started
+
+            phase2_started = time.monotonic()
+            least = min_count(F.lit(run.limits.total), min_support, support_mode)
+            baskets = split_wide(run.baskets.withColumn("chunk", F.lit(0)), run.dictionary.rows)
+            projections = Projections(work, baskets, "projection-all", measures)
+            counted = stack(_count_candidates(run, tables, projections, measures))
+            final = work.write(counted.where(F.col("support") >= least), "itemsets")
+            phase2 = time.monotonic() - phase2_started
 
     local = stack(
         [
             level.frequent.df.select("chunk", "items", F.lit(level.length).alias("length"), "support")
-            for level in run.levels
+            for level in levels
         ]
     )
     found = stack(
@@ -150,5 +157,5 @@ def son(
         [(num_chunks, phase1, candidate_count, phase2, final.rows, elapsed)], STATS_SCHEMA
     )
     return SonResult(
-        final.df, found, stats, local, candidate_count, final.rows, phase1, phase2, elapsed
+        final.df, found, stats, local, candidate_count, final.rows, phase1, phase2, elapsed, run
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlore.operators.apriori import apriori, held, stack
 from basketlore.operators.fpgrowth import fit_fpgrowth, itemset_summary, mine_model
+from basketlore.operators.prep import basket_count
 from basketlore.operators.son import son
 from basketlore.plans.reports import DEFAULT_TOP, pattern_table, top_itemsets
 from basketlore.plans.sweep import DEFAULT_SUPPORTS, son_summary
@@ -65,7 +66,7 @@ def plain_experiment(
     """The run-metrics document, one row, of the three miners at every threshold."""
     spark = items.sparkSession
     with held(items):
-        total = items.agg(F.count_distinct("basket_id")).first()[0]
+        total = items.agg(basket_count()).first()[0]
         document = {
             "apriori": {str(s): _apriori_run(items, s) for s in supports},
             "fpgrowth": {str(s): _fpgrowth_run(items, s) for s in supports},

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlore.functions.support import min_count
 from basketlore.operators.apriori import AprioriResult, apriori, stack
+from basketlore.operators.prep import basket_count
 from basketlore.operators.son import SonResult, son
 
 DEFAULT_SUPPORTS = (0.03, 0.025, 0.02)
@@ -16,7 +17,7 @@ DEFAULT_SUPPORTS = (0.03, 0.025, 0.02)
 
 def support_thresholds(items: DataFrame, supports=DEFAULT_SUPPORTS) -> DataFrame:
     """Minimum count of every threshold in every rounding mode."""
-    total = items.agg(F.count_distinct("basket_id").alias("baskets"))
+    total = items.agg(basket_count().alias("baskets"))
     each = F.explode(F.array(*(F.lit(float(s)) for s in supports))).alias("min_support")
     return total.select("baskets", each).select(
         "min_support",
@@ -28,87 +29,138 @@ def support_thresholds(items: DataFrame, supports=DEFAULT_SUPPORTS) -> DataFrame
     )
 
 
-@dataclass
+def _at_each(df: DataFrame, baskets: Column, supports, support_mode: str, reached: str) -> DataFrame:
+    """Repeat every row at each threshold, in ``threshold``, whose minimum count its column ``reached`` reaches."""
+    limits = F.array(
+        *(
+            F.struct(
+                F.lit(float(s)).alias("threshold"),
+                min_count(baskets, float(s), support_mode).alias("least"),
+            )
+            for s in supports
+        )
+    )
+    return df.select("*", F.inline(limits)).where(F.col(reached) >= F.col("least")).drop("least")
+
+
 class SupportSweep:
-    """Itemsets and statistics of Apriori at every threshold.
+    """Itemsets and statistics of Apriori at every threshold, from one run at the lowest.
 
     ``itemsets`` has a ``min_support`` column; ``level_stats`` is
     ``(min_support, level, candidates, frequent)`` and ``summary`` is
-    ``(min_support, total_itemsets)``.
+    ``(min_support, total_itemsets)``. An itemset is frequent at a higher threshold
+    if its support reaches it, and a candidate stands there if the smallest support
+    among its subsets does.
     """
 
-    itemsets: DataFrame
-    level_stats: DataFrame
-    summary: DataFrame
-    lowest: AprioriResult
+    def __init__(self, mined: AprioriResult, supports, support_mode: str):
+        self.lowest, self.supports, self.support_mode = mined, supports, support_mode
+        self.spark = mined.itemsets.sparkSession
+
+    def _at_each(self, df: DataFrame, reached: str) -> DataFrame:
+        return _at_each(df, F.lit(self.lowest.run.limits.total), self.supports, self.support_mode, reached)
+
+    @property
+    def itemsets(self) -> DataFrame:
+        return self._at_each(self.lowest.itemsets, "support").withColumnRenamed("threshold", "min_support")
+
+    @cached_property
+    def _counts(self) -> dict[tuple[str, float, int], int]:
+        """Frequent itemsets and listed candidates by threshold and length: one small row of each."""
+        kinds = [("frequent", self.lowest.itemsets.select("length", F.col("support").alias("reached")))]
+        for level in self.lowest.levels:
+            if level.candidates is not None:
+                rows = level.candidates.df.select(F.lit(level.length).alias("length"), F.col("min_support").alias("reached"))
+                kinds.append(("candidates", rows))
+        rows = stack([rows.withColumn("kind", F.lit(kind)) for kind, rows in kinds])
+        counts = self._at_each(rows, "reached").groupBy("kind", "threshold", "length").count()
+        return {(r["kind"], r["threshold"], r["length"]): r["count"] for r in counts.collect()}
+
+    def _frequent(self, support: float, length: int) -> int:
+        return self._counts.get(("frequent", float(support), length), 0)
+
+    def _candidates(self, support: float, length: int) -> int:
+        if length == 1:
+            return self.lowest.levels[0].candidate_count
+        if length == 2:
+            singles = self._frequent(support, 1)
+            return singles * (singles - 1) // 2
+        return self._counts.get(("candidates", float(support), length), 0)
+
+    @property
+    def level_stats(self) -> DataFrame:
+        lengths = range(1, len(self.lowest.levels) + 1)
+        rows = [
+            (float(s), k, self._candidates(s, k), self._frequent(s, k))
+            for s in sorted(self.supports, reverse=True)
+            for k in lengths
+            if k == 1 or self._candidates(s, k)
+        ]
+        return self.spark.createDataFrame(rows, "min_support double, level int, candidates bigint, frequent bigint")
+
+    @property
+    def summary(self) -> DataFrame:
+        lengths = range(1, len(self.lowest.levels) + 1)
+        rows = [
+            (float(s), sum(self._frequent(s, k) for k in lengths)) for s in sorted(self.supports, reverse=True)
+        ]
+        return self.spark.createDataFrame(rows, "min_support double, total_itemsets bigint")
 
 
 def support_sweep(
     items: DataFrame, supports=DEFAULT_SUPPORTS, support_mode: str = "floor", measures: bool = False
 ) -> SupportSweep:
-    """Mine once at the lowest threshold and read the others off that run.
+    """Mine once at the lowest threshold and read the others off that run."""
+    mined = apriori(items, min(supports), support_mode, measures, keep_candidates=True)
+    return SupportSweep(mined, supports, support_mode)
 
-    An itemset is frequent at a higher threshold if its support reaches it, and
-    a candidate stands there if the smallest support among its subsets does.
-    """
-    mined = apriori(items, min(supports), support_mode, measures)
-    spark = items.sparkSession
 
-    def at_each(df: DataFrame, reached: str) -> DataFrame:
-        return _at_each(df, F.lit(mined.run.limits.total), supports, support_mode, reached)
-
-    itemsets = at_each(mined.itemsets, "support")
-    frequent = itemsets.groupBy("min_support", F.col("length").alias("level")).agg(
-        F.count(F.lit(1)).alias("frequent")
-    )
-    every = spark.createDataFrame([(float(s),) for s in supports], "min_support double")
-    parts = [
-        every.select(
-            "min_support", F.lit(1).alias("level"), F.lit(mined.run.item_counts.rows).cast("bigint").alias("candidates")
-        ),
-        frequent.where("level = 1 AND frequent > 1").selectExpr(
-            "min_support", "2 AS level", "frequent * (frequent - 1) div 2 AS candidates"
-        ),
-    ]
-    for level in mined.levels:
-        if level.candidates is not None:
-            parts.append(
-                at_each(level.candidates.df, "min_support")
-                .groupBy(F.col("threshold").alias("min_support"))
-                .agg(F.count(F.lit(1)).alias("candidates"))
-                .select("min_support", F.lit(level.length).alias("level"), "candidates")
-            )
-    level_stats = (
-        stack(parts)
-        .join(frequent, ["min_support", "level"], "left")
-        .select("min_support", "level", "candidates", F.coalesce("frequent", F.lit(0)).alias("frequent"))
-        .orderBy(F.desc("min_support"), "level")
-    )
-    summary = (
-        every.join(frequent.groupBy("min_support").agg(F.sum("frequent").alias("found")), "min_support", "left")
-        .select("min_support", F.coalesce("found", F.lit(0)).alias("total_itemsets"))
-        .orderBy(F.desc("min_support"))
-    )
-    return SupportSweep(itemsets, level_stats, summary, mined)
+class SonSweep:
+    """Itemsets and candidates of SON at every threshold, from one run at the lowest.
 
+    What is frequent in a chunk at a higher threshold is frequent there at the lowest, with
+    its local support at hand: it is a candidate of each threshold at which that
+    support reaches the chunk's minimum count. ``itemsets`` and ``candidates`` have a
+    ``min_support`` column.
+    """
 
-def _at_each(
-    df: DataFrame, baskets: Column, supports, support_mode: str, reached: str
-) -> DataFrame:
-    """Repeat every row at each threshold it reaches."""
-    name = "threshold" if "min_support" in df.columns else "min_support"
-    limits = F.array(
-        *(
-            F.struct(
-                F.lit(float(s)).alias(name),
-                min_count(baskets, float(s), support_mode).alias("least"),
-            )
-            for s in supports
-        )
-    )
-    return (
-        df.select("*", F.inline(limits)).where(F.col(reached) >= F.col("least")).drop("least")
-    )
+    def __init__(self, mined: SonResult, supports, support_mode: str):
+        self.lowest, self.supports, self.support_mode = mined, supports, support_mode
+
+    @property
+    def itemsets(self) -> DataFrame:
+        total = F.lit(self.lowest.run.limits.total)
+        found = _at_each(self.lowest.itemsets, total, self.supports, self.support_mode, "support")
+        return found.withColumnRenamed("threshold", "min_support")
+
+    @property
+    def candidates(self) -> DataFrame:
+        baskets = F.get(F.lit(self.lowest.run.limits.baskets), F.col("chunk"))
+        local = _at_each(self.lowest.local, baskets, self.supports, self.support_mode, "support")
+        return local.select(F.col("threshold").alias("min_support"), "items", "length").distinct()
+
+    @property
+    def summary(self) -> DataFrame:
+        """``(min_support, global_candidates, total_itemsets)``."""
+        counts = [
+            df.groupBy("min_support").agg(F.count(F.lit(1)).alias(name))
+            for df, name in ((self.candidates, "global_candidates"), (self.itemsets, "total_itemsets"))
+        ]
+        every = self.lowest.itemsets.sparkSession.createDataFrame([(float(s),) for s in self.supports], "min_support double")
+        for found in counts:
+            every = every.join(F.broadcast(found), "min_support", "left")
+        return every.na.fill(0).orderBy(F.desc("min_support"))
+
+
+def son_sweep(
+    items: DataFrame,
+    num_chunks: int,
+    supports=DEFAULT_SUPPORTS,
+    support_mode: str = "exact",
+    measures: bool = False,
+) -> SonSweep:
+    """Both phases once, at the lowest threshold."""
+    return SonSweep(son(items, min(supports), num_chunks, support_mode, measures), supports, support_mode)
 
 
 def son_runs(
@@ -118,7 +170,7 @@ def son_runs(
     support_mode: str = "exact",
     measures: bool = True,
 ) -> dict[float, SonResult]:
-    """One SON run per threshold: phase 1 depends on it."""
+    """One timed SON run per threshold; ``son_sweep`` has the same results from one run."""
     return {float(s): son(items, s, num_chunks, support_mode, measures) for s in supports}
 
 

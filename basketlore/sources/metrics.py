@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from functools import reduce
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # One document per run. The maps are keyed by the support threshold as text.
@@ -40,9 +38,10 @@ def read_run_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, files[0])
 
 
-def _found(spark: SparkSession, folder: str) -> DataFrame | None:
+def _files(spark: SparkSession, folder: str) -> list[str] | None:
+    """JSON files of a folder; None if there is no such folder."""
     try:
-        return _documents(spark, folder)
+        return _documents(spark, folder).inputFiles()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -55,18 +54,29 @@ def read_labeled_run_metrics(
     """All documents of several folders, with the folder's label in ``Cores``.
 
     A label may list alternative folder names; the first that exists is read.
-    Labels without a folder or without documents are skipped with a warning.
+    Labels without a folder or without documents are skipped with a warning. One scan
+    reads all files; a document's label is looked up by the file it came from.
     """
-    parts = []
+    found, labels = set(), []
     for label, names in folders.items():
         names = [names] if isinstance(names, str) else names
-        documents = next((d for d in (_found(spark, n) for n in names) if d is not None), None)
-        if documents is None:
+        listed = ((name, _files(spark, name)) for name in names)
+        folder, files = next(((n, f) for n, f in listed if f is not None), (None, None))
+        if files is None:
             warnings.warn(f"Folder {names[0]!r} not found, skipping {label!r}", stacklevel=2)
-        elif not documents.inputFiles():
+        elif not files:
             warnings.warn(f"No JSON files in the folder of {label!r}", stacklevel=2)
         else:
-            parts.append(documents.withColumn("Cores", F.lit(label)))
-    if not parts:
+            found.add(folder)
+            labels += [(path, label) for path in files]
+    if not found:
         raise ValueError("No run metrics found in any of the folders")
-    return reduce(DataFrame.unionByName, parts)
+    # One row per metrics file, all of them listed above.
+    named = spark.createDataFrame(labels, "path string, Cores string").select(_local(F.col("path")).alias("file"), "Cores")
+    documents = _documents(spark, sorted(found)).withColumn("file", _local(F.col("_metadata.file_path")))
+    return documents.join(F.broadcast(named), "file").drop("file")
+
+
+def _local(path: Column) -> Column:
+    """Listings and scans write the scheme of a local file in different ways."""
+    return F.regexp_replace(path, "^file:/+", "/")

@@ -14,19 +14,29 @@ from pyspark.sql import types as T
 
 # Largest table, in bytes measured when it was written, that a mining step may broadcast.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Rows of a larger table that are broadcast apart, because they meet a large share of the other side.
+HOT_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A cluster must have it set. Where it is unset, as in tests, the session gets
-    a temporary folder of this machine.
+    A cluster must have it set: a folder of the driver's machine would lose what
+    executors write. A local session without it gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketlore-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not is_one_machine(context.master):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="basketlore-"))
+    return context.getCheckpointDir()
+
+
+def is_one_machine(master: str) -> bool:
+    """True if driver and executors are one process: ``local`` or ``local[...]``."""
+    return master == "local" or master.startswith("local[")
 
 
 @dataclass(frozen=True)
@@ -87,37 +97,50 @@ class Workspace:
         found = seen.get
         return Table(self.spark.read.schema(df.schema).parquet(path), found["rows"], found["bytes"] or 0)
 
-    def remove(self, prefix: str) -> None:
+    def remove(self, prefix: str = "") -> None:
         """Delete the tables of that prefix, which nothing reads any more."""
         for name in [n for n in self.names if n.startswith(prefix)]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
             self.names.remove(name)
 
+    def clear(self) -> None:
+        """Delete the folder, with whatever a failed write left there."""
+        self._delete(self.folder)
+        self.names.clear()
+
+    def _delete(self, path: str) -> None:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def fits_broadcast(table: Table) -> bool:
+    return table.bytes <= BROADCAST_LIMIT_BYTES
+
 
 def broadcast_within(table: Table) -> DataFrame:
     """The table, marked for broadcast if it was measured to fit."""
-    return F.broadcast(table.df) if table.bytes <= BROADCAST_LIMIT_BYTES else table.df
+    return F.broadcast(table.df) if fits_broadcast(table) else table.df
 
 
-def bucket_count(table: Table) -> int:
-    """Parts of the table that each fit one broadcast."""
-    return max(1, -(-table.bytes // max(1, BROADCAST_LIMIT_BYTES)))
+def for_join(table: Table) -> DataFrame:
+    """The table, marked for broadcast if it was measured to fit, else for a join that sorts and spills.
+
+    Adaptive execution splits the partitions of a key that is hot on the other side.
+    """
+    return F.broadcast(table.df) if fits_broadcast(table) else table.df.hint("merge")
 
 
-def join_in_buckets(left: DataFrame, right: Table, bucket: list[str], keys: list[str], how: str) -> DataFrame:
-    """Join with a table of any size by broadcasts only, so that no key of ``left`` is hot.
+def join_hot_apart(left: DataFrame, right: Table, keys: list[str], matches: str) -> DataFrame:
+    """Join with a table of any size whose column ``matches`` tells how many rows of ``left`` each row meets.
 
-    A table beyond one broadcast is cut by hash of the ``bucket`` columns, which
-    are among the ``keys``, into parts that fit. Each part meets the rows of
-    ``left`` with its hash; the bucket column of ``left`` is tested before
-    anything above it is computed.
+    The rows of ``right`` that meet more than one in ``HOT_ROWS`` of all matches,
+    at most ``HOT_ROWS`` of them, are broadcast; the others are joined by a shuffle,
+    none of whose keys is hot.
     """
-    parts = bucket_count(right)
-    if parts == 1:
-        return left.join(F.broadcast(right.df), keys, how)
-    number = F.pmod(F.xxhash64(*bucket), F.lit(parts))
-    joined = (
-        left.where(number == part).join(F.broadcast(right.df.where(number == part)), keys, how) for part in range(parts)
-    )
-    return reduce(DataFrame.unionByName, joined)
+    if fits_broadcast(right):
+        return left.join(F.broadcast(right.df.drop(matches)), keys)
+    total = right.df.agg(F.sum(matches)).first()[0] or 0
+    hot = F.col(matches) > total / HOT_ROWS
+    few = F.broadcast(right.df.where(hot).drop(matches))
+    many = right.df.where(~hot).drop(matches).hint("merge")
+    return left.join(few, keys).unionByName(left.join(many, keys))

@@ -1,6 +1,10 @@
+import glob
+import os
 import random
+from itertools import combinations
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from basketlore import apriori, explode_baskets, fpgrowth, son
@@ -8,8 +12,9 @@ from basketlore.operators import candidates as candidates_module
 from basketlore.operators import levels as levels_module
 from basketlore.operators.candidates import candidates
 from basketlore.operators.fpgrowth import itemset_summary
-from basketlore.plans.sweep import support_sweep, support_thresholds
-from basketlore.workspace import Workspace, broadcast_within
+from basketlore.plans.sweep import son_sweep, support_sweep, support_thresholds
+from basketlore.sources.sinks import run_config
+from basketlore.workspace import Workspace, broadcast_within, is_one_machine, shared_folder
 from tests import brute
 
 LONG = "basket_id bigint, item string, qty double"
@@ -215,20 +220,162 @@ def test_repeated_lines_and_lines_without_a_basket(spark, key, ratio, mode):
     assert as_dict(fpgrowth(items, ratio)) == supports(brute.mine(baskets, ratio, "ceil"))
 
 
-def test_only_candidates_are_counted_beyond_one_broadcast(spark, monkeypatch):
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_only_candidates_are_counted_beyond_one_broadcast(spark, monkeypatch, limit):
     """{a, b}, {a, c}, {b, d} are frequent, no triple is a candidate but a, b, c and the like occur."""
     work = Workspace(spark, "test")
-    baskets = spark.createDataFrame([(0, 1, [(i,) for i in range(6)])], "chunk int, weight bigint, basket array<struct<code:bigint>>")
+    rows = [(0, 1, [(i,) for i in range(6)])]
+    baskets = work.write(spark.createDataFrame(rows, "chunk int, weight bigint, basket array<struct<code:bigint>>"), "baskets")
     pairs = [(0, a, b, [a, b]) for a, b in ((0, 1), (0, 4), (2, 3), (3, 5), (4, 5))]
     wanted = work.write(spark.createDataFrame(pairs, "chunk int, id bigint, code bigint, codes array<bigint>"), "wanted")
-    for limit in (1 << 20, 100):
-        monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", limit)
-        projection = levels_module.project_items(levels_module.split_wide(baskets, 6), wanted, False)
+    monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", limit)
+    projection = levels_module.project_items(levels_module.split_wide(baskets.df, 6), wanted, False)
+    counts = levels_module.count_extensions(projection, wanted, False)
+    named = levels_module.named_counts(counts, wanted, "codes")
+    assert {tuple(r["codes"]) for r in named.collect()} == {(a, b) for _, a, b, _ in pairs}
+    assert {r["support"] for r in named.collect()} == {1}
+    plan = _plan(named)
+    assert plan.count("basket:array") == 1
+    if limit:
+        assert {(r["id"], r["code"]) for r in counts.collect()} == {(a, b) for _, a, b, _ in pairs}
         assert {r["id"] for r in projection.collect()} == {0, 2, 3, 4}
-        counted = levels_module.count_extensions(projection, wanted, False)
-        assert {(r["id"], r["code"]) for r in counted.collect()} == {(a, b) for _, a, b, _ in pairs}
-        plan = counted._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan
+    else:
+        # Counted in the tasks, then joined: one exchange of counts, none of baskets.
+        assert "Broadcast" not in plan
+        assert plan.index("SortMergeJoin") < plan.index("HashAggregate")
+
+
+def test_every_limit_at_zero(spark, monkeypatch):
+    """Nothing may be broadcast: the same results by shuffles, with a hot item and a hot prefix."""
+    baskets = random_baskets(21, n=50, items="abcdefgh", most=7)
+    baskets |= {b: {"a": 1.0} | baskets[b] for b in list(baskets)}
+    expected = brute.mine(baskets, 0.1, "floor")
+    monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", 0)
+    items = long_form(spark, baskets)
+    assert as_dict(apriori(items, 0.1, "floor").itemsets) == supports(expected)
+
+
+def test_tasks_hold_baskets_of_one_chunk(spark):
+    """Layout: what a level shuffles is bounded by candidates of the task's chunk, not by all chunks'."""
+    chunks = 9
+    rows = [(b, f"i{i}", 1.0, b % chunks) for b in range(300) for i in range(b % 5 + 2)]
+    items = spark.createDataFrame(rows, "basket_id bigint, item string, qty double, chunk int")
+    codes = [(i, f"i{i}", 300) for i in range(6)]
+    dictionary = Workspace(spark, "test").write(spark.createDataFrame(codes, "code bigint, item string, support bigint"), "words")
+    for measures in (False, True):
+        laid = levels_module.encode_baskets(items, dictionary, measures, chunks)
+        tasks = laid.select(F.spark_partition_id().alias("task"), "chunk").distinct().collect()
+        assert len(tasks) == len({r["task"] for r in tasks}) >= chunks
+        assert _plan(laid).count("Exchange shufflepartitionid") == 1
+        assert "hashpartitioning" not in _plan(laid)
+    # Four sizes of baskets, each merged to one row a task.
+    merged = levels_module.encode_baskets(items, dictionary, False, chunks)
+    assert merged.agg(F.sum("weight")).first()[0] == 300
+    assert merged.count() <= 5 * len(tasks)
+
+
+def test_pruning_has_as_many_exchanges_at_every_length(spark, monkeypatch):
+    monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", 0)
+    work = Workspace(spark, "test")
+    plans = {}
+    for k in (2, 3, 5):
+        sets = list(combinations(range(8), k))
+        number = {s: n for n, s in enumerate(combinations(range(8), k - 1))}
+        rows = [
+            (0, n, number[s[:-1]], s[-1], f"i{s[-1]}", list(s), [f"i{c}" for c in s], 10 + n)
+            for n, s in enumerate(sets)
+            if s != (1, 3, 5, 6, 7)[:k] or k == 2
+        ]
+        schema = "chunk int, id bigint, pid bigint, code bigint, item string, codes array<bigint>, items array<string>, support bigint"
+        level = work.write(spark.createDataFrame(rows, schema), f"level{k}")
+        found = candidates(level, k + 1)
+        plans[k] = _plan(found)
+        kept = {tuple(r[5]): r[7] for r in rows}
+        expected = {
+            c: min(kept[s] for s in combinations(c, k))
+            for c in combinations(range(8), k + 1)
+            if all(s in kept for s in combinations(c, k))
+        }
+        assert {tuple(r["codes"]): r["min_support"] for r in found.collect()} == expected
+        assert 0 < len(expected)
+    assert len({p.count("Exchange") for p in plans.values()}) == 1
+
+
+def test_levels_are_mined_when_asked_for(spark):
+    items = long_form(spark, random_baskets(11))
+    result = apriori(items, 0.1, max_length=2)
+    assert [v.length for v in result.levels] == [1, 2]
+    assert {len(c) for c in as_dict(result.itemsets)} == {1, 2}
+
+
+def _folders():
+    return set(glob.glob(f"{shared_folder(SparkSession.getActiveSession())}/*".removeprefix("file:")))
+
+
+def test_no_tables_left_after_a_failed_run(spark, monkeypatch):
+    items = long_form(spark, random_baskets(11))
+    before, write, fails = _folders(), Workspace.write, []
+
+    def failing(self, df, name):
+        if name == fails[-1]:
+            df = df.withColumn("bad", F.raise_error(F.lit("lost")))
+        return write(self, df, name)
+
+    monkeypatch.setattr(Workspace, "write", failing)
+    for name, run in (("level3", apriori), ("candidates3", apriori), ("itemsets", lambda i, s: son(i, s, 3))):
+        fails.append(name)
+        with pytest.raises(Exception, match="lost"):
+            run(items, 0.1)
+        assert _folders() == before
+
+
+def test_only_tables_of_results_are_left(spark):
+    items = long_form(spark, random_baskets(11))
+    before = _folders()
+    levels, chunked = apriori(items, 0.1), son(items, 0.1, 3)
+    left = {os.path.basename(t) for f in _folders() - before for t in glob.glob(f"{f}/*")}
+    assert {t.rstrip("0123456789") for t in left} == {"level", "union", "itemsets"}
+    levels.close()
+    chunked.close()
+    assert _folders() == before
+
+
+def test_son_sweep_equals_single_runs(spark):
+    items = long_form(spark, random_baskets(12, n=60))
+    ratios = (0.4, 0.2, 0.1)
+    for mode in ("exact", "floor"):
+        swept = son_sweep(items, 4, ratios, mode)
+        summary = {r["min_support"]: tuple(r)[1:] for r in swept.summary.collect()}
+        for ratio in ratios:
+            single = son(items, ratio, 4, mode)
+            at = F.col("min_support") == ratio
+            assert as_dict(swept.itemsets.where(at)) == as_dict(single.itemsets)
+            ours = {tuple(r["items"]) for r in swept.candidates.where(at).collect()}
+            assert ours == {tuple(r["items"]) for r in single.candidates.collect()}
+            assert summary[ratio] == (single.candidate_count, single.total_itemsets)
+
+
+def test_fpgrowth_without_quantities(spark):
+    items = long_form(spark, random_baskets(3))
+    assert as_dict(fpgrowth(items.drop("qty"), 0.2)) == as_dict(fpgrowth(items, 0.2))
+
+
+def test_one_number_of_baskets(spark):
+    """Lines without a key are one basket in every report, as they are for the miners."""
+    items = spark.createDataFrame(MESSY, LONG)
+    assert apriori(items, 0.3).run.limits.total == 3
+    assert {r["baskets"] for r in support_thresholds(items).collect()} == {3}
+    assert run_config(items, 1, 1, [0.1]).first()["total_baskets"] == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert all(is_one_machine(m) for m in ("local", "local[4]", "local[*]", "local[2, 3]"))
+    assert not any(is_one_machine(m) for m in ("local-cluster[3,2,3000]", "yarn", "spark://host:7077", "k8s://host"))
 
 
 def test_broadcasts_follow_measured_bytes(spark, monkeypatch):

@@ -35,6 +35,49 @@ def test_csv_fields_with_line_breaks(spark, tmp_path):
     assert found == [("1", "a", 'two\nlines, "q"', 3.0), ("2", "b", "x", 1.0)]
 
 
+def test_line_breaks_in_quotes_are_an_error_unless_asked_for(spark, tmp_path):
+    """In any column, the last one and one that is not returned among them; valid quotes are none."""
+    header = "InvoiceNo,StockCode,Description,Quantity,Country\n"
+    good = header + '1,a,"x, ""y""",3,UK\n2,b,5" nails,1,"U, K"\n3,c,"""q""",1,\n'
+    path = tmp_path / "good.csv"
+    path.write_text(good)
+    assert [r["Description"] for r in read_lines(spark, str(path)).orderBy("InvoiceNo").collect()] == ['x, "y"', '5" nails', '"q"']
+    for n, record in enumerate(('4,d,"two\nlines",1,UK', '4,d,x,1,"U\nK"', '"4\n",d,x,1,UK', "4,d,x", "4,d,x,1,UK,more")):
+        path = tmp_path / f"bad{n}.csv"
+        path.write_text(good + record + "\n5,e,y,1,UK\n")
+        with pytest.raises(Exception, match="wrong number of fields"):
+            read_lines(spark, str(path)).collect()
+        with pytest.raises(Exception, match="wrong number of fields"):
+            read_lines(spark, str(path)).select("InvoiceNo", "Quantity").collect()
+        assert read_lines(spark, str(path), strict=False).where("InvoiceNo = '5'").count() == 1
+        if record.count("\n"):
+            found = {r["InvoiceNo"].strip(): r for r in read_lines(spark, str(path), multi_line=True).collect()}
+            assert len(found) == 5 and found["4"]["Quantity"] == 1.0
+
+
+def test_csv_sink_and_reader_round_trip(spark, tmp_path):
+    rows = [("1", "a", 'quote " and "", comma', 2.0, "7"), ("2", "b,c", "two\nlines\r\nand ,\"", 1.0, None)]
+    df = spark.createDataFrame(rows, "InvoiceNo string, StockCode string, Description string, Quantity double, CustomerID string")
+    path = str(tmp_path / "lines.csv")
+    assert write_csv(df, path)
+    assert sorted(map(tuple, read_lines(spark, path, multi_line=True).collect())) == rows
+    with pytest.raises(Exception, match="wrong number of fields"):
+        read_lines(spark, path).collect()
+
+
+def test_labels_follow_files_of_any_name(spark, tmp_path):
+    """One scan for all folders; a folder of two labels counts for both."""
+    put(tmp_path / "a b%20c", "x y.json", document(1))
+    put(tmp_path / "a b%20c", "z.json", document(3))
+    put(tmp_path / "ü+", "x.json", document(2))
+    folders = {"20 Cores": str(tmp_path / "a b%20c"), "10 Cores": str(tmp_path / "ü+"), "4 Cores": str(tmp_path / "a b%20c")}
+    labeled = read_labeled_run_metrics(spark, folders)
+    times = labeled.selectExpr("Cores", "fpgrowth['0.1'].total_time AS t").collect()
+    assert sorted(map(tuple, times)) == [("10 Cores", 4.0), ("20 Cores", 2.0), ("20 Cores", 6.0), ("4 Cores", 2.0), ("4 Cores", 6.0)]
+    plan = labeled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1
+
+
 def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
     folder = tmp_path / "lines.csv"
     folder.mkdir()
