@@ -17,13 +17,16 @@ _SHIPPED: set[str] = set()
 _SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, a local folder, set for later calls."""
+    """The session's ``spark.checkpoint.dir``; a local session without it gets a folder, set for later calls."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="basketlore-")
         context.setCheckpointDir(found)
@@ -42,7 +45,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _write_settings(spark: SparkSession):
+def write_settings(spark: SparkSession):
     before = {key: spark.conf.get(key, None) for key in _SETTINGS}
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
@@ -75,7 +78,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = self.path(name)
-        with _write_settings(self.spark):
+        with write_settings(self.spark):
             df.write.parquet(path, partitionBy=partition_by)
         found = self.spark.read.schema(df.schema).parquet(path)
         found._scratch_path = path

@@ -26,8 +26,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from basketlore.llm.shared import Scratch, ship_package, text_of
+from basketlore.llm.shared import Scratch, ship_package, text_of, write_settings
 
 PIECE_CHARS = 1 << 16
 # Words a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 1 << 19, 64
-PLAIN, CLOSING = re.compile("[a-zà-öø-ÿ]+").fullmatch, ".,;:!?"
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
+PLAIN_WORDS = 1000
+PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
 # Texts handed to the encoder at once, in characters.
 ENCODE_CHARS = 1 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2_000
@@ -65,44 +66,73 @@ class WordEncoder:
     """Encodes texts word by word, with the library for words not met lately.
 
     Words of small Latin letters alone are one pre-token that normalisation leaves
-    as it is, so the library's model gets them without those steps. Punctuation
-    behind a letter or digit is always a pre-token of its own.
+    as it is, so the library's model gets them without those steps, many at a time: the
+    last token of each carries the model's mark of a word's end, no other does.
     """
 
     def __init__(self, path: str):
         self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), letters])
+        mark = self.model.model.end_of_word_suffix
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian 32-bit integers."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the number of ids of each text."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        new = set(chain.from_iterable(split)).difference(known)
-        parts = {word: _word_and_closing(word) for word in new}
-        self._learn(set(chain.from_iterable(parts.values())).difference(known))
-        known.update((word, known[base] + known[closing]) for word, (base, closing) in parts.items())
-        found = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in chain(new, (base for base, _ in parts.values())):
+        # Arrow finds the distinct words; only those are handled one by one.
+        split = pc.split_pattern(_spaced(texts), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self._learn([word for word in distinct if word not in known])
+        encoded = [known[word] for word in distinct]
+        for word in distinct:
             if len(word) > REMEMBERED_CHARS:
-                known.pop(word, None)
-        return found
-
-    def _learn(self, words: set[str]) -> None:
-        plain = [word for word in words if PLAIN(word)]
-        for encoder, some in ((self.model, plain), (self.library, list(words.difference(plain)))):
-            encoded = encoder.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(some, encoded, strict=True))
-
-
-def _word_and_closing(word: str) -> tuple[str, str]:
-    base = word.rstrip(CLOSING)
-    if len(base) < len(word) and not (base and (PLAIN(base[-1]) or (base[-1].isascii() and base[-1].isalnum()))):
-        return word, ""
-    return (base.lower() if base.isascii() and base.isalpha() else base), word[len(base) :]
+                del known[word]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        values = np.frombuffer(b"".join(encoded), "<u4")
+        # Lay the ids of each word where its text has it.
+        places = words.indices.to_numpy()
+        sizes = lengths[places]
+        ends = np.cumsum(sizes)
+        starts = (np.cumsum(lengths) - lengths)[places]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = values[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+        bounds = np.append(0, ends)[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return ids, np.diff(bounds)
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [word for word in new if self.ends.any() and PLAIN(word)]
+        for at in range(0, len(plain), PLAIN_WORDS):
+            words = plain[at : at + PLAIN_WORDS]
+            ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            bounds = np.append(0, 4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            values = ids.tobytes()
+            self.known.update(
+                (word, values[a:b]) for word, a, b in zip(words, bounds[:-1], bounds[1:], strict=True)
+            )
+        others = list(set(new).difference(plain))
+        encoded = self.library.encode_batch_fast(others, add_special_tokens=False)
+        self.known.update((word, array("I", e.ids).tobytes()) for word, e in zip(others, encoded, strict=True))
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    """The texts with fewer distinct words, and the same ids.
+
+    Punctuation between a letter or digit and white space is a pre-token of its own, so
+    it may stand apart. ASCII capitals become small, which normalisation does after
+    composing characters: not where a mark might compose, nor near special tokens.
+    """
+    for space in "\t\n\r":
+        texts = pc.replace_substring(texts, space, " ")
+    small = pc.if_else(pc.match_substring_regex(texts, r"\pM|<\|"), texts, pc.ascii_lower(texts))
+    return pc.replace_substring_regex(small, r"([a-zA-Z0-9à-öø-ÿ])([.,;:!?]+)( |$)", r"\1 \2\3")
 
 
 @lru_cache(maxsize=1)
@@ -145,8 +175,6 @@ def _cut(size: int):
 
 def _encode(path: str, end_id: int):
     """A part's pieces, in order, as rows of its file."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def slices(batch):
         """Runs of rows of bounded text."""
         start = chars = 0
@@ -164,11 +192,13 @@ def _encode(path: str, end_id: int):
             if batch.num_rows == 0:
                 continue
             for rows in slices(batch):
-                last = rows["last"].to_pylist()
-                found = encoder(rows["text"].to_pylist())
-                found = [ids + end if done else ids for ids, done in zip(found, last, strict=True)]
-                bounds = np.cumsum([0, *(len(ids) // 4 for ids in found)])
-                values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
+                last = rows["last"].to_numpy(zero_copy_only=False)
+                ids, sizes = encoder(rows["text"])
+                ends = np.cumsum(sizes)
+                # The end id goes behind the last piece of each document.
+                ids = np.insert(ids, ends[last], end_id)
+                bounds = np.append(0, ends + np.cumsum(last))
+                values = pa.array(ids.astype("<i4", copy=False), pa.int32())
                 columns = [
                     rows["doc_id"],
                     rows["row"],
@@ -202,7 +232,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     order = [F.col("doc_id").asc_nulls_first(), "hash", "row", "piece"]
     ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = ordered.withColumn("part", F.spark_partition_id())
-    parts.mapInArrow(_encode(tokenizer_path, end_id), ROWS).write.options(**OPTIONS).parquet(f"{folder}/tokens")
+    with write_settings(spark):
+        parts.mapInArrow(_encode(tokenizer_path, end_id), ROWS).write.options(**OPTIONS).parquet(f"{folder}/tokens")
 
     ends = spark.read.schema(ROWS).parquet(f"{folder}/tokens")
     counts = ends.groupBy("part").agg(F.sum(F.size("ids")).alias("ids"))
