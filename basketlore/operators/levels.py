@@ -136,7 +136,8 @@ def first_level(
         return level.view(level.df.select("code", "item", "support")), level
     total = frequent.groupBy("item").agg(F.sum("support").alias("support"))
     coded = total.orderBy("support", "item").select(number.alias("code"), "item", "support")
-    dictionary = work.write(coded, "dictionary")
+    # The single items of SON's candidates.
+    dictionary = work.write(coded, "union1")
     words = broadcast_within(dictionary.view(dictionary.df.drop("support")))
     level = frequent.join(words, "item").select(*_level_columns(measures))
     return dictionary, work.write(level, "level1")
@@ -384,7 +385,7 @@ def mining(
     except BaseException:
         work.clear()
         raise
-    gone = ["baskets", "projection", "dictionary", "item_counts"]
+    gone = ["baskets", "projection", "item_counts"]
     for name in gone if keep_candidates else [*gone, "candidates"]:
         work.remove(name)
 

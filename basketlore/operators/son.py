@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from basketlore.functions.support import min_count
 from basketlore.operators.apriori import held, stack
 from basketlore.operators.levels import (
-    Level,
+    ROOT_ID,
     Mining,
     Projections,
     count_extensions,
@@ -55,33 +55,39 @@ class SonResult:
         self.run.work.clear()
 
 
-def distinct_candidates(work: Workspace, levels: list[Level]) -> list[Table]:
+def distinct_candidates(work: Workspace, run: Mining) -> list[Table]:
     """Level tables of the itemsets that are frequent in some chunk, in chunk 0.
 
     They are closed under subsets, so every candidate finds its prefix one
-    table earlier.
+    table earlier. The single items are those of the dictionary, numbered by code.
     """
-    tables: list[Table] = []
-    for level in levels:
+    if run.dictionary.rows == 0:
+        return []
+    singles = run.dictionary.df.select(
+        F.lit(0).alias("chunk"),
+        F.col("code").alias("id"),
+        F.lit(ROOT_ID).cast("bigint").alias("pid"),
+        "code",
+        F.array("code").alias("codes"),
+        F.array("item").alias("items"),
+    )
+    tables = [Table(singles, run.dictionary.rows, 2 * run.dictionary.bytes)]
+    for level in run.levels[1:]:
         found = level.frequent.df.groupBy("codes").agg(
             F.first("items").alias("items"), F.first("code").alias("code")
         )
-        if tables:
+        if level.length == 2:
+            found = found.withColumn("pid", F.get("codes", F.lit(0)))
+        else:
             parents = tables[-1].df.select(F.col("codes").alias("prefix"), F.col("id").alias("pid"))
             parents = for_join(tables[-1].view(parents))
             found = found.withColumn("prefix", F.slice("codes", 1, level.length - 1)).join(parents, "prefix")
-            number = F.monotonically_increasing_id()
-        else:
-            found = found.withColumn("pid", F.lit(-1).cast("bigint"))
-            number = F.col("code")
         found = found.select(
-            F.lit(0).alias("chunk"), number.alias("id"), "pid", "code", "codes", "items"
+            F.lit(0).alias("chunk"), F.monotonically_increasing_id().alias("id"), "pid", "code", "codes", "items"
         )
-        table = work.write(found, f"union{level.length}")
-        if table.rows == 0:
-            work.remove(f"union{level.length}")
+        if level.frequent.rows == 0:
             break
-        tables.append(table)
+        tables.append(work.write(found, f"union{level.length}"))
     return tables
 
 
@@ -131,7 +137,7 @@ def son(
         chunked = with_chunk(source, chunk)
         with mining(work, chunked, min_support, support_mode, measures, num_chunks) as run:
             levels = list(run)
-            tables = distinct_candidates(work, levels)
+            tables = distinct_candidates(work, run)
             phase1 = time.monotonic() - started
 
             phase2_started = time.monotonic()
