@@ -90,3 +90,44 @@ def test_keys_of_different_itemsets_differ(spark):
     rows = [(["a|b", "c"],), (["a", "b|c"],), (["a", "b", "c"],), (["a\\", "b"],), (["a\\|b"],)]
     keys = [r[0] for r in spark.createDataFrame(rows, "items array<string>").select(itemset_key(F.col("items"))).collect()]
     assert len(set(keys)) == len(rows) and keys[2] == "a|b|c"
+
+
+def test_binned_density_is_within_its_bound(spark):
+    """Very unequal distances, repeated values and nulls; the mass of the bins is that of the values."""
+    values = [0.0, 0.1, 0.1, 0.25, 3.0, 3.5, 7.0, 7.0, 7.0, 19.9, 20.0, None]
+    patterns = spark.createDataFrame([(v,) for v in values], "Max_Qty double")
+    exact = {r["point"]: r for r in reports.max_qty_density(patterns, 50).collect()}
+    for cells in (1, 4, 16):
+        binned = reports.max_qty_density_binned(patterns, 50, cells).collect()
+        assert len(binned) == 50
+        for r in binned:
+            assert r["max_qty"] == pytest.approx(exact[r["point"]]["max_qty"])
+            assert abs(r["density"] - exact[r["point"]]["density"]) <= r["error_bound"] + 1e-12
+    assert binned[0]["error_bound"] < 1e-4
+    same = spark.createDataFrame([(2.0,), (2.0,)], "Max_Qty double")
+    assert reports.max_qty_density_binned(same).count() == 0
+
+
+def test_top_per_threshold_keeps_ties_in_item_order(spark):
+    rows = [
+        (s, items, len(items), n, logs, 1.0)
+        for s, found in {
+            0.2: [(["a"], 9, 99.0), (["a", "b"], 2, 4.0), (["a", "c"], 1, 2.0), (["b", "c"], 4, 1.0), (["c", "d"], 1, 3.0)],
+            0.1: [(["x", "y"], 5, 5.0)],
+        }.items()
+        for items, n, logs in found
+    ]
+    itemsets = spark.createDataFrame(rows, f"min_support double, {ITEMSETS}")
+    top = reports.top_per_threshold(itemsets, 3)
+    found = [(r["min_support"], r["place"], r["key"]) for r in top.orderBy("min_support", "place").collect()]
+    assert found == [(0.1, 1, "x|y"), (0.2, 1, "c|d"), (0.2, 2, "a|b"), (0.2, 3, "a|c")]
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_named_itemsets_equal_those_of_the_whole_table(spark):
+    rows = [(["a", "b"], 2, 4, 8.0, 10.0), (["a", "c"], 2, 4, 2.0, 40.0), (["b", "x"], 2, 3, 9.0, 10.0), (["a"], 1, 9, 1.0, 1.0)]
+    itemsets = spark.createDataFrame(rows, ITEMSETS)
+    names = spark.createDataFrame([("a", "apple"), ("b", "bread")], "item string, description string")
+    for n in (1, 2, 10):
+        whole = reports.top_itemsets(reports.pattern_table(itemsets, names), n)
+        assert reports.top_named_itemsets(itemsets, names, n).collect() == whole.collect()
