@@ -10,7 +10,8 @@ itself. If an overlap holds no shared boundary (a run of one character class
 longer than the overlap), the rest of that text is split again as a stream.
 
 Equal long texts are encoded once. Token ids are gathered in order of the pieces
-as a stream, so memory is bounded by a piece, not by a text. Decoding concatenates
+as a stream. A worker holds one text and, where ids are asked for, its ids as numbers.
+A pre-token of more than a chunk is merged by itself. Decoding concatenates
 the bytes of the ids. Null texts count as empty; repeated rows are each returned.
 """
 
@@ -31,6 +32,8 @@ from basketlore.llm.shared import Scratch, ship_package, text_of
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
+# Texts whose results are handed over together, in characters.
+BATCH_CHARS = 1 << 20
 # The last characters of a cut text may belong to a contraction that goes on behind the cut.
 UNSAFE_CHARS = 4
 
@@ -59,10 +62,11 @@ class _Digest:
 
     def add(self, ids):
         self.count += len(ids)
-        self.ids.update(np.asarray(ids, "<u4").tobytes())
+        numbers = np.asarray(ids, "<u4")
+        self.ids.update(numbers.tobytes())
         self.decoded.update(b"".join(map(self.table.__getitem__, ids)))
         if self.kept is not None:
-            self.kept.extend(ids)
+            self.kept.append(numbers.astype("<i4"))
 
     def result(self):
         found = {
@@ -70,7 +74,7 @@ class _Digest:
             "ids_sha256": self.ids.hexdigest(),
             "decoded_sha256": self.decoded.hexdigest(),
         }
-        return found if self.kept is None else found | {"ids": self.kept}
+        return found if self.kept is None else found | {"ids": np.concatenate([np.empty(0, "<i4"), *self.kept])}
 
 
 def _schema(fields, keep_ids):
@@ -83,16 +87,39 @@ def _encode_whole(ranks_path, pattern, keep_ids):
         encoder, table, _ = _codec(ranks_path, pattern)
         schema = _schema([("doc_id", pa.int64())], keep_ids)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            rows, chars = [], 0
+            for doc_id, value in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                text = value.as_py()
                 digest = _Digest(table, keep_ids)
-                digest.add(encoder.encode_ordinary(text.as_py()))
+                digest.add(encoder.encode_ordinary(text))
                 rows.append({"doc_id": doc_id} | digest.result())
+                chars += len(text)
+                if chars > BATCH_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, chars = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
+def _encode_long_text(encoder, split, text):
+    """Ids of a text of any length, in runs.
+
+    A pre-token too long for the library's pattern engine, such as a run of white space, goes
+    to its merging step alone; all others are handed over a chunk at a time.
+    """
+    start = end = 0
+    for match in split.finditer(text):
+        if match.end() - start > CHUNK_CHARS:
+            yield encoder.encode_ordinary(text[start:end])
+            start = end
+            if match.end() - start > CHUNK_CHARS:
+                yield encoder._encode_single_piece(match.group().encode())
+                start = match.end()
+        end = match.end()
+    yield encoder.encode_ordinary(text[start:end])
+
+
 def _cut(chunk, overlap):
     def run(batches):
         schema = pa.schema(
@@ -163,11 +190,14 @@ def _gather(ranks_path, pattern, keep_ids):
         encoder, table, split = _codec(ranks_path, pattern)
         schema = _schema([("key", pa.string())], keep_ids)
         key = digest = None
-        rest = ""
+        rest, tried = "", 0
+
+        def encoded(text):
+            for ids in _encode_long_text(encoder, split, text):
+                digest.add(ids)
 
         def finished():
-            if rest:
-                digest.add(encoder.encode_ordinary(rest))
+            encoded(rest)
             return pa.RecordBatch.from_pylist([{"key": key} | digest.result()], schema)
 
         for batch in batches:
@@ -175,18 +205,22 @@ def _gather(ranks_path, pattern, keep_ids):
                 if row["key"] != key:
                     if digest is not None:
                         yield finished()
-                    key, digest, rest = row["key"], _Digest(table, keep_ids), ""
+                    key, digest, rest, tried = row["key"], _Digest(table, keep_ids), "", 0
                 if row["ids"] is not None:
                     digest.add(np.frombuffer(row["ids"], "<u4").tolist())
                     continue
                 rest += row["rest"]
+                if len(rest) < 2 * tried:
+                    # Still inside a run that was looked through before: not again for every chunk.
+                    continue
                 safe = 0
                 for match in split.finditer(rest):
                     if match.end() > len(rest) - UNSAFE_CHARS:
                         break
                     safe = match.end()
-                digest.add(encoder.encode_ordinary(rest[:safe]))
+                encoded(rest[:safe])
                 rest = rest[safe:]
+                tried = len(rest)
         if digest is not None:
             yield finished()
 
@@ -248,7 +282,9 @@ def encode(
     whole = short.mapInArrow(_encode_whole(*codec, keep_ids), f"doc_id bigint, {RESULT}{ids}")
     long = rows.where(F.length("text") > chunk).select("doc_id", F.sha2("text", 256).alias("key"), "text")
     found = _encode_long(long.select("key", "text"), work, codec, chunk, overlap, keep_ids)
-    return whole.unionByName(long.select("doc_id", "key").join(found, "key").drop("key"))
+    result = whole.unionByName(long.select("doc_id", "key").join(found, "key").drop("key"))
+    # Written here, batches are small whatever the caller's session says.
+    return work.write(result, "encoded") if keep_ids else result
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -82,3 +82,19 @@ def test_whole_table(spark, folder, ranks):
 
 def test_empty_table(spark):
     assert encode(empty(spark), RANKS, PATTERN).collect() == []
+
+
+def test_very_long_runs(spark, ranks):
+    """Runs beyond what the library's pattern engine can take: white space, letters, punctuation."""
+    texts = [" " * 1_500_000 + "x", "word " + "ab" * 600_000 + " end", "a" + "-" * 1_000_000, "\n" * 1_200_000]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCUMENTS)
+    found = {r["doc_id"]: r for r in encode(docs, RANKS, PATTERN, keep_ids=True).collect()}
+    for i, text in enumerate(texts):
+        assert found[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert found[i]["n_tokens"] == len(found[i]["ids"])
+    # No token is more than one space long, so all but the last stand alone.
+    assert set(found[0]["ids"][:1_499_999]) == {ranks[b" "]}
+    assert found[0]["ids"][1_499_999:] == brute(" x", ranks)
+    assert found[1]["ids"][0] == ranks[b"word"] and found[1]["ids"][-1] == ranks[b" end"]
+    # A run of letters is merged as a whole: the same pattern all along.
+    assert len(set(found[1]["ids"][10:-10])) <= 2
