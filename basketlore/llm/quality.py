@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlore.llm.shared import Scratch, text_of
@@ -252,17 +252,27 @@ def site_rates(work: Scratch, evidence: DataFrame, rates: dict[str, float]) -> D
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_training: int = MAX_TRAINING
+    docs: DataFrame,
+    labels: DataFrame,
+    host: str = "source",
+    path: str = "lang",
+    max_training: int = MAX_TRAINING,
+    carry: Column | None = None,
 ) -> DataFrame:
-    """Every row of ``docs`` as ``row`` with the evidence, the site's rates, ``p_good`` and ``keep``."""
+    """Every row of ``docs`` with the evidence, the site's rates, ``p_good`` and ``keep``.
+
+    ``carry`` is returned as ``row``; by default it is a struct of all columns. It is
+    written with the evidence, so that each text is scored once.
+    """
     work = Scratch(docs.sparkSession, "quality")
     classifier = fit(work, docs, labels, max_training)
     judged = docs.select(
-        F.struct("*").alias("row"),
+        (F.struct("*") if carry is None else carry).alias("row"),
         F.col(host).cast("string").alias("host"),
         F.col(path).cast("string").alias("path"),
         classifier.evidence(text_of()).alias("evidence"),
     )
+    judged = work.write(judged, "judged")
     sites = site_rates(work, judged.select("host", "path", "evidence"), classifier.rates)
     here = F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))
     odds = {f: _logit(F.least(F.greatest(F.col(f"path_{f}"), F.lit(1e-6)), F.lit(1 - 1e-6))) + F.col(f"evidence.{f}") for f in FAULTS}
@@ -275,9 +285,9 @@ def judge(
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: evidence, rates of its host and path, ``p_good``, ``keep``."""
-    found = judge(docs.select("doc_id", "text", "source", "lang"), labels)
+    found = judge(docs.select("doc_id", "text", "source", "lang"), labels, carry=F.col("doc_id"))
     return found.select(
-        "row.doc_id",
+        F.col("row").alias("doc_id"),
         "host",
         "path",
         *(F.col(f"evidence.{f}").alias(f"evidence_{f}") for f in FAULTS),
