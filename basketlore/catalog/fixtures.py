@@ -15,6 +15,8 @@ BRAND = "p_brand"
 TYPE = "p_type"
 CORE_LABELS = ("20 Cores", "10 Cores", "4 Cores")
 THRESHOLD_KEYS = ("0.03", "0.025", "0.02")
+# Bytes of sales files for each task that assembles baskets.
+PARTITION_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,9 +42,16 @@ def retail_lines(spark: SparkSession, folder: str, item: str) -> DataFrame:
     )
 
 
-def baskets(spark: SparkSession, folder: str, item: str) -> DataFrame:
-    """Cleaned multi-item baskets in long form."""
-    return basket_items(clean_lines(retail_lines(spark, folder, item)), "basket_id")
+def sales_partitions(spark: SparkSession, folder: str) -> int:
+    """Tasks to assemble the baskets of all sales lines: as many as the lines' files are long."""
+    lines = table(spark, folder, "lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return -(-int(str(lines)) // PARTITION_BYTES)
+
+
+def baskets(spark: SparkSession, folder: str, item: str, min_items: int = 2) -> DataFrame:
+    """Cleaned baskets in long form, of two items at least."""
+    lines = clean_lines(retail_lines(spark, folder, item))
+    return basket_items(lines, "basket_id", min_items=min_items, partitions=sales_partitions(spark, folder))
 
 
 def attribute_baskets(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,6 +17,7 @@ from basketlore.catalog.fixtures import (
     order_parts,
     retail_lines,
     run_metrics,
+    sales_partitions,
     sized_lines,
 )
 from basketlore.functions.labels import itemset_key, percent_label
@@ -208,7 +209,7 @@ def invoice_item_qty(spark, folder):
 
 @query
 def basket_counts(spark, folder):
-    every = prep.basket_items(prep.clean_lines(retail_lines(spark, folder, BRAND)), "basket_id", min_items=1)
+    every = baskets(spark, folder, BRAND, min_items=1)
     sizes = every.groupBy("basket_id").agg(F.count(F.lit(1)).alias("size"))
     return sizes.agg(
         F.count(F.lit(1)).alias("baskets"), F.count_if(F.col("size") > 1).alias("multi_item_baskets")
@@ -562,7 +563,8 @@ def son_top_itemsets(spark, folder):
 def itemset_names_unknown(spark, folder):
     """Sold items include some that no valid line describes."""
     lines = sized_lines(spark, folder)
-    sold = prep.basket_items(prep.keep_positive_quantity(prep.drop_cancelled(lines)), "basket_id")
+    sold = prep.keep_positive_quantity(prep.drop_cancelled(lines))
+    sold = prep.basket_items(sold, "basket_id", partitions=sales_partitions(spark, folder))
     named = reports.itemset_names(apriori(sold, SIZED).itemsets, prep.item_dictionary(prep.clean_lines(lines)))
     return named.select(itemset_key(F.col("items")).alias("itemset"), "name", "support")
 

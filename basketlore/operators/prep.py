@@ -76,13 +76,18 @@ def basket_items(
     item_col: str = "StockCode",
     qty_col: str | None = "Quantity",
     min_items: int = 2,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Long-form baskets ``(basket_id, item, qty)`` with at least ``min_items`` items.
 
     The pre-aggregation shuffles on (basket, item), so a basket holding a large
     share of all lines is spread over the tasks and reaches the second shuffle
-    as one row per distinct item.
+    as one row per distinct item. With ``partitions``, a number that follows the size of
+    the input, both shuffles have so many: a task's memory is bounded however many
+    lines there are, and what made ``df`` has tasks of its own.
     """
+    if partitions:
+        df = df.repartition(partitions, basket_col, item_col)
     if qty_col is None:
         long = df.groupBy(F.col(basket_col).alias("basket_id"), F.col(item_col).alias("item")).agg(
             F.lit(1.0).alias("qty")
@@ -91,6 +96,8 @@ def basket_items(
         long = invoice_item_qty(df, basket_col, item_col, qty_col)
     if min_items <= 1:
         return _marked_unique(long)
+    if partitions:
+        long = long.repartition(partitions, "basket_id")
     size = F.count(F.lit(1)).over(Window.partitionBy("basket_id"))
     found = long.withColumn("basket_size", size).where(F.col("basket_size") >= min_items).drop("basket_size")
     return _marked_unique(found)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlore import basket_items, clean_lines, item_dictionary
+from basketlore.catalog import fixtures
 from basketlore.operators import prep
 
 LINES = "InvoiceNo string, StockCode string, Description string, Quantity double, CustomerID string"
@@ -94,3 +95,21 @@ def test_quantity_filter_reaches_the_scan(spark, lines, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(Quantity,0.0)" in plan
     assert "CustomerID" not in plan.split("ReadSchema:")[1]
+
+
+def test_tasks_follow_the_sales_files(spark, tmp_path, monkeypatch):
+    """Baskets are assembled in as many tasks as the lines' files are long, with the same rows."""
+    key = "bigint"
+    orders = spark.createDataFrame([(i, "F", i % 3) for i in range(40)], f"o_orderkey {key}, o_orderstatus string, o_custkey {key}")
+    parts = spark.createDataFrame([(i, f"part {i}", f"Brand#{i}", 1) for i in range(5)], f"p_partkey {key}, p_name string, p_brand string, p_size int")
+    lines = [(i, i * j % 5, float(1 + j), 0.0, "N") for i in range(40) for j in range(4)]
+    lines = spark.createDataFrame(lines, f"l_orderkey {key}, l_partkey {key}, l_quantity double, l_discount double, l_returnflag string")
+    for name, df in (("orders", orders), ("part", parts), ("lineitem", lines)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    few = fixtures.baskets(spark, str(tmp_path), "p_brand")
+    assert few.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(fixtures, "PARTITION_BYTES", 100)
+    wanted = fixtures.sales_partitions(spark, str(tmp_path))
+    many = fixtures.baskets(spark, str(tmp_path), "p_brand")
+    assert wanted > 8 and many.rdd.getNumPartitions() == wanted
+    assert sorted(many.collect()) == sorted(few.collect()) and few.count() > 40
