@@ -55,16 +55,24 @@ class SonResult:
         self.run.work.clear()
 
 
+def _totals(measures: bool) -> list:
+    """Counts of an itemset in several chunks, added up."""
+    found = [F.sum("support").alias("support")]
+    if measures:
+        found += [F.sum("total_log_qty").alias("total_log_qty"), F.max("max_qty").alias("max_qty")]
+    return found
+
+
 def distinct_candidates(work: Workspace, run: Mining) -> list[Table]:
-    """Level tables of the itemsets that are frequent in some chunk, in chunk 0.
+    """Level tables of the itemsets that are frequent in some chunk.
 
     They are closed under subsets, so every candidate finds its prefix one
     table earlier. The single items are those of the dictionary, numbered by code.
+    Longer ones carry what was counted in the ``chunks`` where they are frequent.
     """
     if run.dictionary.rows == 0:
         return []
     singles = run.dictionary.df.select(
-        F.lit(0).alias("chunk"),
         F.col("code").alias("id"),
         F.lit(ROOT_ID).cast("bigint").alias("pid"),
         "code",
@@ -74,7 +82,10 @@ def distinct_candidates(work: Workspace, run: Mining) -> list[Table]:
     tables = [Table(singles, run.dictionary.rows, 2 * run.dictionary.bytes)]
     for level in run.levels[1:]:
         found = level.frequent.df.groupBy("codes").agg(
-            F.first("items").alias("items"), F.first("code").alias("code")
+            F.first("items").alias("items"),
+            F.first("code").alias("code"),
+            F.collect_set("chunk").alias("chunks"),
+            *_totals(run.measures),
         )
         if level.length == 2:
             found = found.withColumn("pid", F.get("codes", F.lit(0)))
@@ -83,7 +94,14 @@ def distinct_candidates(work: Workspace, run: Mining) -> list[Table]:
             parents = for_join(tables[-1].view(parents))
             found = found.withColumn("prefix", F.slice("codes", 1, level.length - 1)).join(parents, "prefix")
         found = found.select(
-            F.lit(0).alias("chunk"), F.monotonically_increasing_id().alias("id"), "pid", "code", "codes", "items"
+            F.monotonically_increasing_id().alias("id"),
+            "pid",
+            "code",
+            "codes",
+            "items",
+            "chunks",
+            "support",
+            *measure_columns(run.measures),
         )
         if level.frequent.rows == 0:
             break
@@ -91,28 +109,55 @@ def distinct_candidates(work: Workspace, run: Mining) -> list[Table]:
     return tables
 
 
-def _count_candidates(
-    run: Mining, tables: list[Table], projections: Projections, measures: bool
-) -> list[DataFrame]:
-    """Support of every candidate over all baskets, one frame per length."""
+def _uncounted(work: Workspace, run: Mining, tables: list[Table]) -> list[Table]:
+    """What phase 2 has to count, by length from 2: candidates in the chunks where they are not frequent.
+
+    ``(chunk, id, pid, code, codes, counted)``; rows that are not ``counted`` are
+    prefixes of longer ones that are.
+    """
+    every = F.array(*(F.lit(chunk) for chunk, baskets in enumerate(run.limits.baskets) if baskets))
+    found, prefixes = [], None
+    for length, table in reversed(list(enumerate(tables[1:], start=2))):
+        missing = table.df.select(F.explode(F.array_except(every, F.col("chunks"))).alias("chunk"), "id", F.lit(True).alias("counted"))
+        if prefixes is not None:
+            missing = missing.unionByName(prefixes.withColumn("counted", F.lit(False)))
+        marked = missing.groupBy("chunk", "id").agg(F.max("counted").alias("counted"))
+        named = marked.join(for_join(table.view(table.df.select("id", "pid", "code", "codes"))), "id")
+        found.insert(0, work.write(named.select("chunk", "id", "pid", "code", "codes", "counted"), f"uncounted{length}"))
+        prefixes = found[0].df.select("chunk", F.col("pid").alias("id")).distinct()
+    return found
+
+
+def _count_candidates(work: Workspace, run: Mining, tables: list[Table], measures: bool) -> list[DataFrame]:
+    """Support of every candidate over all baskets, one frame per length.
+
+    Phase 1 has counted a candidate in the chunks where it is frequent; in the others
+    it is counted now.
+    """
     columns = measure_columns(measures)
-    totals = [F.sum("support").alias("support")]
-    if measures:
-        totals += [F.sum("total_log_qty").alias("total_log_qty"), F.max("max_qty").alias("max_qty")]
-    singles = run.item_counts.df.groupBy("item").agg(*totals)
-    counted = [
+    singles = run.item_counts.df.groupBy("item").agg(*_totals(measures))
+    found = [
         run.dictionary.df.select("item").join(singles, "item").select(
             F.array("item").alias("items"), F.lit(1).alias("length"), "support", *columns
         )
     ]
-    for length, table in enumerate(tables[1:], start=2):
-        wanted = table.view(table.df.withColumnsRenamed({"id": "own", "pid": "id"}))
-        projection = projections.counting(length, tables, wanted)
-        counts = count_extensions(projection, wanted, measures)
-        counted.append(
-            named_counts(counts, wanted, "items").select("items", F.lit(length).alias("length"), "support", *columns)
-        )
-    return counted
+    left = _uncounted(work, run, tables)
+    projections = None
+    for length, (table, rest) in enumerate(zip(tables[1:], left, strict=True), start=2):
+        counts = table.df.select("id", "items", "support", *columns)
+        wanted = rest.view(rest.df.where("counted").select("chunk", F.col("id").alias("own"), F.col("pid").alias("id"), "code"))
+        if rest.rows and not wanted.df.isEmpty():
+            if projections is None:
+                baskets = split_wide(run.baskets, run.dictionary.rows)
+                projections = Projections(work, baskets, "projection-all", measures)
+            # Prefixes of longer ones start here too: the projection may be written for these.
+            projection = projections.counting(length, [tables[0], *left], rest)
+            more = named_counts(count_extensions(projection, wanted, measures), wanted, "own")
+            more = more.select(F.col("own").alias("id"), F.lit(None).cast("array<string>").alias("items"), "support", *columns)
+            items = F.first("items", ignorenulls=True).alias("items")
+            counts = counts.unionByName(more).groupBy("id").agg(items, *_totals(measures))
+        found.append(counts.select("items", F.lit(length).alias("length"), "support", *columns))
+    return found
 
 
 def son(
@@ -142,10 +187,9 @@ def son(
 
             phase2_started = time.monotonic()
             least = min_count(F.lit(run.limits.total), min_support, support_mode)
-            baskets = split_wide(run.baskets.withColumn("chunk", F.lit(0)), run.dictionary.rows)
-            projections = Projections(work, baskets, "projection-all", measures)
-            counted = stack(_count_candidates(run, tables, projections, measures))
+            counted = stack(_count_candidates(work, run, tables, measures))
             final = work.write(counted.where(F.col("support") >= least), "itemsets")
+            work.remove("uncounted")
             phase2 = time.monotonic() - phase2_started
 
     local = stack(

@@ -1,4 +1,5 @@
 import glob
+import math
 import os
 import random
 from itertools import combinations
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from basketlore import apriori, explode_baskets, fpgrowth, son
 from basketlore.operators import candidates as candidates_module
 from basketlore.operators import levels as levels_module
+from basketlore.operators import son as son_module
 from basketlore.operators.candidates import candidates
 from basketlore.operators.fpgrowth import itemset_summary
+from basketlore.operators.levels import count_extensions
 from basketlore.plans.sweep import son_sweep, support_sweep, support_thresholds
 from basketlore.sources.sinks import run_config
 from basketlore.workspace import Workspace, broadcast_within, is_one_machine, shared_folder
@@ -386,3 +389,30 @@ def test_broadcasts_follow_measured_bytes(spark, monkeypatch):
     monkeypatch.setattr("basketlore.workspace.BROADCAST_LIMIT_BYTES", 50_000)
     hinted = [broadcast_within(t)._jdf.queryExecution().logical().toString() for t in (long, short)]
     assert "broadcast" not in hinted[0].lower() and "broadcast" in hinted[1].lower()
+
+
+@pytest.mark.parametrize("measures", [False, True])
+def test_phase_two_counts_only_what_phase_one_has_not(spark, monkeypatch, measures):
+    """Counts of chunks where a candidate is frequent are taken over; it is counted in the others."""
+    counted = []
+
+    def count(projection, wanted, *more):
+        counted.append(sorted(wanted.df.select("chunk", "own").collect()))
+        return count_extensions(projection, wanted, *more)
+
+    monkeypatch.setattr(son_module, "count_extensions", count)
+    even = [(k, item, 1.0 + k) for k in range(16) for item in "abcd"]
+    found = son(spark.createDataFrame(even, "basket_id bigint, item string, qty double"), 0.5, 4, "exact", measures)
+    assert found.total_itemsets == 15 and {r["support"] for r in found.itemsets.collect()} == {16}
+    assert counted == []
+
+    # In chunk 0 the pair (a, b) and all above it are missing.
+    odd = [r for r in even if r[0] % 4 or r[0] == 0 or r[1] != "b"]
+    found = son(spark.createDataFrame(odd, "basket_id bigint, item string, qty double"), 0.5, 4, "exact", measures)
+    assert [len(c) for c in counted] == [3, 3, 1] and {r["chunk"] for c in counted for r in c} == {0}
+    rows = {tuple(r["items"]): r for r in found.itemsets.collect()}
+    assert {k: r["support"] for k, r in rows.items()} == {k: 13 if "b" in k else 16 for k in rows} and len(rows) == 15
+    if measures:
+        kept = [0, *(k for k in range(16) if k % 4)]
+        assert rows["a", "b", "c"]["total_log_qty"] == pytest.approx(sum(math.log1p(1 + k) for k in kept))
+        assert rows["a", "b", "c"]["max_qty"] == 16
