@@ -21,12 +21,15 @@ their distance to it, links are added, and by the triangle inequality
   - members further than 0.4 from the pivot cannot link to the ball at all,
   - a region whose members are all connected by now is finished.
 The remainder takes the next pivot. A region still large after that is split by
-its members' next one-shingle pivots, with a window one shingle longer; a small
-one compares all of its members. No region is ever gathered in one task.
+its members' next one-shingle pivots, with a window one shingle longer. A small
+one looks for the pairs of its members that may link: first for as few as join all
+that may be connected, a spanning forest, and when these have been compared, for all
+between the components that are left. No larger region is ever gathered in one task.
 
-Distances are bounded before they are computed: a set's profile counts its
-shingles in 128 fixed blocks of the universe; the sum of differences of two
-profiles is at most the size of the symmetric difference.
+Distances are bounded before they are computed: a set's profile tells for each of
+at least twice as many blocks of the universe as it has shingles whether it holds an
+odd number there; the blocks in which two profiles differ are at most as many as the
+symmetric difference, and nearly as many for sets that link or almost do.
 
 Documents with equal sets are one class and joined as one. Documents without
 words link with nothing. Null texts count as empty; repeated rows are linked to
@@ -57,7 +60,8 @@ LEVELS = LEAST_SIZE
 SMALL_REGION = 8192
 # Rounds of pivot documents between two splits.
 PIVOT_ROUNDS = 2
-PROFILE = 128
+# Blocks of the smallest and largest profiles, powers of two.
+PROFILE_LEAST, PROFILE_MOST = 256, 8192
 # Frequent shingles are at most this many: they hold a share of all of at least its inverse.
 FREQUENT = 1 << 22
 
@@ -146,8 +150,7 @@ def _describe(frequent):
                 often = found[is_hot]
                 order = np.concatenate((found[~is_hot], often[np.argsort(docs[at[is_hot]], kind="stable")]))
                 anchors.append(order[: window(n) + LEVELS - 1].view(np.int64))
-                counts = np.bincount((found & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
-                profiles.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+                profiles.append(_profile(found))
             part = batch.slice(first, len(sets))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -164,8 +167,35 @@ def _describe(frequent):
     return run
 
 
-def _profiles(column):
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+def _profile(found: np.ndarray) -> bytes:
+    """A bit for each block: whether the set holds an odd number of its shingles."""
+    blocks = PROFILE_LEAST
+    while blocks < min(2 * found.size, PROFILE_MOST):
+        blocks *= 2
+    counts = np.bincount((found & np.uint64(blocks - 1)).astype(np.int64), minlength=blocks)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _profiles(values: list[bytes]):
+    """Rows of profiles of each width, as ``(width, rows, profiles)`` in 64-bit words."""
+    widths = np.fromiter(map(len, values), np.int64, len(values)) // 8
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths == width)
+        yield int(width), rows, np.frombuffer(b"".join([values[i] for i in rows]), np.uint64).reshape(-1, width)
+
+
+def _folded(profiles: np.ndarray, width: int) -> np.ndarray:
+    """The profiles of the same sets with fewer blocks."""
+    while profiles.shape[-1] > width:
+        half = profiles.shape[-1] // 2
+        profiles = profiles[..., :half] ^ profiles[..., half:]
+    return profiles
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Blocks in which profiles differ, at most the size of the symmetric difference."""
+    width = min(x.shape[-1], y.shape[-1])
+    return np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(axis=-1, dtype=np.int64)
 
 
 def _within(differ, total, percent):
@@ -180,50 +210,86 @@ def _bound_pairs(batches):
     """Mark the pairs that their profiles and sizes allow to be near."""
     for batch in batches:
         n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
-        apart = np.abs(_profiles(batch["profile_a"]) - _profiles(batch["profile_b"])).sum(axis=1, dtype=np.int64)
+        apart = np.zeros(batch.num_rows, np.int64)
+        left, right = batch["profile_a"].to_pylist(), batch["profile_b"].to_pylist()
+        for _, rows, profiles in _profiles(left):
+            for _, some, others in _profiles([right[i] for i in rows]):
+                apart[rows[some]] = _apart(profiles[some], others)
         percent = np.where(batch["wide"].to_numpy(zero_copy_only=False), 2 * (100 - PERCENT), 100 - PERCENT)
         near = _within(np.maximum(apart, np.abs(n_a - n_b)), n_a + n_b, percent)
         columns = [*(batch[c] for c in ("a", "b", "n_a", "n_b", "wide")), pa.array(near)]
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "wide", "near"])
 
 
+def _near_in_region(node, n, component, profiles, every):
+    """Pairs of different components whose profiles allow a link: all, or a spanning forest of them.
+
+    Yields arrays ``(a, b)``. A forest has fewer pairs than members.
+    """
+    _, group, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    # Of each width the rows, and their profiles; only neighbouring widths can link.
+    wide = {width: (rows, found) for width, rows, found in _profiles(profiles)}
+    narrow = {width: _folded(found, width // 2) for width, (_, found) in wide.items()}
+    # Components that the pairs given so far join have one label.
+    label = np.arange(sizes.size)
+    # Members of the largest component have no links to look for among themselves.
+    is_other = group != sizes.argmax()
+    for width, (rows, found) in wide.items():
+        for at, i in enumerate(rows):
+            if not is_other[i]:
+                continue
+            near, bounds = [], []
+            for other in (width // 2, width, 2 * width):
+                if other not in wide:
+                    continue
+                members, theirs = wide[other][0], narrow[other] if other > width else wide[other][1]
+                mine = narrow[width][at] if other < width else found[at]
+                ahead = label[group[members]] != label[group[i]]
+                if every:
+                    # Of two rows outside the largest component the one of smaller number looks for the other.
+                    ahead &= ~is_other[members] | (node[members] > node[i])
+                seek = members[ahead]
+                differ = np.maximum(_apart(theirs[ahead], mine), np.abs(n[seek] - n[i]))
+                fits = _within(differ, n[seek] + n[i], 100 - PERCENT)
+                near.append(seek[fits])
+                bounds.append(differ[fits] / (n[seek[fits]] + n[i]))
+            near = np.concatenate(near)
+            if near.size and not every:
+                # The nearest of each component, which is then joined.
+                near = near[np.argsort(np.concatenate(bounds), kind="stable")]
+                joined, first = np.unique(label[group[near]], return_index=True)
+                near = near[first]
+                label[np.isin(label, joined)] = label[group[i]]
+            if near.size:
+                yield np.minimum(node[near], node[i]), np.maximum(node[near], node[i])
+
+
 def _near_in_regions(batches):
-    """Pairs of different components in a region whose profiles allow a link; regions come one after another."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def near(rows):
-        node, n, component = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        profiles = np.concatenate([r[3] for r in rows])
-        _, group, sizes = np.unique(component, return_inverse=True, return_counts=True)
-        # Members of the largest component have no links to look for among themselves.
-        others = np.flatnonzero(group != sizes.argmax())
-        is_other = np.zeros(node.size, bool)
-        is_other[others] = True
-        for i in others:
-            # Of two rows outside the largest component the one of smaller number looks for the other.
-            seek = np.flatnonzero((group != group[i]) & (~is_other | (node > node[i])))
-            apart = np.abs(profiles[seek] - profiles[i]).sum(axis=1, dtype=np.int64)
-            fits = _within(np.maximum(apart, np.abs(n[seek] - n[i])), n[seek] + n[i], 100 - PERCENT)
-            found = node[seek[fits]]
-            if found.size:
-                pair = [pa.array(np.minimum(found, node[i])), pa.array(np.maximum(found, node[i]))]
-                yield pa.RecordBatch.from_arrays(pair, schema=schema)
+    """Pairs that may link, by region; the rows of a region come one after another."""
+    schema = pa.schema([("region", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def near(region, rows):
+        node, n, component, met = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        profiles = [p for r in rows for p in r[4]]
+        for a, b in _near_in_region(node, n, component, profiles, met[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(a.size, region)), pa.array(a), pa.array(b)], schema=schema)
 
     region, held = None, []
     for batch in batches:
         regions = batch["region"].to_numpy()
-        columns = [batch[c].to_numpy() for c in ("node", "n", "component")] + [_profiles(batch["profile"])]
+        columns = [batch[c].to_numpy(zero_copy_only=False) for c in ("node", "n", "component", "met")]
+        columns.append(batch["profile"].to_pylist())
         edges = np.concatenate(([0], np.flatnonzero(np.diff(regions)) + 1, [regions.size]))
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             if start == end:
                 continue
             if region != regions[start]:
                 if held:
-                    yield from near(held)
+                    yield from near(region, held)
                 region, held = regions[start], []
             held.append([c[start:end] for c in columns])
     if held:
-        yield from near(held)
+        yield from near(region, held)
 
 
 def _shingle_sets(batches):
@@ -283,13 +349,14 @@ class _Join:
     # Regions
 
     def first_regions(self) -> DataFrame:
-        """``(region, node, n, at, rounds, level)``: every class in the regions of its boundary window."""
+        """``(region, node, n, at, rounds, level, met)``: every class in the regions of its boundary window."""
         width = F.expr(f"n - (({PERCENT} * n + 99) div 100) + 1").cast("int")
         able = self.classes.where(F.col("n") >= LEAST_SIZE)
         marks = able.select("node", "n", F.posexplode(F.slice("anchors", F.lit(1), width)).alias("at", "region"))
         shared = marks.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("region")
         shared = self.work.write(shared, "shared")
-        found = marks.join(shared, "region").select("region", "node", "n", "at", F.lit(0).alias("rounds"), F.lit(1).alias("level"))
+        fresh = (F.lit(0).alias("rounds"), F.lit(1).alias("level"), F.lit(False).alias("met"))
+        found = marks.join(shared, "region").select("region", "node", "n", "at", *fresh)
         found = self.work.write(found, "members")
         self.work.drop(shared)
         return found
@@ -327,6 +394,7 @@ class _Join:
             (F.col("before") + 1 + F.col("step")).cast("int").alias("at"),
             F.lit(0).alias("rounds"),
             (F.col("level") + 1).alias("level"),
+            F.lit(False).alias("met"),
         )
 
     # Distances
@@ -393,24 +461,36 @@ class _Join:
         members = self.open_regions(first)
         self.work.drop(first)
         while not members.isEmpty():
-            pairs = self._pairs(members)
+            _, small, rest = _kinds(members)
+            within = self._within_small(small)
+            pairs = self._pairs(members, within)
             self.measure(self.work.write(pairs.groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs"))
-            # Regions of two, and small ones after their first round, have been compared in full.
-            after = self._remainder(_kinds(members)[2])
+            # Regions of two, and small ones without a pair that may link, are done, and so are those
+            # that have met, as all pairs between their components have been compared.
+            after = self._remainder(rest)
             due = (F.col("rounds") >= PIVOT_ROUNDS) & (F.col("level") < LEVELS) & (F.col("size") > SMALL_REGION)
             following = after.where(~due).drop("size").unionByName(self.split(after.where(due)))
+            again = small.where(~F.col("met")).join(within.select("region"), "region", "left_semi")
+            following = following.unionByName(again.select(*following.columns).withColumn("met", F.lit(True)))
             following = self.open_regions(following)
-            self.work.drop(members)
+            self.work.drop(members, within)
             members = following
 
-    def _pairs(self, members: DataFrame) -> DataFrame:
+    def _within_small(self, small: DataFrame) -> DataFrame:
+        """``(region, a, b)``: a forest of the pairs that may link in small regions, all pairs where it has been compared."""
+        rows = small.join(self.classes.select("node", "profile"), "node")
+        rows = rows.select("region", "node", "n", "component", "met", "profile")
+        rows = rows.repartition("region").sortWithinPartitions("region")
+        return self.work.write(rows.mapInArrow(_near_in_regions, "region bigint, a bigint, b bigint"), "within")
+
+    def _pairs(self, members: DataFrame, within: DataFrame) -> DataFrame:
         """Pairs to compare in this round, of different components.
 
         Most regions of three and more hold near copies: they are connected once
-        all have met the pivot. Only then all members of the small ones meet.
+        all have met the pivot. Only then the members of the small ones meet.
         """
         likely = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-        tiny, small, rest = _kinds(members)
+        tiny, _, rest = _kinds(members)
         left = tiny.select("region", F.col("node").alias("a"), "n", F.col("component").alias("ca"))
         right = tiny.select("region", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
         of_two = left.join(right, "region").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely)
@@ -420,9 +500,6 @@ class _Join:
         wide = F.col("size") > SMALL_REGION
         to_pivot = rest.join(pivots, "region").where((F.col("component") != F.col("own")) & (wide | likely))
 
-        small = small.join(self.classes.select("node", "profile"), "node")
-        small = small.select("region", "node", "n", "component", "profile").repartition("region").sortWithinPartitions("region")
-        within = small.mapInArrow(_near_in_regions, "a bigint, b bigint")
         no = F.lit(False).alias("wide")
         return (
             of_two.select("a", "b", no)
@@ -447,7 +524,7 @@ class _Join:
         return (
             rows.join(nearest, "region")
             .where(stays)
-            .select("region", "node", "n", "at", (F.col("rounds") + 1).alias("rounds"), "level", "size")
+            .select("region", "node", "n", "at", (F.col("rounds") + 1).alias("rounds"), "level", "met", "size")
         )
 
 

@@ -1,6 +1,9 @@
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketlore.llm import ngram_join
@@ -90,3 +93,53 @@ def test_awkward_rows(spark):
 def test_empty_table(spark):
     assert ngram_jaccard_join(empty(spark)).collect() == []
     assert drop_near_copies(empty(spark)).collect() == []
+
+
+def region_pairs(texts, met):
+    """Pairs that the members of one region send on, each member a component of its own."""
+    none = np.zeros(0, np.uint64)
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "key": [b""] * len(texts), "text": texts})
+    described = ngram_join._describe(SimpleNamespace(value=(none, none)))([docs])
+    table = pa.Table.from_batches(described)
+    nodes = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "region": pa.array([7] * len(texts), pa.int64()),
+            "node": nodes,
+            "n": table["n"].combine_chunks(),
+            "component": nodes,
+            "met": pa.array([met] * len(texts)),
+            "profile": table["profile"].combine_chunks(),
+        }
+    )
+    found = list(ngram_join._near_in_regions([batch]))
+    return [(a, b) for f in found for a, b in zip(f["a"].to_pylist(), f["b"].to_pylist(), strict=True)]
+
+
+def test_near_copies_of_a_region_send_a_forest():
+    """Members that all link to each other send one pair less than they are, which connect them."""
+    draw = random.Random(5)
+    base = draw.choices([f"w{i}" for i in range(400)], k=250)
+    texts = [" ".join(edited(base, 0.06, draw)) for _ in range(120)]
+    pairs = region_pairs(texts, False)
+    assert len(pairs) == len(texts) - 1
+    known = {0}
+    for _ in pairs:
+        known |= {x for pair in pairs if known & set(pair) for x in pair}
+    assert len(known) == len(texts)
+
+
+@pytest.mark.parametrize("length", [30, 120, 250, 600, 3000])
+def test_profiles_lose_no_link_and_few_others_pass(length):
+    """All links are among the pairs of a region, and hardly any pair of a distance over 0.25."""
+    draw = random.Random(length)
+    base = draw.choices([f"w{i}" for i in range(4000)], k=length)
+    texts = [" ".join(edited(base, 0.01 * draw.randint(0, 30), draw)[draw.randint(0, 9) :]) for _ in range(40)]
+    sets = [shingles(t) for t in texts]
+    pairs, near = set(region_pairs(texts, True)), 0
+    for b in range(len(texts)):
+        for a in range(b):
+            common, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            assert 100 * common < 80 * union or (a, b) in pairs
+            near += (a, b) in pairs and common < 0.75 * union
+    assert near <= 10
