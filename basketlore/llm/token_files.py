@@ -24,9 +24,10 @@ end id only. An empty table gives files without rows.
 
 from __future__ import annotations
 
+import codecs
+import os
 import re
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,12 +40,12 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from basketlore.llm.shared import Scratch, ship_package, text_of, write_settings
 
 PIECE_CHARS = 1 << 16
-# Words a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
-PLAIN_WORDS = 1000
-PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
+# Words a worker remembers with their ids, in bytes, and the longest of them in characters.
+REMEMBERED_BYTES, REMEMBERED_CHARS = 16 << 20, 64
+# Words for the library's model alone, and how many it gets at once.
+PLAIN, PLAIN_WORDS = "^[a-zÀ-ÖØ-öø-ÿ]+$", 1000
 # Texts handed to the encoder at once, in characters.
-ENCODE_CHARS = 1 << 20
+ENCODE_CHARS = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2_000
 OPTIONS = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -66,78 +67,113 @@ class WordEncoder:
     """Encodes texts word by word, with the library for words not met lately.
 
     Words of small Latin letters alone are one pre-token that normalisation leaves
-    as it is, so the library's model gets them without those steps, many at a time: the
-    last token of each carries the model's mark of a word's end, no other does.
+    as it is, so the library's model gets them without those steps, many at a time, in the
+    byte-level letters of its vocabulary. Words and their ids are held in Arrow arrays, and found and laid
+    out by Arrow: only new words become Python strings.
     """
 
     def __init__(self, path: str):
         self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
-        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), letters])
-        mark = self.model.model.end_of_word_suffix
-        vocabulary = self.model.get_vocab()
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        mark, vocabulary = self.model.model.end_of_word_suffix, self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
-        self.known: dict[str, bytes] = {}
+        # Without such a mark the whole library encodes all words.
+        self.plain = PLAIN if self.ends.any() else "$."
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        table = [chr(byte) for byte in range(256)]
+        for letter in map(chr, range(0xC0, 0x100)):
+            for byte, char in zip(letter.encode(), letters.pre_tokenize_str(letter)[0][0], strict=True):
+                table[byte] = char
+        self.table = "".join(table)
+        # Remembered words, their ids, and whether a word was met in a later call.
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        self.met = np.zeros(0, bool)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each text."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        # Arrow finds the distinct words; only those are handled one by one.
-        split = pc.split_pattern(_spaced(texts), " ")
+        split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        self._learn([word for word in distinct if word not in known])
-        encoded = [known[word] for word in distinct]
-        for word in distinct:
-            if len(word) > REMEMBERED_CHARS:
-                del known[word]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        values = np.frombuffer(b"".join(encoded), "<u4")
+        parts = pc.split_pattern(_spaced(words.dictionary), " ")
+        distinct = parts.flatten().dictionary_encode()
+        ids = self._ids(distinct.dictionary).take(distinct.indices)
+        ids = pa.ListArray.from_arrays(ids.offsets.take(_bounds(parts)), ids.values)
         # Lay the ids of each word where its text has it.
-        places = words.indices.to_numpy()
-        sizes = lengths[places]
-        ends = np.cumsum(sizes)
-        starts = (np.cumsum(lengths) - lengths)[places]
-        total = int(ends[-1]) if len(ends) else 0
-        ids = values[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
-        bounds = np.append(0, ends)[np.asarray(split.offsets) - split.offsets[0].as_py()]
-        return ids, np.diff(bounds)
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [word for word in new if self.ends.any() and PLAIN(word)]
-        for at in range(0, len(plain), PLAIN_WORDS):
-            words = plain[at : at + PLAIN_WORDS]
-            ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-            bounds = np.append(0, 4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            values = ids.tobytes()
-            self.known.update(
-                (word, values[a:b]) for word, a, b in zip(words, bounds[:-1], bounds[1:], strict=True)
-            )
-        others = list(set(new).difference(plain))
-        encoded = self.library.encode_batch_fast(others, add_special_tokens=False)
-        self.known.update((word, array("I", e.ids).tobytes()) for word, e in zip(others, encoded, strict=True))
-
-
-def _spaced(texts: pa.Array) -> pa.Array:
-    """The texts with fewer distinct words, and the same ids.
-
-    Punctuation between a letter or digit and white space is a pre-token of its own, so
+        ids = ids.take(words.indices)
+        return ids.values.to_numpy(), np.diff(ids.offsets.take(_bounds(split)).to_numpy())
+
+    def _ids(self, distinct: pa.Array) -> pa.Array:
+        """Ids of distinct words, which are remembered."""
+        at = pc.index_in(distinct, value_set=self.words)
+        missing = at.is_null()
+        new = distinct.filter(missing)
+        missing = missing.to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().copy()
+        self.met[at[~missing]] = True
+        # The model's words first, the others behind them.
+        plain = pc.match_substring_regex(new, self.plain).to_numpy(zero_copy_only=False)
+        order = np.argsort(~plain, kind="stable")
+        at[missing] = len(self.words) + np.argsort(order)
+        new, count = new.take(order), int(plain.sum())
+        words = pa.concat_arrays([self.words, new])
+        every = pa.concat_arrays([self.ids, self._modelled(new[:count]), self._whole(new[count:])])
+        found = every.take(at)
+        short = pc.utf8_length(words).to_numpy() <= REMEMBERED_CHARS
+        self._grow(words, every, short)
+        return found
+
+    def _grow(self, words: pa.Array, ids: pa.Array, short: np.ndarray) -> None:
+        """Remember short words; when there are too many, those met again since the last time."""
+        met = np.append(self.met, np.zeros(len(words) - len(self.met), bool))
+        if not short.all():
+            words, ids, met = words.filter(short), ids.filter(short), met[short]
+        if words.nbytes + ids.nbytes > REMEMBERED_BYTES:
+            words, ids = words.filter(met), ids.filter(met)
+            met = np.zeros(len(words), bool)
+            if words.nbytes + ids.nbytes > REMEMBERED_BYTES // 2:
+                words, ids, met = words[:0], ids[:0], met[:0]
+        self.words, self.ids, self.met = words, ids, met
+
+    def _modelled(self, words: pa.Array) -> pa.Array:
+        """Ids of words of Latin letters, by the library's model alone."""
+        found = []
+        for at in range(0, len(words), PLAIN_WORDS):
+            some = words[at : at + PLAIN_WORDS]
+            line = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
+            line = codecs.charmap_decode(line.lower().encode(), "strict", self.table)[0]
+            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int32)
+            # The last token of each word carries the model's mark of a word's end, no other does.
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            found.append(pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), ids))
+        return pa.concat_arrays(found) if found else self.ids[:0]
+
+    def _whole(self, words: pa.Array) -> pa.Array:
+        """Ids of any words, by the whole library."""
+        encoded = self.library.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
+        return pa.array([e.ids for e in encoded], pa.list_(pa.int32()))
+
+
+def _bounds(lists: pa.Array) -> pa.Array:
+    """Where each list begins and ends in the flattened lists."""
+    return pc.subtract(lists.offsets, lists.offsets[0])
+
+
+def _spaced(words: pa.Array) -> pa.Array:
+    """Words so written that fewer are distinct, with the same ids; a blank stands between parts.
+
+    Punctuation behind a letter or digit, up to the word's end, is a pre-token of its own, so
     it may stand apart. ASCII capitals become small, which normalisation does after
     composing characters: not where a mark might compose, nor near special tokens.
     """
-    for space in "\t\n\r":
-        texts = pc.replace_substring(texts, space, " ")
-    small = pc.if_else(pc.match_substring_regex(texts, r"\pM|<\|"), texts, pc.ascii_lower(texts))
-    return pc.replace_substring_regex(small, r"([a-zA-Z0-9à-öø-ÿ])([.,;:!?]+)( |$)", r"\1 \2\3")
+    small = pc.if_else(pc.match_substring_regex(words, r"\pM|<\|"), words, pc.ascii_lower(words))
+    return pc.replace_substring_regex(small, r"([a-zA-Z0-9À-ÖØ-öø-ÿ])([!-&(-;=?@\[-`{}~]+)$", r"\1 \2")
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
-    """Once per Python worker."""
+    """Once per Python worker, whose task has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEncoder(path)
 
 

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from basketlore.llm import token_files
 from basketlore.llm.token_files import (
     WordEncoder,
     cut_text,
@@ -64,6 +65,36 @@ def test_words_encode_as_whole_texts(parts):
     assert sizes.tolist() == [len(e) for e in expected]
 
 
+def test_words_written_differently_are_encoded_once():
+    """Case and punctuation behind a word make no new words for the library."""
+    encoder, seen = WordEncoder(PATH), []
+
+    class Spy:
+        def encode_batch_fast(self, words, **options):
+            seen.extend(words)
+            return LIBRARY.encode_batch_fast(words, **options)
+
+    encoder.library = Spy()
+    text = "Straße straße$$$ Élan élan*** élan&&& élan 7%%% élan)\x0bélan,### straße\x0c"
+    for _ in range(2):
+        ids, sizes = encoder(pa.array([text]))
+        assert ids.tolist() == ids_of(text)[:-1] and sizes.tolist() == [len(ids)]
+    assert sorted(word for word in seen if word) == ["$$$", "%%%", "&&&", ")", "***", ",###", "7"]
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    """Words met again outlive those met once; results are the same without them."""
+    monkeypatch.setattr(token_files, "REMEMBERED_BYTES", 4000)
+    encoder = WordEncoder(PATH)
+    for batch in range(40):
+        text = " ".join(["again", "and"] + ["ab" * n + "cdefghij"[batch % 8] * batch for n in range(1, 40)])
+        ids, sizes = encoder(pa.array([text, None, "again"]).fill_null(""))
+        assert ids.tolist() == [*ids_of(text)[:-1], *ids_of("again")[:-1]]
+        assert sizes.tolist() == [len(ids) - 1, 0, 1]
+        assert encoder.words.nbytes + encoder.ids.nbytes <= 4000
+        assert "again" in encoder.words.to_pylist() or batch == 0
+
+
 @given(st.text(alphabet="ab \n", max_size=60), st.integers(1, 9))
 def test_pieces_join_to_the_text(text, size):
     pieces = list(cut_text(text, size))
